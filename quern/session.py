@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +28,18 @@ def session(name: str = "quern", cores: str | int = "*", partitions: int = 8, **
     spark = builder.config(map=fixed | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once for each context; where it lies on the driver doesn't matter then."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quern_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="quern-")) / "quern_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(home.rglob("*")):
+            if p.is_file() and p.suffix in (".py", ".yaml", ".txt"):
+                z.write(p, Path("quern") / p.relative_to(home))
+    sc.addPyFile(str(archive))
+    sc._quern_shipped = True

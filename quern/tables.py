@@ -7,9 +7,12 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of `folder` (a file or a directory of files)."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
