@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encode, leaks, split
+from quern.llm import encode, leaks, lookalike, split
 from quern.tables import latest, table
 
 #: table, key, text column and the columns by which the latest delivery is known.
@@ -26,6 +26,28 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+#: table, key and text column of the texts to be compared by look.
+LOOKS = (("text_chunks", "id", "chunk_text"), ("document_elements", "id", "content_text"))
+
+
+def _lattice(spark: SparkSession, folder: str) -> lookalike.Lattice:
+    texts = [table(spark, folder, t).select(F.col(text).alias("text")) for t, _, text in LOOKS]
+    return lookalike.Lattice(lookalike.bigram_counts(texts[0].unionByName(texts[1]), "text"))
+
+
+def p4_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of every text: table_name, id, canonical."""
+    lattice = _lattice(spark, folder)
+    parts = [lookalike.canonical_texts(latest(table(spark, folder, t).select(key, text, "updated_at"), key, "updated_at"), text, lattice).select(F.lit(t).alias("table_name"), F.col(key).alias("id"), "canonical") for t, key, text in LOOKS]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    lattice = _lattice(spark, folder)
+    parts = [lookalike.same_look_pairs(table(spark, folder, t), key, text, lattice, "updated_at").select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, key, text in LOOKS]
+    return parts[0].unionByName(parts[1])
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_corpus(table(spark, folder, "documents"))
 
@@ -39,7 +61,7 @@ def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), window=leaks.RUN, edits=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_pieces, p3_found, p8_ids, p9_found, p9_leaks)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_pieces, p3_found, p4_canonical, p4_found, p8_ids, p9_found, p9_leaks)}
 
 SQL: dict[str, str] = {
     "p3_found": " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS table_name, {key} AS item_key FROM {t} WHERE length({text}) > 3000" for t, key, text, _ in ITEMS),
