@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encode, leaks, lookalike, split
+from quern.llm import encode, leaks, lookalike, neardup, split
 from quern.tables import latest, table
 
 #: table, key, text column and the columns by which the latest delivery is known.
@@ -48,6 +48,21 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+#: table, key and text column of the texts to be grouped by similarity.
+SIMILAR = (("text_chunks", "id", "chunk_text"), ("ingest_documents", "document_id", "document_summary"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [neardup.similar_pairs(table(spark, folder, t), key, text, "updated_at").select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, key, text in SIMILAR]
+    return parts[0].unionByName(parts[1])
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record with its class of equal texts and its number of links, by five-word shingles at 0.8."""
+    parts = [neardup.similar_groups(table(spark, folder, t), key, text, "updated_at").select(F.lit(t).alias("table_name"), "*") for t, key, text in SIMILAR]
+    return parts[0].unionByName(parts[1])
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_corpus(table(spark, folder, "documents"))
 
@@ -61,10 +76,18 @@ def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), window=leaks.RUN, edits=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_pieces, p3_found, p4_canonical, p4_found, p8_ids, p9_found, p9_leaks)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_pieces, p3_found, p4_canonical, p4_found, p6_found, p6_groups, p8_ids, p9_found, p9_leaks)}
 
 SQL: dict[str, str] = {
     "p3_found": " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS table_name, {key} AS item_key FROM {t} WHERE length({text}) > 3000" for t, key, text, _ in ITEMS),
+    "p6_found": " UNION ALL ".join(rf"""SELECT '{t}' AS table_name, id_a, id_b FROM (
+        WITH l AS (SELECT {key} AS id, arg_max({text}, updated_at) AS body FROM {t} WHERE {text} IS NOT NULL GROUP BY 1),
+             w AS (SELECT id, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS w FROM l),
+             r AS (SELECT id, w, unnest(range(1, len(w) - 1)) AS k FROM w WHERE len(w) >= 12),
+             s AS (SELECT DISTINCT id, hash(w[k:k + 2]) AS g FROM r),
+             n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+             c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+        SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c * 1.0 / (x.n + y.n - c) >= 0.5)""" for t, key, text in SIMILAR),
     "p9_found": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
              i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
