@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encode, leaks, lookalike, neardup, split
+from quern.llm import encode, leaks, lookalike, neardup, neighbours, split
 from quern.tables import latest, table
 
 #: table, key, text column and the columns by which the latest delivery is known.
@@ -63,6 +63,21 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+#: table, key, vector column and the column by which the latest delivery is known.
+VECTORS = (("text_chunks", "id", "embedding", "updated_at"), ("image_chunks", "id", "embedding", "created_at"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [neighbours.near_pairs(table(spark, folder, t), key, vector, newest).select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, key, vector, newest in VECTORS]
+    return parts[0].unionByName(parts[1])
+
+
+def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar others of every vector, however far they are: table_name, id, neighbour, cosine, rank."""
+    parts = [neighbours.nearest(table(spark, folder, t), key, vector, newest, target_cosine=0.45, recall=0.97, probes=6, bucket=1024).select(F.lit(t).alias("table_name"), "*") for t, key, vector, newest in VECTORS]
+    return parts[0].unionByName(parts[1])
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_corpus(table(spark, folder, "documents"))
 
@@ -76,7 +91,7 @@ def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), window=leaks.RUN, edits=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_pieces, p3_found, p4_canonical, p4_found, p6_found, p6_groups, p8_ids, p9_found, p9_leaks)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_pieces, p3_found, p4_canonical, p4_found, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p9_found, p9_leaks)}
 
 SQL: dict[str, str] = {
     "p3_found": " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS table_name, {key} AS item_key FROM {t} WHERE length({text}) > 3000" for t, key, text, _ in ITEMS),
@@ -88,6 +103,12 @@ SQL: dict[str, str] = {
              n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
              c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
         SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c * 1.0 / (x.n + y.n - c) >= 0.5)""" for t, key, text in SIMILAR),
+    "p7_found": " UNION ALL ".join(f"""SELECT '{t}' AS table_name, id_a, id_b FROM (
+        WITH l AS (SELECT {key} AS id, arg_max({vector}, {newest})::DOUBLE[] AS v FROM {t} GROUP BY 1),
+             u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM l WHERE v IS NOT NULL AND list_dot_product(v, v) > 0),
+             c AS (SELECT a.id AS x, b.id AS y, list_dot_product(a.v, b.v) / (a.n * b.n) AS c FROM u a JOIN u b ON a.id <> b.id),
+             t AS (SELECT x, y, c, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS r FROM c WHERE c >= 0.9)
+        SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM t WHERE r <= 5)""" for t, key, vector, newest in VECTORS),
     "p9_found": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
              i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
