@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encode, leaks, lookalike, neardup, neighbours, split
-from quern.tables import latest, table
+from quern.llm import encode, language, leaks, lookalike, neardup, neighbours, split
+from quern.tables import latest, materialise, table
 
 #: table, key, text column and the columns by which the latest delivery is known.
 ITEMS = (("structured_chunks", "chunk_key", "text", ()), ("ingest_documents", "document_id", "markdown", ("updated_at",)), ("extraction_requests", "request_id", "text", ("requested_at",)))
@@ -48,6 +48,33 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _tagged(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "text_chunks")
+    model = language.train(table(spark, folder, "ingest_documents"), chunks)
+    if model is None:
+        return spark.createDataFrame([], f"id string, document_id string, segments {language.SEGMENT}")
+    return language.tag(chunks, model)
+
+
+def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every segment of every chunk: id, segment_no, start, end, lang, confidence, words."""
+    rows = _tagged(spark, folder).select("id", F.posexplode("segments").alias("segment_no", "s"))
+    return rows.select("id", "segment_no", "s.start", "s.end", "s.lang", "s.confidence", "s.words")
+
+
+def p5_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each document by its chunks: document_id, lang, confidence."""
+    return language.document_language(_tagged(spark, folder))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    tagged = materialise(_tagged(spark, folder))
+    docs = language.wrong_labels(table(spark, folder, "ingest_documents"), language.document_language(tagged)).select(F.lit("document").alias("scope"), F.col("document_id").alias("item_id"), "lang")
+    langs = F.array_distinct(F.transform("segments", lambda s: s["lang"]))
+    chunks = tagged.select("id", langs.alias("langs")).where(F.size("langs") > 1).select(F.lit("chunk").alias("scope"), F.col("id").alias("item_id"), F.explode("langs").alias("lang"))
+    return docs.unionByName(chunks)
+
+
 #: table, key and text column of the texts to be grouped by similarity.
 SIMILAR = (("text_chunks", "id", "chunk_text"), ("ingest_documents", "document_id", "document_summary"))
 
@@ -91,7 +118,7 @@ def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), window=leaks.RUN, edits=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_pieces, p3_found, p4_canonical, p4_found, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p9_found, p9_leaks)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_pieces, p3_found, p4_canonical, p4_found, p5_segments, p5_documents, p5_found, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p9_found, p9_leaks)}
 
 SQL: dict[str, str] = {
     "p3_found": " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS table_name, {key} AS item_key FROM {t} WHERE length({text}) > 3000" for t, key, text, _ in ITEMS),
