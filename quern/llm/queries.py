@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encode, language, leaks, lookalike, neardup, neighbours, split
+from quern.llm import encode, language, leaks, lookalike, neardup, neighbours, reading, split
 from quern.tables import latest, materialise, table
 
 #: table, key, text column and the columns by which the latest delivery is known.
@@ -118,7 +118,18 @@ def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), window=leaks.RUN, edits=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_pieces, p3_found, p4_canonical, p4_found, p5_segments, p5_documents, p5_found, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p9_found, p9_leaks)}
+def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Level and confidence of each English document of at least 40 words."""
+    docs = table(spark, folder, "documents").where("lang = 'en'")
+    model = reading.train(docs, table(spark, folder, "reading_labels"))
+    return reading.grade(docs, model) if model else spark.createDataFrame([], "doc_id bigint, level int, confidence double")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_levels(spark, folder).select("doc_id", "level")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_pieces, p3_found, p4_canonical, p4_found, p5_segments, p5_documents, p5_found, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p9_found, p9_leaks, p10_levels, p10_found)}
 
 SQL: dict[str, str] = {
     "p3_found": " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS table_name, {key} AS item_key FROM {t} WHERE length({text}) > 3000" for t, key, text, _ in ITEMS),
