@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encode, language, leaks, lookalike, neardup, neighbours, reading, split
+from quern.llm import encode, language, leaks, lookalike, names, neardup, neighbours, reading, split
 from quern.tables import latest, materialise, table
 
 #: table, key, text column and the columns by which the latest delivery is known.
 ITEMS = (("structured_chunks", "chunk_key", "text", ()), ("ingest_documents", "document_id", "markdown", ("updated_at",)), ("extraction_requests", "request_id", "text", ("requested_at",)))
 
 
+def _named(spark: SparkSession, folder: str) -> DataFrame:
+    relations = table(spark, folder, "extracted_relationships")
+    return names.entities(names.spellings([(table(spark, folder, "extracted_entities"), "name", "entity_type"), (relations, "from_name", "from_type"), (relations, "to_name", "to_type")]))
+
+
+def p2_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling with the entity it names: kind, name, entity."""
+    return _named(spark, folder)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.variant_pairs(materialise(_named(spark, folder)))
+
+
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every item of the three tables: table_name, item_key, piece_no, start, end, piece_text."""
     parts = [split.split_items(latest(table(spark, folder, t).select(key, text, *newest), key, *newest), key, text).select(F.lit(t).alias("table_name"), "*") for t, key, text, newest in ITEMS]
@@ -101,7 +115,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five most similar others of every vector, however far they are: table_name, id, neighbour, cosine, rank."""
-    parts = [neighbours.nearest(table(spark, folder, t), key, vector, newest, target_cosine=0.45, recall=0.97, probes=6, bucket=1024).select(F.lit(t).alias("table_name"), "*") for t, key, vector, newest in VECTORS]
+    parts = [neighbours.nearest(table(spark, folder, t), key, vector, newest, target_cosine=0.45, recall=0.97, probes=6, bucket=1024, bits=8).select(F.lit(t).alias("table_name"), "*") for t, key, vector, newest in VECTORS]
     return parts[0].unionByName(parts[1])
 
 
@@ -129,7 +143,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_levels(spark, folder).select("doc_id", "level")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_pieces, p3_found, p4_canonical, p4_found, p5_segments, p5_documents, p5_found, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p9_found, p9_leaks, p10_levels, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_entities, p2_found, p3_pieces, p3_found, p4_canonical, p4_found, p5_segments, p5_documents, p5_found, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p9_found, p9_leaks, p10_levels, p10_found)}
 
 SQL: dict[str, str] = {
     "p3_found": " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS table_name, {key} AS item_key FROM {t} WHERE length({text}) > 3000" for t, key, text, _ in ITEMS),
