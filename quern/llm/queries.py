@@ -7,13 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encode, language, leaks, lookalike, names, neardup, neighbours, reading, split
+from quern.llm import encode, language, leaks, lookalike, names, neardup, neighbours, reading, scans, split
 from quern.tables import latest, materialise, table
 
 #: table, key, text column and the columns by which the latest delivery is known.
 ITEMS = (("structured_chunks", "chunk_key", "text", ()), ("ingest_documents", "document_id", "markdown", ("updated_at",)), ("extraction_requests", "request_id", "text", ("requested_at",)))
 
 
+def _repaired(spark: SparkSession, folder: str) -> DataFrame:
+    elements = table(spark, folder, "document_elements")
+    reader = scans.learn(elements.select("content_text", F.col("confidence").isNotNull().alias("scanned")))
+    scanned = scans.scanned_documents(elements, table(spark, folder, "structured_chunks"), table(spark, folder, "ingest_documents"))
+    return scans.repair_elements(elements, scanned, reader)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _repaired(spark, folder).groupBy("id").agg(F.max(F.struct("at", "kinds")).alias("v"))
+    return rows.select("id", F.explode("v.kinds").alias("kind"))
+
+
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Every element with its text: repaired where it is a text of a scanned document, as it was elsewhere."""
+    last = latest(table(spark, folder, "document_elements").select("id", "document_id", "content_text", "updated_at"), "id", "updated_at")
+    repaired = latest(_repaired(spark, folder).select("id", "at", "repaired"), "id", "at")
+    return last.join(repaired, "id", "left").select("id", "document_id", F.when(F.col("at").isNotNull(), F.col("repaired")).otherwise(F.col("content_text")).alias("content_text"))
+
+
 def _named(spark: SparkSession, folder: str) -> DataFrame:
     relations = table(spark, folder, "extracted_relationships")
     return names.entities(names.spellings([(table(spark, folder, "extracted_entities"), "name", "entity_type"), (relations, "from_name", "from_type"), (relations, "to_name", "to_type")]))
@@ -143,7 +162,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_levels(spark, folder).select("doc_id", "level")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_entities, p2_found, p3_pieces, p3_found, p4_canonical, p4_found, p5_segments, p5_documents, p5_found, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p9_found, p9_leaks, p10_levels, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_entities, p2_found, p3_pieces, p3_found, p4_canonical, p4_found, p5_segments, p5_documents, p5_found, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p9_found, p9_leaks, p10_levels, p10_found)}
 
 SQL: dict[str, str] = {
     "p3_found": " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS table_name, {key} AS item_key FROM {t} WHERE length({text}) > 3000" for t, key, text, _ in ITEMS),
