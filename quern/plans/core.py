@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from quern.plans import text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text.QUERIES}
+SQL: dict[str, str] = {**text.SQL}
