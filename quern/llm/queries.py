@@ -134,7 +134,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five most similar others of every vector, however far they are: table_name, id, neighbour, cosine, rank."""
-    parts = [neighbours.nearest(table(spark, folder, t), key, vector, newest, target_cosine=0.45, recall=0.97, probes=6, bucket=1024, bits=8).select(F.lit(t).alias("table_name"), "*") for t, key, vector, newest in VECTORS]
+    parts = [neighbours.nearest(table(spark, folder, t), key, vector, newest, target_cosine=0.45, recall=0.95, probes=6, bucket=1024, tables=16, bits=8).select(F.lit(t).alias("table_name"), "*") for t, key, vector, newest in VECTORS]
     return parts[0].unionByName(parts[1])
 
 
