@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import retrieval, text
+from quern.plans import graph, retrieval, text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text.QUERIES, **retrieval.QUERIES}
-SQL: dict[str, str] = {**text.SQL, **retrieval.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text.QUERIES, **retrieval.QUERIES, **graph.QUERIES}
+SQL: dict[str, str] = {**text.SQL, **retrieval.SQL, **graph.SQL}
