@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Dashes that become a hyphen and spaces that become a space.
-DASHES, SPACES = "‐‑‒–—", "  "
+DASHES, SPACES = "\u2010\u2011\u2012\u2013\u2014", "\u202f\u00a0"
 #: Characters outside Latin scripts (Cyrillic, CJK, Kana, Arabic, Devanagari, Thai, Hebrew, Hangul).
 NON_LATIN = "[\\x{0400}-\\x{04FF}\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{30FF}\\x{0600}-\\x{06FF}\\x{0900}-\\x{097F}\\x{0E00}-\\x{0E7F}\\x{0590}-\\x{05FF}\\x{AC00}-\\x{D7AF}]"
 #: Identifiers of equipment and papers (stock number, standard, part number, two letter codes, designator).

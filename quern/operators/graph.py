@@ -198,8 +198,8 @@ def communities(nodes: DataFrame, edges: DataFrame, most: int = 10, rounds: int
         votes = ways.join(labels.withColumnsRenamed({"node": "b"}), "b").select(F.col("a").alias("node"), "label", "weight").unionByName(labels.select("node", "label", F.lit(0.5).alias("weight")))
         total = votes.groupBy("node", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
         best = total.groupBy("node").agg(F.max("w").alias("top"))
-        # Half of the nodes move in a round, by hash, so that pairs don't swap labels for ever.
-        moving = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
+        # Another half of the nodes, by hash, moves in each round, so that pairs don't swap labels for ever.
+        moving = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
         chosen = total.join(best, "node").where("w = top").groupBy("node").agg(F.min("label").alias("next"))
         labels = materialise(labels.join(chosen, "node").select("node", F.when(moving, F.col("next")).otherwise(F.col("label")).alias("label")))
     w = Window.partitionBy("label").orderBy("node")
