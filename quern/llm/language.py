@@ -49,7 +49,7 @@ STEEP = 4.0
 SENTENCE_END = re.compile(r"(?:(?<=[.!?。])|(?<=[.!?。][\"'»)\]”’]))\s+|\s*\n+\s*|\s+/\s+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 WITH_DIGIT = re.compile(r"\S*\d\S*")
-INVISIBLE = re.compile("[­​-‏⁠﻿]")
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _LATIN = "ABCEHIKMOPTXacehijopsxy"
 _CYRILLIC = "АВСЕНІКМОРТХасеһіјорѕху"
 TO_LATIN = str.maketrans(_CYRILLIC + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", _LATIN + "ABEZHIKMNOPTYXo")

@@ -44,10 +44,10 @@ HYPHENS = {0x2010: "-", 0x2011: "-"}
 CHANGE = 40.0
 #: Nats that a bigram never seen costs.
 UNSEEN = 14.0
-RUN = re.compile(r"[^\W\d_][^\W\d_̀-ͯ]*(?:[̀-ͯ]+[^\W\d_̀-ͯ]*)*")
-EMOJI = re.compile("[☀-➿\U0001f000-\U0001faff]")
+RUN = re.compile(r"[^\W\d_][^\W\d_\u0300-\u036f]*(?:[\u0300-\u036f]+[^\W\d_\u0300-\u036f]*)*")
+EMOJI = re.compile("[\u2600-\u27bf\U0001f000-\U0001faff]")
 #: Scripts in which joiners change the shape of letters.
-JOINING = re.compile("[؀-ࣿऀ-෿က-႟ក-᢯]")
+JOINING = re.compile("[\u0600-\u08ff\u0900-\u0dff\u1000-\u109f\u1780-\u18af]")
 EDGE = "\n"
 
 
@@ -83,7 +83,7 @@ def plain(text: str) -> str:
         out = []
         for i, c in enumerate(text):
             near = text[max(0, i - 2) : i] + text[i + 1 : i + 2]
-            if c in "‍︎️" and EMOJI.search(near) or c in "‌‍" and JOINING.search(near):
+            if c in "\u200d\ufe0e\ufe0f" and EMOJI.search(near) or c in "\u200c\u200d" and JOINING.search(near):
                 out.append(c)
             else:
                 out.append(c.translate(TABLE))
