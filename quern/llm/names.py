@@ -60,7 +60,8 @@ def person(name: str) -> tuple[str, str, str] | None:
     s = unicodedata.normalize("NFKC", name)
     before, comma, after = s.partition(",")
     ws = [w.rstrip(".") for w in WORD.findall(s)]
-    keep = [w for w in ws if w.lower() not in TITLES]
+    # Two capitals at the end are initials, whatever title they may be elsewhere.
+    keep = [w for i, w in enumerate(ws) if w.lower() not in TITLES or (i and i == len(ws) - 1 and len(w) == 2 and w.isupper())]
     if not keep:
         return None
     full = [w for w in keep if len(w) > 1]
