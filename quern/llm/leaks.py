@@ -15,7 +15,6 @@ start at every (run - w + 1)-th word, while items have a window at every word.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -49,44 +48,44 @@ def _places(window: int, sample: int, repeats: int) -> np.ndarray:
     return np.stack([np.sort(rng.choice(2 * window, size=sample, replace=False)) for _ in range(repeats)])
 
 
-def _bits(steps: int, symbols: int) -> np.ndarray:
-    """The walk's random bits by step and symbol: a fixed hash, the same in every worker."""
-    z = (np.arange(steps, dtype=np.uint64)[:, None] << np.uint64(40)) + np.arange(symbols, dtype=np.uint64)[None, :] + np.uint64(SEED)
+def _bits(steps: int, symbols: int, walk: int) -> np.ndarray:
+    """A walk's random bits by step and symbol: a fixed hash, the same in every worker."""
+    z = (np.arange(steps, dtype=np.uint64)[:, None] << np.uint64(40)) + np.arange(symbols, dtype=np.uint64)[None, :] + np.uint64(SEED + (walk << 52))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return ((z ^ (z >> np.uint64(31))) & np.uint64(1)).astype(np.int8)
 
 
-def cgk_keys(ids: np.ndarray, starts: np.ndarray, window: int, bits: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """uint64 keys (repeat x window) of the windows of `ids` that begin at `starts`.
+def cgk_keys(ids: np.ndarray, starts: np.ndarray, window: int, walks: list[np.ndarray], places: np.ndarray) -> np.ndarray:
+    """uint64 keys (repeat x window) of the windows of `ids` that begin at `starts`; each repeat has a walk of its own.
 
     Symbols are non-negative; past its end a window reads the last symbol of
-    `bits`, the pad. The first 2 w of the 3 w steps are sampled, as later ones
-    mostly read pads.
+    the walk's bits, the pad. The first 2 w of the 3 w steps are sampled, as later
+    ones mostly read pads.
     """
-    pad = bits.shape[1] - 1
-    at = np.zeros(len(starts), dtype=np.int64)
     keys = np.full((len(places), len(starts)), 0x9E3779B97F4A7C15, dtype=np.uint64)
-    for step in range(2 * window):
-        symbol = np.where(at < window, ids[starts + np.minimum(at, window - 1)], pad)
-        for r, chosen in enumerate(places):
+    for r, (bits, chosen) in enumerate(zip(walks, places)):
+        at, pad = np.zeros(len(starts), dtype=np.int64), bits.shape[1] - 1
+        for step in range(int(chosen.max()) + 1):
+            symbol = np.where(at < window, ids[starts + np.minimum(at, window - 1)], pad)
             if step in chosen:
                 keys[r] = (keys[r] ^ (symbol.astype(np.uint64) + np.uint64(r << 32))) * np.uint64(0x100000001B3)
                 keys[r] ^= keys[r] >> np.uint64(29)
-        at += bits[step][symbol]
+            at += bits[step][symbol]
     return keys
 
 
-def repeats_for(edits: int, window: int = WINDOW, sample: int = SAMPLE, recall: float = RECALL) -> int:
-    """Repeats after which a window with so many random edits is found with probability `recall`.
+@lru_cache(maxsize=16)
+def repeats_for(edits: int, window: int = WINDOW, sample: int = SAMPLE, recall: float = RECALL, most: int = 64) -> int:
+    """Repeats after which a window with so many random edits is found with probability `recall`, but at most `most`.
 
     Equal windows collide in every repeat, so 0 edits need one. Otherwise the
-    chance of a collision is estimated on random windows.
+    share of random windows that have collided by each repeat is measured.
     """
     if edits == 0:
         return 1
     rng, trials, symbols = np.random.default_rng(SEED), 2000, 5000
-    bits = _bits(2 * window, symbols + 1)
+    walks = [_bits(2 * window, symbols + 1, r) for r in range(most)]
     a = rng.integers(0, symbols, size=(trials, window))
     b = []
     for row in a:
@@ -101,10 +100,10 @@ def repeats_for(edits: int, window: int = WINDOW, sample: int = SAMPLE, recall:
                 new.insert(i, int(rng.integers(0, symbols)))
         b.append((new + [symbols] * window)[:window])
     starts = np.arange(trials) * window
-    places = _places(window, sample, 32)
-    same = cgk_keys(a.reshape(-1), starts, window, bits, places) == cgk_keys(np.array(b).reshape(-1), starts, window, bits, places)
-    p = min(0.999, max(1e-3, float(same.mean())))
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+    places = _places(window, sample, most)
+    same = cgk_keys(a.reshape(-1), starts, window, walks, places) == cgk_keys(np.array(b).reshape(-1), starts, window, walks, places)
+    found = np.logical_or.accumulate(same, axis=0).mean(axis=1)
+    return int(np.argmax(found >= recall)) + 1 if found[-1] >= recall else most
 
 
 class Block:
@@ -120,9 +119,9 @@ class Block:
         self.ids, self.owner = np.array(flat, dtype=np.int64), np.array(owner, dtype=np.int64)
         self.other = len(self.vocabulary)
         self.window, self.places = window, _places(window, sample, repeats)
-        self.bits = _bits(2 * window, len(self.vocabulary) + 2)
+        self.walks = [_bits(2 * window, len(self.vocabulary) + 2, r) for r in range(repeats)]
         at = np.array(starts, dtype=np.int64)
-        keys = cgk_keys(self.ids, at, window, self.bits, self.places)
+        keys = cgk_keys(self.ids, at, window, self.walks, self.places)
         self.keys, self.at = [], []
         for k in keys:
             order = np.argsort(k, kind="stable")
@@ -131,7 +130,7 @@ class Block:
 
     def candidates(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document window start, item window start) pairs that agree in some repeat."""
-        keys = cgk_keys(ids, starts, self.window, self.bits, self.places)
+        keys = cgk_keys(ids, starts, self.window, self.walks, self.places)
         found = []
         for own, items, at in zip(keys, self.keys, self.at):
             low, high = np.searchsorted(items, own, side="left"), np.searchsorted(items, own, side="right")
