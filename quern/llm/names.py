@@ -68,7 +68,7 @@ def person(name: str) -> tuple[str, str, str] | None:
     if not full:
         return None
     head = [w.rstrip(".") for w in WORD.findall(before) if w.rstrip(".").lower() not in TITLES]
-    capitals = [w for w in full if w.isupper() and len(w) > 3]
+    capitals = [w for w in full if w.isupper() and (len(w) > 3 or (len(w) == 3 and w is full[0]))]
     if comma and head and WORD.findall(after):
         family = head[-1]
     elif len(capitals) == 1 and len(capitals) < len([w for w in full if len(w) > 3] or [0, 0]) or (len(capitals) == 1 and all(len(w) < 4 for w in full if w is not capitals[0])):
