@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import encode, language, leaks, lookalike, names, neardup, neighbours, reading, scans, split
+from quern.operators.vectors import topk
 from quern.tables import latest, materialise, table
 
 #: table, key, text column and the columns by which the latest delivery is known.
@@ -133,8 +134,24 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """The five most similar others of every vector, however far they are: table_name, id, neighbour, cosine, rank."""
-    parts = [neighbours.nearest(table(spark, folder, t), key, vector, newest, target_cosine=0.45, recall=0.95, probes=6, bucket=1024, tables=16, bits=8).select(F.lit(t).alias("table_name"), "*") for t, key, vector, newest in VECTORS]
+    """Of every vector the up to five most similar others at a cosine of 0.9 or more: table_name, id, neighbour, cosine, rank."""
+    parts = [neighbours.nearest(table(spark, folder, t), key, vector, newest, least_cosine=0.9).select(F.lit(t).alias("table_name"), "*") for t, key, vector, newest in VECTORS]
+    return parts[0].unionByName(parts[1])
+
+
+def p7_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar others, however far, of the stated query set (ids whose first eight digits make a number divisible by 20).
+
+    Beyond a cosine of about 0.6 hashing has to visit most buckets, so these
+    queries are compared with all vectors, in blocks.
+    """
+    parts = []
+    for t, key, vector, newest in VECTORS:
+        rows = latest(table(spark, folder, t).select(key, vector, newest), key, newest).select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+        asked = rows.where((F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint") % 20 == 0) & (F.size("vector") > 0)).withColumnRenamed("id", "qid")
+        found = topk(asked, rows, neighbours.K + 1).where("id <> qid")
+        w = Window.partitionBy("qid").orderBy("rank")
+        parts.append(found.select(F.lit(t).alias("table_name"), "qid", "id", F.round("score", 6).alias("cosine"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= neighbours.K))
     return parts[0].unionByName(parts[1])
 
 
@@ -162,7 +179,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_levels(spark, folder).select("doc_id", "level")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_entities, p2_found, p3_pieces, p3_found, p4_canonical, p4_found, p5_segments, p5_documents, p5_found, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p9_found, p9_leaks, p10_levels, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_entities, p2_found, p3_pieces, p3_found, p4_canonical, p4_found, p5_segments, p5_documents, p5_found, p6_found, p6_groups, p7_found, p7_neighbours, p7_search, p8_ids, p9_found, p9_leaks, p10_levels, p10_found)}
 
 SQL: dict[str, str] = {
     "p3_found": " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS table_name, {key} AS item_key FROM {t} WHERE length({text}) > 3000" for t, key, text, _ in ITEMS),
@@ -180,6 +197,11 @@ SQL: dict[str, str] = {
              c AS (SELECT a.id AS x, b.id AS y, list_dot_product(a.v, b.v) / (a.n * b.n) AS c FROM u a JOIN u b ON a.id <> b.id),
              t AS (SELECT x, y, c, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS r FROM c WHERE c >= 0.9)
         SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM t WHERE r <= 5)""" for t, key, vector, newest in VECTORS),
+    "p7_search": " UNION ALL ".join(f"""SELECT '{t}' AS table_name, * FROM (
+        WITH l AS (SELECT {key} AS id, {vector}::DOUBLE[] AS v FROM {t} WHERE {vector} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {newest} DESC) = 1),
+             u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM l WHERE list_dot_product(v, v) > 0)
+        SELECT a.id AS qid, b.id AS id, round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) AS cosine, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.v, b.v) / (a.n * b.n), 9) DESC, b.id) AS rank
+        FROM u a JOIN u b ON a.id <> b.id WHERE CAST('0x' || substr(a.id, 1, 8) AS BIGINT) % 20 = 0 QUALIFY rank <= 5)""" for t, key, vector, newest in VECTORS),
     "p9_found": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
              i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
