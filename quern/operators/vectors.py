@@ -33,7 +33,7 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
     bins = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dim)).cast("int"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(F.filter(bins, lambda b: b == i)) - F.size(F.filter(bins, lambda b: b == i + dim))).cast("double"))
-    return unit(counts)
+    return F.when(text.isNotNull(), unit(counts))
 
 
 def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[list, np.ndarray]]:

@@ -9,6 +9,7 @@ from quern.operators import graph as G
 from quern.operators import tables as U
 from quern.operators.components import components
 from quern.sources import documents as S
+from quern.sources.ontology import GROUPS
 from quern.streaming import watch
 from quern.tables import latest, materialise, table
 
@@ -185,6 +186,14 @@ def heading_carry(spark: SparkSession, d: str) -> DataFrame:
     return e.select("id", F.coalesce(F.last(F.when(F.col("element_type") == "heading", F.col("content_text")), ignorenulls=True).over(w), F.lit("")).alias("heading"))
 
 
+def ontology_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Entities by the layer of the ontology that their type belongs to."""
+    from quern.sources import ontology
+
+    layers = F.broadcast(ontology.entity_types(spark))  # the ontology's 46 types
+    return _entities(spark, d).join(layers, "entity_type", "left").groupBy(F.coalesce("layer", F.lit("unknown")).alias("layer")).agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
+
+
 def file_routes(spark: SparkSession, d: str) -> DataFrame:
     """Files by type and parser, of those that one of two patterns matches."""
     f = table(spark, d, "ingest_documents").select("document_id", "filename").distinct()
@@ -217,7 +226,7 @@ def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
     return spark.table("quern_event_windows").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
-QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, confidence_gate, resolved_edges, pipeline_metrics, graph_stats, graph_degree, entity_neighbours, entity_documents, document_units, cooccurrence_edges, khop_neighborhood, neighborhood_graph, mentions, mention_chunks, canonicalize, entity_descriptions, relationship_export, connected_components, communities, community_reports, global_search, upsert_merge, purge_document, stale_elements, json_patch, latest_event, heading_carry, file_routes, name_search, parse_documents, event_windows, stream_event_windows)}
+QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, confidence_gate, resolved_edges, pipeline_metrics, graph_stats, graph_degree, entity_neighbours, entity_documents, document_units, cooccurrence_edges, khop_neighborhood, neighborhood_graph, mentions, mention_chunks, canonicalize, entity_descriptions, relationship_export, connected_components, communities, community_reports, global_search, upsert_merge, purge_document, stale_elements, json_patch, latest_event, heading_carry, ontology_layers, file_routes, name_search, parse_documents, event_windows, stream_event_windows)}
 
 _EDGES = "e AS (SELECT DISTINCT from_name AS a, rel_type AS type, to_name AS b, md5(from_name || '|' || rel_type || '|' || to_name) AS edge_id FROM extracted_relationships WHERE from_name IS NOT NULL AND to_name IS NOT NULL)"
 _WAYS = f"{_EDGES}, ways AS (SELECT edge_id, a AS x, b AS y, type FROM e UNION ALL SELECT edge_id, b, a, type FROM e WHERE a <> b)"
@@ -260,6 +269,7 @@ SQL = {
     "json_patch": "SELECT event_id, CASE event_type WHEN 'error' THEN '' WHEN 'click' THEN '0' ELSE coalesce(json_extract_string(props, '$.k'), '') END AS k FROM events",
     "latest_event": "SELECT user_id, last(event_id ORDER BY ts, event_id) AS event_id, last(event_type ORDER BY ts, event_id) AS event_type, count(*) AS n FROM events GROUP BY 1",
     "heading_carry": "WITH e AS (SELECT * FROM document_elements QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1) SELECT id, coalesce(last_value(CASE WHEN element_type = 'heading' THEN content_text END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY element_order, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS heading FROM e",
+    "ontology_layers": "WITH t(layer, entity_type) AS (VALUES " + ", ".join(f"('{g}', '{t}')" for g, ts in GROUPS.items() for t in ts.split()) + ") SELECT coalesce(layer, 'unknown') AS layer, count(*) AS n, count(DISTINCT name) AS names FROM extracted_entities LEFT JOIN t USING (entity_type) GROUP BY 1",
     "file_routes": "WITH f AS (SELECT DISTINCT document_id, lower(regexp_extract(filename, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM ingest_documents WHERE regexp_matches(filename, '^.*\\.pdf$|^[0-9].*$')), t(ext, mime_type) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in S.TYPES.items()) + "), m AS (SELECT coalesce(mime_type, 'application/octet-stream') AS mime_type FROM f LEFT JOIN t USING (ext)) SELECT mime_type, CASE WHEN mime_type LIKE '%pdf%' OR mime_type LIKE '%officedocument%' THEN 'converter' WHEN mime_type LIKE 'image/%' THEN 'image' WHEN mime_type LIKE 'text/%' THEN 'text' ELSE 'none' END AS parser, count(*) AS n FROM m GROUP BY 1, 2",
     "name_search": "SELECT DISTINCT name, entity_type FROM extracted_entities WHERE contains(lower(name), 'cor') ORDER BY name, entity_type LIMIT 10",
     "event_windows": _DAYS,
