@@ -16,6 +16,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, as read from a table, over all cores: rows are dealt out anew only where the files make fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest(df: DataFrame, key: str | list[str], *newest: str) -> DataFrame:
     """One row for each `key`: the one with the greatest `newest` columns.
 
