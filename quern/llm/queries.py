@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 
 from quern.llm import encode, language, leaks, lookalike, names, neardup, neighbours, reading, scans, split
 from quern.operators.vectors import topk
-from quern.tables import latest, materialise, table
+from quern.tables import latest, materialise, spread, table
 
 #: table, key, text column and the columns by which the latest delivery is known.
 ITEMS = (("structured_chunks", "chunk_key", "text", ()), ("ingest_documents", "document_id", "markdown", ("updated_at",)), ("extraction_requests", "request_id", "text", ("requested_at",)))
 
 
+def _rows(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The columns of a table that an operator reads, over all cores."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def _repaired(spark: SparkSession, folder: str) -> DataFrame:
-    elements = table(spark, folder, "document_elements")
+    elements = _rows(spark, folder, "document_elements", "id", "document_id", "element_type", "content_text", "page_number", "confidence", "updated_at")
     reader = scans.learn(elements.select("content_text", F.col("confidence").isNotNull().alias("scanned")))
     scanned = scans.scanned_documents(elements, table(spark, folder, "structured_chunks"), table(spark, folder, "ingest_documents"))
     return scans.repair_elements(elements, scanned, reader)
@@ -50,13 +55,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every item of the three tables: table_name, item_key, piece_no, start, end, piece_text."""
-    parts = [split.split_items(latest(table(spark, folder, t).select(key, text, *newest), key, *newest), key, text).select(F.lit(t).alias("table_name"), "*") for t, key, text, newest in ITEMS]
+    parts = [split.split_items(latest(_rows(spark, folder, t, key, text, *newest), key, *newest), key, text).select(F.lit(t).alias("table_name"), "*") for t, key, text, newest in ITEMS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Items that had to be cut: those with more than one piece."""
-    parts = [split.item_sizes(table(spark, folder, t), key, text, *newest).where("n_pieces > 1").select(F.lit(t).alias("table_name"), "item_key") for t, key, text, newest in ITEMS]
+    parts = [split.item_sizes(_rows(spark, folder, t, key, text, *newest), key, text, *newest).where("n_pieces > 1").select(F.lit(t).alias("table_name"), "item_key") for t, key, text, newest in ITEMS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -65,7 +70,7 @@ LOOKS = (("text_chunks", "id", "chunk_text"), ("document_elements", "id", "conte
 
 
 def _lattice(spark: SparkSession, folder: str) -> lookalike.Lattice:
-    texts = [table(spark, folder, t).select(F.col(text).alias("text")) for t, _, text in LOOKS]
+    texts = [_rows(spark, folder, t, text).withColumnRenamed(text, "text") for t, _, text in LOOKS]
     return lookalike.Lattice(lookalike.bigram_counts(texts[0].unionByName(texts[1]), "text"))
 
 
@@ -78,12 +83,12 @@ def p4_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     lattice = _lattice(spark, folder)
-    parts = [lookalike.same_look_pairs(table(spark, folder, t), key, text, lattice, "updated_at").select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, key, text in LOOKS]
+    parts = [lookalike.same_look_pairs(_rows(spark, folder, t, key, text, "updated_at"), key, text, lattice, "updated_at").select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, key, text in LOOKS]
     return parts[0].unionByName(parts[1])
 
 
 def _tagged(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = table(spark, folder, "text_chunks")
+    chunks = _rows(spark, folder, "text_chunks", "id", "document_id", "chunk_text", "updated_at")
     model = language.train(table(spark, folder, "ingest_documents"), chunks)
     if model is None:
         return spark.createDataFrame([], f"id string, document_id string, segments {language.SEGMENT}")
@@ -114,13 +119,13 @@ SIMILAR = (("text_chunks", "id", "chunk_text"), ("ingest_documents", "document_i
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [neardup.similar_pairs(table(spark, folder, t), key, text, "updated_at").select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, key, text in SIMILAR]
+    parts = [neardup.similar_pairs(_rows(spark, folder, t, key, text, "updated_at"), key, text, "updated_at").select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, key, text in SIMILAR]
     return parts[0].unionByName(parts[1])
 
 
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Each record with its class of equal texts and its number of links, by five-word shingles at 0.8."""
-    parts = [neardup.similar_groups(table(spark, folder, t), key, text, "updated_at").select(F.lit(t).alias("table_name"), "*") for t, key, text in SIMILAR]
+    parts = [neardup.similar_groups(_rows(spark, folder, t, key, text, "updated_at"), key, text, "updated_at").select(F.lit(t).alias("table_name"), "*") for t, key, text in SIMILAR]
     return parts[0].unionByName(parts[1])
 
 
@@ -129,13 +134,13 @@ VECTORS = (("text_chunks", "id", "embedding", "updated_at"), ("image_chunks", "i
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [neighbours.near_pairs(table(spark, folder, t), key, vector, newest).select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, key, vector, newest in VECTORS]
+    parts = [neighbours.near_pairs(_rows(spark, folder, t, key, vector, newest), key, vector, newest).select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, key, vector, newest in VECTORS]
     return parts[0].unionByName(parts[1])
 
 
 def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """Of every vector the up to five most similar others at a cosine of 0.9 or more: table_name, id, neighbour, cosine, rank."""
-    parts = [neighbours.nearest(table(spark, folder, t), key, vector, newest, least_cosine=0.9).select(F.lit(t).alias("table_name"), "*") for t, key, vector, newest in VECTORS]
+    parts = [neighbours.nearest(_rows(spark, folder, t, key, vector, newest), key, vector, newest, least_cosine=0.9).select(F.lit(t).alias("table_name"), "*") for t, key, vector, newest in VECTORS]
     return parts[0].unionByName(parts[1])
 
 
@@ -156,21 +161,21 @@ def p7_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encode.encode_corpus(table(spark, folder, "documents"))
+    return encode.encode_corpus(_rows(spark, folder, "documents", "doc_id", "text"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+    return leaks.find_leaks(_rows(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """As p9_found with the longest common run, and with documents that hold a window of an item within two word edits."""
-    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), window=leaks.RUN, edits=2)
+    return leaks.find_leaks(_rows(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items"), window=leaks.RUN, edits=2)
 
 
 def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
     """Level and confidence of each English document of at least 40 words."""
-    docs = table(spark, folder, "documents").where("lang = 'en'")
+    docs = spread(table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text"))
     model = reading.train(docs, table(spark, folder, "reading_labels"))
     return reading.grade(docs, model) if model else spark.createDataFrame([], "doc_id bigint, level int, confidence double")
 
