@@ -6,8 +6,11 @@ vectors that miss each other's bucket mostly do so by one step in the
 coordinates that lie next to a cell border, so each vector is also sent to the
 buckets of the likeliest such steps, in the order of the estimated success.
 Members of a bucket are compared in blocks by sketches or 8-bit vectors, which
-are all that is shuffled; the merged candidates of all tables are reranked by
-their exact distance.
+are all that is shuffled of sparse buckets. An estimate only tells whether a pair
+may reach the bound; it never ranks. Where a member has more such partners than
+are worth a row each, it and they are sent on with their full vectors, and its k
+nearest in the bucket are found by exact cosines. The merged candidates of all
+tables are reranked by their exact distance.
 
 M grows with the logarithm of the number of vectors, so that buckets keep their
 size, as long as the fixed number of tables reaches the recall wanted at the
@@ -38,6 +41,8 @@ BUCKET = 128
 TILE = 8192
 #: Hash tables, and the recall of the candidate search at the target cosine.
 TABLES, RECALL = 8, 0.99
+#: Partners of a member in a bucket, in units of k, beyond which they are ranked there by full vectors instead of being sent on as pairs.
+CROWD = 4
 #: Bits of a sketch: the signs of a vector's projections on random directions.
 SKETCH = 192
 #: Standard deviations by which a sketch may overstate an angle (3.5: it loses one pair in 4,000), and the most a cosine of 8-bit vectors is off.
@@ -166,8 +171,13 @@ class Compare:
         return x @ y.T
 
 
-def _near(least: float, k: int, bits: int):
-    """Pairing that keeps, for each member of a bucket, its k best partners among those that may reach `least`."""
+def _near(least: float, crowd: int, bits: int):
+    """Pairing that yields (a, b, -1) for the pairs that may reach `least` of members with at most `crowd` such partners.
+
+    The other members and their partners come as (block, member, role), to be
+    compared exactly. The block is known by what it holds, so that equal ones of
+    several tables are one.
+    """
     compare = Compare(bits, least)
     least = compare.least
 
@@ -179,20 +189,26 @@ def _near(least: float, k: int, bits: int):
                 continue
             v = compare.ready(payload[s:e])
             own, ids = role[s:e], member[s:e]
+            sent = np.zeros(e - s, dtype=bool)
             for lo in range(0, e - s, 512):
                 hi = min(lo + 512, e - s)
-                c = compare.matrix(v[lo:hi], v)
-                c[~may_pair(own[lo:hi, None], own[None, :])] = -2
-                c[np.arange(hi - lo), np.arange(lo, hi)] = -2
-                if k < c.shape[1]:
-                    kth = -np.partition(-c, k - 1, axis=1)[:, k - 1 : k]
-                    x, y = np.nonzero((c >= kth) & (c >= least))
-                else:
-                    x, y = np.nonzero(c >= least)
+                may = (compare.matrix(v[lo:hi], v) >= least) & may_pair(own[lo:hi, None], own[None, :])
+                may[np.arange(hi - lo), np.arange(lo, hi)] = False
+                crowded = may.sum(axis=1) > crowd
+                if crowded.any():
+                    sent[lo:hi] |= crowded
+                    sent |= may[crowded].any(axis=0)
+                    may[crowded] = False
+                x, y = np.nonzero(may)
                 if len(x):
                     p, q = ids[lo + x], ids[y]
-                    out.append([np.minimum(p, q), np.maximum(p, q), c[x, y]])
+                    out.append([np.minimum(p, q), np.maximum(p, q), np.full(len(x), -1, dtype=np.int32)])
                     size += len(x)
+            if sent.any():
+                p, q = ids[sent], own[sent]
+                block = np.array([xxhash.xxh64_intdigest(p.tobytes() + q.tobytes())], dtype=np.uint64).view(np.int64)
+                out.append([np.full(len(p), block[0]), p, q])
+                size += len(p)
             if size > 500_000:
                 yield [np.concatenate(z) for z in zip(*out)]
                 out, size = [], 0
@@ -202,6 +218,35 @@ def _near(least: float, k: int, bits: int):
     return pairing
 
 
+def _block_nearest(k: int, least: float):
+    """Of each member of a block (block, mark, role, v) its k nearest by exact cosine, at `least` or more, as (a, b); ties by mark."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("mark")
+        mark, role = block.column("mark").to_numpy(), block.column("role").to_numpy()
+        n = len(mark)
+        v = block.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        out = [np.zeros((2, 0), dtype=np.int64)]
+        for lo in range(0, n, 128):
+            hi = min(lo + 128, n)
+            c = v[lo:hi] @ v.T
+            c[~may_pair(role[lo:hi, None], role[None, :])] = -2
+            c[np.arange(hi - lo), np.arange(lo, hi)] = -2
+            keep = (c > -2) & (c >= least - 1e-9)
+            if k < n:
+                kth = -np.partition(-c, k - 1, axis=1)[:, k - 1 : k]
+                above, level = c > kth, c == kth
+                keep &= above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+            x, y = np.nonzero(keep)
+            p, q = mark[lo + x], mark[y]
+            out.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def similar_classes(df: DataFrame, key: str, vector: str, dim: int, members: DataFrame, plan: Plan, k: int, least_cosine: float, bits: int) -> DataFrame:
     """(a, b, cosine) of different marks, a < b: bucket candidates with their exact cosine, at least `least_cosine`."""
     source = df.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v"))
@@ -226,15 +271,14 @@ def similar_classes(df: DataFrame, key: str, vector: str, dim: int, members: Dat
                     yield pa.RecordBatch.from_arrays([pa.array(keys[:, p].view(np.int64)), pa.array(marks), pa.array(np.full(len(marks), HOME if p == 0 else PROBE, dtype=np.int32)), blob], names=["key", "member", "role", "payload"])
 
     rows = source.select("v").mapInArrow(hashed, "key bigint, member bigint, role int, payload binary")
-    found = bucket_pairs(rows, _near(least_cosine, 4 * k, bits), "a bigint, b bigint, about float", TILE).groupBy("a", "b").agg(F.max("about").alias("about"))
-    if least_cosine <= -1:  # the best candidates of each vector only, with a margin for the estimates
-        either = found.select("a", "b", F.col("a").alias("x"), "about").unionAll(found.select("a", "b", F.col("b").alias("x"), "about"))
-        w = Window.partitionBy("x").orderBy(F.desc("about"), "a", "b")
-        found = either.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 4 * k).select("a", "b").distinct()
-    found = materialise(found.select("a", "b"))
+    found = materialise(bucket_pairs(rows, _near(least_cosine, CROWD * k, bits), "a bigint, b bigint, role int", TILE).distinct())
+    pairs, crowds = found.where("role < 0").select("a", "b"), found.where("role >= 0").select(F.col("a").alias("block"), F.col("b").alias("mark"), "role")
     first = members.groupBy("mark").agg(F.min("id").alias("id"))
-    wanted = found.select(F.col("a").alias("mark")).union(found.select("b")).distinct().join(first, "mark")
+    wanted = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).union(crowds.select("mark")).distinct().join(first, "mark")
     vectors = source.join(wanted, "id").select("mark", "v").dropDuplicates(["mark"])
+    if crowds.take(1):
+        vectors = materialise(vectors)
+        pairs = materialise(pairs.union(crowds.join(vectors, "mark").select("block", "mark", "role", "v").groupBy("block").applyInArrow(_block_nearest(k, least_cosine), "a bigint, b bigint")).distinct())
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +288,7 @@ def similar_classes(df: DataFrame, key: str, vector: str, dim: int, members: Dat
                 keep = pa.array(c >= least_cosine)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(c).filter(keep)], names=["a", "b", "cosine"])
 
-    full = found.join(vectors.withColumnsRenamed({"mark": "a", "v": "x"}), "a").join(vectors.withColumnsRenamed({"mark": "b", "v": "y"}), "b").select("a", "b", "x", "y")
+    full = pairs.join(vectors.withColumnsRenamed({"mark": "a", "v": "x"}), "a").join(vectors.withColumnsRenamed({"mark": "b", "v": "y"}), "b").select("a", "b", "x", "y")
     return full.mapInArrow(exact, "a bigint, b bigint, cosine double")
 
 

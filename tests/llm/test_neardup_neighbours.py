@@ -101,3 +101,31 @@ def test_hot_vector_has_five_neighbours_each(spark):
     df = spark.createDataFrame([(f"{i:04}", [1.0, 2.0, 3.0]) for i in range(500)], "id string, v array<float>").withColumn("t", F.timestamp_seconds(F.lit(1)))
     got = neighbours.nearest(df, "id", "v", "t", least_cosine=0.9).collect()
     assert len(got) == 2500 and {r.neighbour for r in got} == {f"{i:04}" for i in range(6)}
+
+
+def test_dense_group_of_distinct_vectors(spark):
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.standard_normal((1, 48)) + 0.2 * rng.standard_normal((2000, 48)), rng.standard_normal((300, 48))]).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:04}", [float(x) for x in r]) for i, r in enumerate(v)], "id string, v array<float>").withColumn("t", F.timestamp_seconds(F.lit(1))).repartition(4)
+    got = {}
+    for r in neighbours.nearest(df, "id", "v", "t", least_cosine=0.9).collect():
+        got.setdefault(int(r.id), {})[int(r.neighbour)] = r.cosine
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -1)
+    want = {(i, j) for i in range(len(v)) for j in np.argsort(-c[i])[:5].tolist() if c[i, j] >= 0.9}
+    have = {(i, j) for i, x in got.items() for j in x}
+    assert len(want) >= 10_000 and len(want & have) >= 0.99 * len(want)
+    assert all(len(x) <= 5 and all(abs(c[i, j] - s) < 1e-6 for j, s in x.items()) for i, x in got.items())
+
+
+def test_crowded_tiles_rank_exactly(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE", 64)
+    v = (np.ones(16) + 0.2 * np.random.default_rng(3).standard_normal((300, 16))).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:04}", [float(x) for x in r]) for i, r in enumerate(v)], "id string, v array<float>").withColumn("t", F.timestamp_seconds(F.lit(1)))
+    got = {(int(r.id), int(r.neighbour)) for r in neighbours.nearest(df, "id", "v", "t", least_cosine=0.9).collect()}
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -1)
+    want = {(i, j) for i in range(300) for j in np.argsort(-c[i])[:5].tolist() if c[i, j] >= 0.9}
+    assert len(want) > 1000 and len(want & got) >= 0.99 * len(want)
