@@ -44,9 +44,10 @@ SIGNS = frozenset("0123456789|!@$€")
 HYPHEN = "[-‐‑¬\xad]"
 TOKEN = re.compile(r"[^\W_|!@$€]*[^\W\d_][^\W_]*(?:[|!@$€]+[^\W_]+)*[|!@$€]*|[|!@$€]+[^\W_]+(?:[|!@$€]+[^\W_]+)*[|!@$€]*")
 WORDISH = re.compile(r"(?:[^\W_]|[|!@$€])+")
-#: White-space tokens with a digit, and which of them are codes such as part numbers rather than misread words.
+#: White-space tokens with a digit, and which of them are codes such as part numbers, unless the whole token is a misread word.
 DIGITAL = re.compile(r"(?<!\S)[^\s\d]*+\d\S*")
 CODE = re.compile(r"\d-|-\d|-[A-Z0-9]*\d|[A-Z]\d|\d[A-Z]|\d{3}")
+EDGES = re.compile(r"\A[^\w|!@$€]+|[^\w|!@$€]+\Z")
 WORDS = re.compile(r"[^\W_]+(?:[-‐‑][^\W_]+)*")
 MIXED = re.compile(r"\w*(?:[A-Za-z][Ѐ-ӿͰ-Ͽ]|[Ѐ-ӿͰ-Ͽ][A-Za-z])\w*")
 SOFT = re.compile("\xad(?![ \\t]*\\n)")
@@ -354,7 +355,7 @@ def repair(text: str | None, page: int | None, heads: Heads, reader: Reader) ->
         code = k < len(spans) and spans[k][0] <= t.start() < spans[k][1]
         if code:
             chunk = s[spans[k][0] : spans[k][1]]
-            if CODE.search(chunk) or sum(c.isalpha() for c in word) < 2:
+            if sum(c.isalpha() for c in word) < 2 or (CODE.search(chunk) and EDGES.sub("", chunk) != word):
                 continue
         fixed = reader.correct(word, low[max(0, n - WINDOW) : n] + low[n + 1 : n + 1 + WINDOW])
         if fixed:

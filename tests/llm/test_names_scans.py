@@ -119,3 +119,12 @@ def test_elements(spark):
     assert S.repair_elements(el.where("false"), scanned, READER).count() == 0
     r = S.learn(el.withColumn("scanned", F.col("confidence").isNotNull()))
     assert isinstance(r, S.Reader) and S.learn(el.where("false").withColumn("scanned", F.lit(True))).known == {}
+
+
+def test_capitals_beside_digits_are_misread_words_or_codes():
+    known = dict.fromkeys(("please", "clean", "configuration", "the", "pump", "valve"), (100, 0))
+    reader = S.Reader(known, {}, (np.zeros((0, 1)), np.zeros((0, 1))))
+    fix = lambda s: S.repair(s, None, S.Heads("X1_Manual.pdf"), reader)[1]
+    assert fix("P1ease (C1ean) the pump, C0nfiguration of THE VA1VE.") == "Please (Clean) the pump, Configuration of THE VALVE."
+    for code in ("K4T9", "PN-C1ean", "C1ean/7", "B12", "A320x", "4711-P1ease"):
+        assert fix(f"the pump {code} valve") == f"the pump {code} valve"
