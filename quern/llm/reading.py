@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.tables import materialise
+
 LEAST_WORDS = 40
 #: Graded texts used for the fit, chosen by hash.
 SAMPLE = 4000
-#: Words whose corpus count is told apart; rarer ones count as the rarest of these.
-VOCABULARY = 50_000
 FOLDS = 5
 PENALTY = 3.0
 STEPS = 1500
@@ -42,8 +42,14 @@ def plain(text: str) -> str:
     return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
 
 
-def word_counts(docs: DataFrame, text: str) -> dict[str, int]:
-    """Counts of the VOCABULARY most frequent words without digits over all texts, ties by word; counted in each task first."""
+class Counts(dict[str, int]):
+    """Counts of the words above the least count; all others have the least. The total is of all words."""
+
+    total, floor = 0, 1
+
+
+def word_counts(docs: DataFrame, text: str) -> Counts:
+    """Counts of all words without digits over all texts; counted in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
@@ -56,8 +62,13 @@ def word_counts(docs: DataFrame, text: str) -> dict[str, int]:
                 total = Counter()
         yield _counts(total)
 
-    rows = docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r.word: r.n for r in rows.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()}
+    rows = materialise(docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    every = rows.agg(F.sum("n").alias("total"), F.min("n").alias("floor")).first()
+    out = Counts()
+    if every.total:
+        out.total, out.floor = every.total, every.floor
+        out.update((r.word, r.n) for r in rows.where(F.col("n") > every.floor).toLocalIterator())
+    return out
 
 
 def _counts(total: Counter[str]) -> pa.RecordBatch:
@@ -90,8 +101,9 @@ class Features:
     """Feature rows of texts, under given corpus counts and grades."""
 
     def __init__(self, counts: dict[str, int], grades: Grades):
-        self.total = max(1, sum(counts.values()))
-        self.floor = min(counts.values(), default=1)
+        whole = isinstance(counts, Counts)
+        self.total = max(1, counts.total if whole else sum(counts.values()))
+        self.floor = counts.floor if whole else min(counts.values(), default=1)
         self.counts, self.grades = counts, grades
         self.known: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
@@ -219,7 +231,7 @@ def grade(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     Null, empty and shorter texts have no row; repeated rows of a document give
     one.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and SAMPLE
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # grows with the different words of more than the least count, and SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -88,3 +88,15 @@ def test_grading_odd_rows(spark):
     assert {r.doc_id for r in got} == want and len(got) == len(want)
     assert R.train(docs, labels.where("false")) is None
     assert R.grade(docs.where("false"), m).count() == 0
+
+
+def test_rarity_counts_every_word(spark):
+    from quern.llm import reading
+
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    df = spark.createDataFrame([(" ".join(map(word, range(55_000))),), (" ".join(map(word, range(56_000))),)], "t string")
+    counts = reading.word_counts(df, "t")
+    features = reading.Features(counts, reading.Grades([], np.array([], dtype=np.int64), 2))
+    assert features.total == 111_000 and features.floor == 1
+    assert all(features.counts.get(word(i), features.floor) == (2 if i < 55_000 else 1) for i in range(56_000))
+    assert reading.word_counts(df.where("false"), "t") == {}
