@@ -97,14 +97,15 @@ def query_terms(c: Column) -> Column:
 def sections(c: Column) -> Column:
     """Sections of a description, headers included: by the first kind of header that occurs twice, else by paragraphs, else whole.
 
-    Pieces under ten characters are left out; if none is longer, the whole text stays.
+    Pieces under ten characters are left out. A blank text and one under ten
+    characters have no sections; null stays null.
     """
     long = lambda a: F.filter(F.transform(a, strip), lambda x: F.length(x) >= 10)
-    out = long(F.split(c, "\\n[ \\t]*\\n"))
+    out = long(F.split(c, "\\n\\n"))
     for p in reversed(SECTION_HEADERS):
-        twice = F.size(F.regexp_extract_all(c, F.lit(f"(?m){p}"), F.lit(0))) >= 2
-        out = F.when(twice, long(F.split(c, f"(?m)(?={p})"))).otherwise(out)
-    return F.when(F.size(out) > 0, out).otherwise(F.array(strip(c)))
+        twice = F.size(F.regexp_extract_all(c, F.lit(f"(?md){p}"), F.lit(0))) >= 2
+        out = F.when(twice, long(F.split(c, f"(?md)(?={p})"))).otherwise(out)
+    return F.when(F.size(out) > 0, out).when(c.isNotNull(), long(F.array(c)))
 
 
 def json_text(c: Column) -> Column:

@@ -1,15 +1,21 @@
-"""Cutting documents into chunks: word and character windows in closed form, structure-aware chunks by an ordered fold."""
+"""Cutting documents into chunks: word and character windows in closed form, structure-aware chunks by sections."""
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
+from quern.operators.ordered import running_sum
+from quern.tables import materialise
 
 #: Tokens of a chunk and of the overlap, tokens a word.
 TOKENS, OVERLAP, RATE = 512, 64, 1.3
+#: Words stand between ASCII white space, as in the column functions.
+WORD = re.compile(r"[^ \t\r\n\f]+")
 
 
 def word_windows(df: DataFrame, key: str, text: str, most: int = TOKENS, overlap: int = OVERLAP) -> DataFrame:
@@ -34,95 +40,96 @@ def char_windows(df: DataFrame, key: str, text: str, size: int = 100_000, overla
     return rows.select(key, (F.col("start") / step).cast("int").alias("window_no"), "start", F.substring(F.col("body"), F.col("start") + 1, F.lit(size)).alias("window_text"))
 
 
-def _count(text: str) -> int:
-    return int(len(text.split()) * RATE)
+def paragraph_spans(sizes: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
+    """[first, end) of the pieces that paragraphs of these sizes fill up to `most`; a piece begins with the paragraph before it if that is at most `overlap`."""
+    first, used, spans = 0, 0, []
+    for i, n in enumerate(sizes):
+        if i > first and used + n > most:
+            spans.append((first, i))
+            first = i - 1 if 0 < overlap and sizes[i - 1] <= overlap else i
+            used = sum(sizes[first:i])
+        used += n
+    return [*spans, (first, len(sizes))]
 
 
 def split_long(text: str, most: int, overlap: int) -> list[str]:
-    """A text over the limit by its paragraphs, packed greedily with a short last paragraph carried over; one paragraph alone by word windows."""
-    if _count(text) <= most:
+    """A text in pieces of `most` tokens: as it is, by paragraphs (kept whole, as they stand), or one paragraph by word windows."""
+    words = WORD.findall(text)
+    if int(len(words) * RATE) <= most:
         return [text]
-    paragraphs = [p.strip() for p in text.split("\n\n") if p.strip()]
-    if len(paragraphs) < 2:
-        ws = text.split()
-        size = max(1, int(most / RATE))
-        step = size - min(int(overlap / RATE), size - 1)
-        starts = range(0, max(1, len(ws) - size + step), step)
-        return [" ".join(ws[i : i + size]) for i in starts if i == 0 or i < len(ws)]
-    out, held, used = [], [], 0
-    for p in paragraphs:
-        n = _count(p)
-        if held and used + n > most:
-            out.append("\n\n".join(held))
-            last = held[-1]
-            held = [last] if overlap > 0 and _count(last) <= overlap else []
-            used = sum(map(_count, held))
-        held.append(p)
-        used += n
-    if held:
-        out.append("\n\n".join(held))
-    return out
-
-
-def fold_elements(rows: list[tuple], most: int, overlap: int) -> list[tuple]:
-    """Chunks (text, modality, page, section, uids, heading) of one document's (order, type, text, page, section, uid), in order.
-
-    A heading opens a chunk and its text joins it; tables, equations and images
-    stand alone under the heading; other text is appended until it would exceed
-    the limit. After such an overflow the heading isn't carried on.
-    """
-    out: list[tuple] = []
-    held: list[str] = []
-    uids: list[str] = []
-    page = section = heading = None
-
-    def flush() -> None:
-        nonlocal held, uids, page, section, heading
-        if held:
-            out.extend((piece, "text", page, section, list(uids), heading) for piece in split_long("\n\n".join(held), most, overlap))
-        held, uids, page, section, heading = [], [], None, None, None
-
-    for _, kind, text, p, s, uid in sorted(rows, key=lambda r: r[0]):
-        t = (text or "").strip()
-        if not t:
-            continue
-        if kind == "heading":
-            flush()
-            held, uids, page, section, heading = [t], [uid], p, s, t
-        elif kind in ("table", "equation", "image"):
-            above = heading
-            flush()
-            out.append((t, kind, p, s, [uid], above))
-        else:
-            if held and _count("\n\n".join(held)) + _count(t) > most:
-                flush()
-                page, section = p, s
-            held.append(t)
-            uids.append(uid)
-            page = p if page is None else page
-            section = s if section is None else section
-    flush()
+    paragraphs = text.split("\n\n")
+    if len(paragraphs) > 1:
+        spans = paragraph_spans([int(len(WORD.findall(p)) * RATE) for p in paragraphs], most, overlap)
+        return ["\n\n".join(paragraphs[a:b]) for a, b in spans]
+    size = max(1, int(most / RATE))
+    step = size - min(int(overlap / RATE), size - 1)
+    return [" ".join(words[k * step : k * step + size]) for k in range(max(1, -(-(len(words) - size) // step) + 1))]
+
+
+def pack_places(words: list[int], most: int) -> list[int]:
+    """The number of the chunk that each element of a section falls in, by the elements' words: a chunk takes elements while they fit."""
+    out, held, chunk = [], 0, 0
+    for n in words:
+        if held and int(held * RATE) + int(n * RATE) > most:
+            held, chunk = 0, chunk + 1
+        out.append(chunk)
+        held += n
     return out
 
 
 CHUNK = "document_id string, chunk_index int, modality string, page_number int, section_path string, element_uids array<string>, heading_text string, text string"
+ALONE = ("table", "equation", "image")
 
 
 def structured(elements: DataFrame, most: int = TOKENS, overlap: int = OVERLAP) -> DataFrame:
-    """Structure-aware chunks of document_elements-like rows, one fold a document.
-
-    A document is one group: its chunks depend on the order of its elements, so
-    it is folded in one task, whatever the other documents of its source. A null
-    order counts as 0; blank elements make no chunk.
+    """Structure-aware chunks of document_elements-like rows.
+
+    Headings and the elements that stand alone (tables, equations, images) part
+    a document into sections, which are numbered by a running count over spans of
+    places. A section's texts fill chunks in order, the heading first; a chunk
+    over the limit is split. What stands alone is a chunk with the heading above
+    it, if that heading's section wasn't cut. Page and section path of a chunk are
+    the first known ones of its elements.
+
+    Only the word counts of a section are gathered in one row, so neither a long
+    document nor a long section is held in a task as text. A null order counts as
+    0, blank elements make no chunk, rows without a document are dropped, and
+    elements that repeat order and uid share a place.
     """
-    rows = elements.where(F.col("document_id").isNotNull()).select("document_id", F.coalesce("element_order", F.lit(0)).alias("o"), "element_type", "content_text", F.col("page_number").cast("int").alias("page"), "section_path", "element_uid")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        clean = lambda v: None if v is None or v != v else v
-        got = fold_elements([(r[1], r[2], clean(r[3]), clean(r[4]), clean(r[5]), r[6]) for r in pdf.sort_values(["o", "element_uid"], kind="stable").itertuples(index=False, name=None)], most, overlap)
-        return pd.DataFrame([(pdf["document_id"].iloc[0], i, m, None if p is None else int(p), s, u, h, t) for i, (t, m, p, s, u, h) in enumerate(got)], columns=[c.split()[0] for c in CHUNK.split(", ")]).astype({"page_number": "Int32"})
-
-    return rows.groupBy("document_id").applyInPandas(fold, CHUNK)
+    rows = elements.where(F.col("document_id").isNotNull()).select("document_id", F.coalesce("element_order", F.lit(0)).alias("o"), "element_type", X.strip(F.col("content_text")).alias("t"), F.col("page_number").cast("int").alias("page"), "section_path", "element_uid").where("t <> ''")
+    marks = F.col("element_type").isin("heading", *ALONE)
+    rows = materialise(running_sum(rows, ["document_id"], "o", ["element_uid"], marks.cast("int"), "c"))
+    alone = rows.where(F.col("element_type").isin(*ALONE))
+    prose = rows.where(F.col("element_type").isNull() | ~F.col("element_type").isin(*ALONE))
+
+    @F.pandas_udf("array<int>")
+    def places(sections: pd.Series) -> pd.Series:
+        return sections.map(lambda words: pack_places(words, most))
+
+    item = F.struct("o", F.coalesce("element_uid", F.lit("")).alias("uid"), F.size(X.tokens(F.col("t"))).alias("n"))
+    sections = prose.groupBy("document_id", "c").agg(F.array_sort(F.array_distinct(F.collect_list(item))).alias("s"))
+    sections = sections.withColumn("p", places(F.transform("s", lambda x: x["n"])))
+    placed = sections.select("document_id", "c", F.explode(F.arrays_zip("s", "p")).alias("z")).select("document_id", "c", F.col("z.s.o").alias("o"), F.col("z.s.uid").alias("uid"), F.col("z.p").alias("part")).distinct()
+    whole = sections.select("document_id", (F.col("c") + 1).alias("c"), (F.element_at("p", -1) == 0).alias("whole"))
+    heads = rows.where("element_type = 'heading'").select("document_id", "c", F.col("t").alias("heading"))
+
+    every = prose.withColumn("uid", F.coalesce("element_uid", F.lit(""))).join(placed, ["document_id", "c", "o", "uid"])
+    ordered = F.array_sort(F.collect_list(F.struct("o", "uid", "element_uid", "page", "section_path", "t")))
+    chunks = every.groupBy("document_id", "c", "part").agg(ordered.alias("e")).join(heads, ["document_id", "c"], "left")
+    known = lambda name: F.try_element_at(F.filter(F.transform("e", lambda x: x[name]), lambda v: v.isNotNull()), F.lit(1))
+    chunks = chunks.select("document_id", "c", F.lit(1).alias("after"), "part", F.lit("text").alias("modality"), known("page").alias("page_number"), known("section_path").alias("section_path"), F.transform("e", lambda x: x["element_uid"]).alias("element_uids"), F.when(F.col("part") == 0, F.col("heading")).alias("heading_text"), F.array_join(F.transform("e", lambda x: x["t"]), "\n\n").alias("body"))
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: split_long(s, most, overlap))
+
+    long = chunks.where(X.approx_tokens(F.col("body")) > most).withColumn("pieces", pieces("body"))
+    short = chunks.where(X.approx_tokens(F.col("body")) <= most).withColumn("pieces", F.array("body"))
+    above = heads.withColumn("c", F.col("c") + 1).join(whole.where("whole"), ["document_id", "c"], "left_semi")
+    lone = alone.join(above, ["document_id", "c"], "left").select("document_id", "c", F.lit(0).alias("after"), F.lit(0).alias("part"), F.col("element_type").alias("modality"), F.col("page").alias("page_number"), "section_path", F.array("element_uid").alias("element_uids"), F.col("heading").alias("heading_text"), F.col("t").alias("body"), F.array("t").alias("pieces"))
+    out = long.unionByName(short).unionByName(lone).select("*", F.posexplode("pieces").alias("piece", "text"))
+    numbered = running_sum(out, ["document_id"], "c", ["after", "part", "piece"], F.lit(1), "n", 512)
+    return numbered.select("document_id", (F.col("n") - 1).cast("int").alias("chunk_index"), "modality", "page_number", "section_path", "element_uids", "heading_text", "text")
 
 
 def element_sections(df: DataFrame, key: str, order: str, text: str) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quern.operators import graph as G
 from quern.operators import tables as U
 from quern.operators.components import components
+from quern.operators.ordered import last_seen
 from quern.sources import documents as S
-from quern.sources.ontology import GROUPS
+from quern.sources import ontology
 from quern.streaming import watch
 from quern.tables import latest, materialise, table
 
@@ -182,14 +183,18 @@ def latest_event(spark: SparkSession, d: str) -> DataFrame:
 def heading_carry(spark: SparkSession, d: str) -> DataFrame:
     """Every element with the heading above it."""
     e = latest(table(spark, d, "document_elements").select("id", "document_id", "element_order", "element_type", "content_text", "updated_at"), "id", "updated_at")
-    w = Window.partitionBy("document_id").orderBy("element_order", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("id", F.coalesce(F.last(F.when(F.col("element_type") == "heading", F.col("content_text")), ignorenulls=True).over(w), F.lit("")).alias("heading"))
+    seen = last_seen(e, ["document_id"], "element_order", ["id"], {"heading": F.when(F.col("element_type") == "heading", F.col("content_text"))})
+    return seen.select("id", F.coalesce("heading", F.lit("")).alias("heading"))
+
+
+def section_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every element with the path of the headings above it, by their levels."""
+    e = latest(table(spark, d, "document_elements").select("id", "document_id", "element_order", "element_type", "heading_level", "content_text", "updated_at"), "id", "updated_at")
+    return S.section_paths(e).select("id", F.coalesce("path", F.lit("")).alias("path"))
 
 
 def ontology_layers(spark: SparkSession, d: str) -> DataFrame:
     """Entities by the layer of the ontology that their type belongs to."""
-    from quern.sources import ontology
-
     layers = F.broadcast(ontology.entity_types(spark))  # the ontology's 46 types
     return _entities(spark, d).join(layers, "entity_type", "left").groupBy(F.coalesce("layer", F.lit("unknown")).alias("layer")).agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
 
@@ -226,7 +231,7 @@ def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
     return spark.table("quern_event_windows").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
-QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, confidence_gate, resolved_edges, pipeline_metrics, graph_stats, graph_degree, entity_neighbours, entity_documents, document_units, cooccurrence_edges, khop_neighborhood, neighborhood_graph, mentions, mention_chunks, canonicalize, entity_descriptions, relationship_export, connected_components, communities, community_reports, global_search, upsert_merge, purge_document, stale_elements, json_patch, latest_event, heading_carry, ontology_layers, file_routes, name_search, parse_documents, event_windows, stream_event_windows)}
+QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, confidence_gate, resolved_edges, pipeline_metrics, graph_stats, graph_degree, entity_neighbours, entity_documents, document_units, cooccurrence_edges, khop_neighborhood, neighborhood_graph, mentions, mention_chunks, canonicalize, entity_descriptions, relationship_export, connected_components, communities, community_reports, global_search, upsert_merge, purge_document, stale_elements, json_patch, latest_event, heading_carry, section_paths, ontology_layers, file_routes, name_search, parse_documents, event_windows, stream_event_windows)}
 
 _EDGES = "e AS (SELECT DISTINCT from_name AS a, rel_type AS type, to_name AS b, md5(from_name || '|' || rel_type || '|' || to_name) AS edge_id FROM extracted_relationships WHERE from_name IS NOT NULL AND to_name IS NOT NULL)"
 _WAYS = f"{_EDGES}, ways AS (SELECT edge_id, a AS x, b AS y, type FROM e UNION ALL SELECT edge_id, b, a, type FROM e WHERE a <> b)"
@@ -234,7 +239,7 @@ _TRAILS = """{ways}, l1 AS (SELECT s.start, y AS node, 1 AS hops, type AS first_
     l2 AS (SELECT start, y AS node, 2 AS hops, first_type, list_append(path, edge_id) AS path FROM l1 JOIN ways ON node = x WHERE NOT list_contains(path, edge_id)), trails AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2)"""
 _MENTIONS = r"""n AS (SELECT DISTINCT name FROM extracted_entities WHERE trim(name) <> ''), el AS (SELECT DISTINCT document_id, element_uid, content_text FROM document_elements WHERE content_text IS NOT NULL),
     m AS (SELECT DISTINCT document_id, element_uid, name, CASE WHEN length(name) <= 4 THEN 'word_boundary' ELSE 'substring' END AS match_type FROM el JOIN n ON CASE WHEN length(name) > 4 THEN contains(lower(content_text), lower(name)) ELSE regexp_matches(lower(content_text), '(^|[^\pL\pN_])' || regexp_escape(lower(name)) || '($|[^\pL\pN_])') END)"""
-_WEIGHT = "CASE rel_type WHEN 'IS_VARIANT_OF' THEN 0.95 WHEN 'USES_COMPONENT' THEN 0.92 WHEN 'CONTAINS' THEN 0.90 WHEN 'PART_OF' THEN 0.90 WHEN 'INTERFACES_WITH' THEN 0.85 WHEN 'OPERATES_ON' THEN 0.85 WHEN 'RELATED_TO' THEN 0.75 ELSE 0.70 END"
+_WEIGHT = ontology.weight_sql("rel_type")
 _DAYS = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
 SQL = {
@@ -269,7 +274,13 @@ SQL = {
     "json_patch": "SELECT event_id, CASE event_type WHEN 'error' THEN '' WHEN 'click' THEN '0' ELSE coalesce(json_extract_string(props, '$.k'), '') END AS k FROM events",
     "latest_event": "SELECT user_id, last(event_id ORDER BY ts, event_id) AS event_id, last(event_type ORDER BY ts, event_id) AS event_type, count(*) AS n FROM events GROUP BY 1",
     "heading_carry": "WITH e AS (SELECT * FROM document_elements QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1) SELECT id, coalesce(last_value(CASE WHEN element_type = 'heading' THEN content_text END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY element_order, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS heading FROM e",
-    "ontology_layers": "WITH t(layer, entity_type) AS (VALUES " + ", ".join(f"('{g}', '{t}')" for g, ts in GROUPS.items() for t in ts.split()) + ") SELECT coalesce(layer, 'unknown') AS layer, count(*) AS n, count(DISTINCT name) AS names FROM extracted_entities LEFT JOIN t USING (entity_type) GROUP BY 1",
+    "section_paths": """
+        WITH e AS (SELECT *, coalesce(element_order, 0) AS o, CASE WHEN element_type = 'heading' THEN least(greatest(coalesce(heading_level, 1), 1), 6) END AS l FROM document_elements QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1),
+             s AS (SELECT e.id, e.document_id, h.o, h.id AS hid, h.l, h.content_text AS t, row_number() OVER (PARTITION BY e.id, h.l ORDER BY h.o DESC, h.id DESC) AS r FROM e JOIN e h ON h.document_id = e.document_id AND h.l IS NOT NULL AND (h.o, h.id) <= (e.o, e.id)),
+             b AS (SELECT * FROM s WHERE r = 1),
+             k AS (SELECT id, l, t FROM b x WHERE NOT EXISTS (SELECT 1 FROM b y WHERE y.id = x.id AND y.l < x.l AND (y.o, y.hid) > (x.o, x.hid)))
+        SELECT e.id, coalesce(string_agg(k.t, ' > ' ORDER BY k.l), '') AS path FROM e LEFT JOIN k USING (id) GROUP BY 1""",
+    "ontology_layers": "WITH t(layer, entity_type) AS (VALUES " + ", ".join(f"('{g}', '{t}')" for t, g in ontology.default().layers.items()) + ") SELECT coalesce(layer, 'unknown') AS layer, count(*) AS n, count(DISTINCT name) AS names FROM extracted_entities LEFT JOIN t USING (entity_type) GROUP BY 1",
     "file_routes": "WITH f AS (SELECT DISTINCT document_id, lower(regexp_extract(filename, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM ingest_documents WHERE regexp_matches(filename, '^.*\\.pdf$|^[0-9].*$')), t(ext, mime_type) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in S.TYPES.items()) + "), m AS (SELECT coalesce(mime_type, 'application/octet-stream') AS mime_type FROM f LEFT JOIN t USING (ext)) SELECT mime_type, CASE WHEN mime_type LIKE '%pdf%' OR mime_type LIKE '%officedocument%' THEN 'converter' WHEN mime_type LIKE 'image/%' THEN 'image' WHEN mime_type LIKE 'text/%' THEN 'text' ELSE 'none' END AS parser, count(*) AS n FROM m GROUP BY 1, 2",
     "name_search": "SELECT DISTINCT name, entity_type FROM extracted_entities WHERE contains(lower(name), 'cor') ORDER BY name, entity_type LIMIT 10",
     "event_windows": _DAYS,

@@ -9,6 +9,7 @@ from quern.operators import links as L
 from quern.operators import retrieval as R
 from quern.operators import vectors as V
 from quern.operators.cleaning import keep_first
+from quern.sources.ontology import weight_sql
 from quern.tables import latest, materialise, table
 
 DIM = 64
@@ -243,7 +244,7 @@ _BM25 = f"""d AS (SELECT doc_id AS id, {_TERMS.format(c='text')} AS w FROM docum
     x AS (SELECT id, len(w) AS len, unnest(w) AS term FROM d), tf AS (SELECT id, len, term, count(*) AS tf FROM x WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
     p AS (SELECT id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)) AS part FROM tf JOIN df USING (term), tot),
     s AS (SELECT qid, id, round(sum(part), 6) AS score FROM p JOIN q USING (term) GROUP BY 1, 2), top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10)"""
-_WEIGHT = "CASE rel_type WHEN 'IS_VARIANT_OF' THEN 0.95 WHEN 'USES_COMPONENT' THEN 0.92 WHEN 'CONTAINS' THEN 0.90 WHEN 'PART_OF' THEN 0.90 WHEN 'INTERFACES_WITH' THEN 0.85 WHEN 'OPERATES_ON' THEN 0.85 WHEN 'RELATED_TO' THEN 0.75 ELSE 0.70 END"
+_WEIGHT = weight_sql("rel_type")
 
 SQL = {
     "vector_topk": _TOP.format(on="true", more=""),

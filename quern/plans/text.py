@@ -149,12 +149,13 @@ def chunk_chars(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_structured(spark: SparkSession, d: str) -> DataFrame:
     e = cleaning.keep_first(table(spark, d, "document_elements"), ["id"], [F.desc("updated_at")])
-    return chunking.structured(e).withColumn("element_uids", F.array_join("element_uids", "|"))
+    return chunking.structured(e).withColumns({"element_uids": F.array_join("element_uids", "|"), "page_number": F.coalesce("page_number", F.lit(-1))})
 
 
 def description_sections(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "extraction_requests").select("request_id", "text").distinct().withColumn("place", F.lit(1))
-    return chunking.element_sections(r, "request_id", "place", "text").drop("place")
+    """Sections of every element's text, with the places they take among the chunks of its document."""
+    e = table(spark, d, "document_elements").select("id", "element_order", "content_text").distinct()
+    return chunking.element_sections(e, "id", "element_order", "content_text")
 
 
 def element_text_packs(spark: SparkSession, d: str) -> DataFrame:
@@ -176,6 +177,7 @@ QUERIES = {f.__name__: f for f in (text_normalize, text_nfc, sanitize_table, lin
 _UUID5 = "substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr({h}, 17, 1)) AS INTEGER) % 4 + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
 _FOREIGN = r"coalesce(length({c}) >= 5 AND regexp_matches({c}, '[\x{{0400}}-\x{{04FF}}\x{{4E00}}-\x{{9FFF}}\x{{3040}}-\x{{30FF}}\x{{0600}}-\x{{06FF}}\x{{0900}}-\x{{097F}}\x{{0E00}}-\x{{0E7F}}\x{{0590}}-\x{{05FF}}\x{{AC00}}-\x{{D7AF}}]'), false)"
 _WORDS = r"list_filter(regexp_split_to_array({c}, '[ \t\r\n\f]+'), lambda x: x <> '')"
+_LONG = r"list_filter(list_transform({c}, lambda x: regexp_replace(x, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g')), lambda x: length(x) >= 10)"
 
 SQL = {
     "text_normalize": f"SELECT doc_id, translate(text, '{_DASH}', '{_PLAIN}') AS text FROM documents",
@@ -208,7 +210,7 @@ SQL = {
     "reassemble_markdown": "SELECT document_id, string_agg(CASE WHEN element_type = 'heading' THEN '## ' || content_text ELSE content_text END, chr(10) || chr(10) ORDER BY element_order, id) AS markdown FROM (SELECT DISTINCT document_id, element_order, id, element_type, content_text FROM document_elements WHERE content_text <> '') GROUP BY 1",
     "classification_normalize": "SELECT CASE WHEN upper(trim(classification)) IN ('UNCLASSIFIED', 'CUI', 'CONFIDENTIAL', 'SECRET', 'TOP SECRET') THEN upper(trim(classification)) ELSE 'UNCLASSIFIED' END AS classification, count(*) AS n, count(document_summary) AS n_summaries FROM ingest_documents GROUP BY 1",
     "review_ladder": "SELECT CASE WHEN confidence >= 0.75 THEN 'accept' WHEN confidence >= 0.60 THEN 'second_engine' ELSE 'human_review' END AS step, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM document_elements WHERE confidence IS NOT NULL GROUP BY 1",
-    "triple_validation": "WITH t(s, r, o) AS (VALUES " + ", ".join(f"('{s}', '{r}', '{o}')" for s, r, o in ontology.triple_rows()) + ") SELECT from_type, rel_type, to_type, count(*) AS n, (from_type, rel_type, to_type) IN (SELECT (s, r, o) FROM t) AS valid FROM extracted_relationships GROUP BY 1, 2, 3",
+    "triple_validation": "WITH t(s, r, o) AS (VALUES " + ", ".join(f"('{s}', '{r}', '{o}')" for s, r, o in ontology.default().triples) + ") SELECT from_type, rel_type, to_type, count(*) AS n, (from_type, rel_type, to_type) IN (SELECT (s, r, o) FROM t) AS valid FROM extracted_relationships GROUP BY 1, 2, 3",
     "query_terms": rf"SELECT DISTINCT name, array_to_string(list_transform({_WORDS.format(c='name')}, lambda w: regexp_replace(w, '([+\-&|!(){{}}\[\]^\"~*?:\\/])', '\\\1', 'g') || '~'), ' AND ') AS query FROM extracted_entities",
     "token_stats": f"SELECT lang, source, count(*) AS docs, sum(len({_WORDS.format(c='text')})) AS words, sum(CAST(floor(len({_WORDS.format(c='text')}) * 1.3::DOUBLE) AS INTEGER)) AS tokens FROM documents WHERE text IS NOT NULL GROUP BY 1, 2",
     "chunk_words": f"""
@@ -217,5 +219,34 @@ SQL = {
              k AS (SELECT doc_id, w, unnest(range(0, c)) AS k FROM n)
         SELECT doc_id, k AS chunk_no, len(w[k * 86 + 1:k * 86 + 98]) AS n_words, array_to_string(w[k * 86 + 1:k * 86 + 98], ' ') AS chunk_text FROM k""",
     "chunk_chars": "WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 800)) AS start FROM documents WHERE length(text) > 0) SELECT doc_id, start // 800 AS window_no, start, substr(text, start + 1, 1000) AS window_text FROM s",
+    "chunk_structured": f"""
+        WITH RECURSIVE e AS (SELECT * FROM document_elements WHERE document_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1),
+             t AS (SELECT document_id, coalesce(element_order, 0) AS o, element_uid AS uid, element_type AS kind, page_number AS page, section_path AS section, regexp_replace(content_text, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g') AS t FROM e),
+             r AS (SELECT *, len({_WORDS.format(c='t')}) AS n, kind IN ('table', 'equation', 'image') AS alone, sum(CASE WHEN kind IN ('heading', 'table', 'equation', 'image') THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY o, uid) AS c FROM t WHERE t <> ''),
+             p AS (SELECT *, row_number() OVER (PARTITION BY document_id, c ORDER BY o, uid) AS rn FROM r WHERE NOT alone),
+             f AS (SELECT document_id, c, rn, 0 AS part, n AS held FROM p WHERE rn = 1
+                   UNION ALL SELECT p.document_id, p.c, p.rn, CASE WHEN over THEN part + 1 ELSE part END, CASE WHEN over THEN n ELSE held + n END
+                   FROM (SELECT f.*, CAST(floor(f.held * 1.3::DOUBLE) AS INT) + CAST(floor(p.n * 1.3::DOUBLE) AS INT) > 512 AS over FROM f JOIN p ON p.document_id = f.document_id AND p.c = f.c AND p.rn = f.rn + 1) g JOIN p ON p.document_id = g.document_id AND p.c = g.c AND p.rn = g.rn + 1),
+             h AS (SELECT document_id, c, t AS heading FROM r WHERE kind = 'heading'),
+             k AS (SELECT document_id, c, part, first(page ORDER BY o, uid) FILTER (WHERE page IS NOT NULL) AS page, first(section ORDER BY o, uid) FILTER (WHERE section IS NOT NULL) AS section, string_agg(uid, '|' ORDER BY o, uid) AS uids, string_agg(t, chr(10) || chr(10) ORDER BY o, uid) AS body, max(part) OVER (PARTITION BY document_id, c) AS last FROM p JOIN f USING (document_id, c, rn) GROUP BY 1, 2, 3),
+             b AS (SELECT k.document_id, k.c, 1 AS after, part, 'text' AS modality, page, section, uids, CASE WHEN part = 0 THEN heading END AS heading, body, {_WORDS.format(c='body')} AS w FROM k LEFT JOIN h USING (document_id, c)),
+             z AS (SELECT *, string_split(body, chr(10) || chr(10)) AS ps FROM b WHERE floor(len(w) * 1.3::DOUBLE) > 512),
+             u AS (SELECT document_id, c, part, ps, i, CAST(floor(len({_WORDS.format(c='ps[i]')}) * 1.3::DOUBLE) AS INT) AS n, CASE WHEN i = 1 THEN 0 ELSE CAST(floor(len({_WORDS.format(c='ps[i - 1]')}) * 1.3::DOUBLE) AS INT) END AS m FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM z WHERE len(ps) > 1)),
+             g AS (SELECT document_id, c, part, i, n AS used, 0 AS piece, false AS carry FROM u WHERE i = 1
+                   UNION ALL SELECT u.document_id, u.c, u.part, u.i, CASE WHEN used + n > 512 THEN n + CASE WHEN m <= 64 THEN m ELSE 0 END ELSE used + n END, CASE WHEN used + n > 512 THEN piece + 1 ELSE piece END, used + n > 512 AND m <= 64
+                   FROM g JOIN u ON u.document_id = g.document_id AND u.c = g.c AND u.part = g.part AND u.i = g.i + 1),
+             v AS (SELECT document_id, c, part, piece, min(CASE WHEN carry THEN i - 1 ELSE i END) AS lo, max(i) AS hi FROM g GROUP BY 1, 2, 3, 4),
+             s AS (SELECT b.*, 0 AS piece, body AS text FROM b WHERE floor(len(w) * 1.3::DOUBLE) <= 512
+                   UNION ALL SELECT z.* EXCLUDE (ps), piece, array_to_string(ps[lo:hi], chr(10) || chr(10)) FROM z JOIN v USING (document_id, c, part)
+                   UNION ALL SELECT * EXCLUDE (ps), array_to_string(w[piece * 344 + 1:piece * 344 + 393], ' ') FROM (SELECT *, unnest(range(0, CAST(ceil((len(w) - 393) / 344.0) AS INT) + 1)) AS piece FROM z WHERE len(ps) = 1)),
+             x AS (SELECT document_id, c, after, part, piece, modality, page, section, uids, heading, text FROM s
+                   UNION ALL SELECT r.document_id, r.c, 0, 0, 0, kind, page, section, uid, h.heading, t FROM r LEFT JOIN (SELECT h.* FROM h JOIN k USING (document_id, c) WHERE k.part = 0 AND k.last = 0) h ON h.document_id = r.document_id AND h.c + 1 = r.c WHERE alone)
+        SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY c, after, part, piece) - 1 AS INT) AS chunk_index, modality, coalesce(CAST(page AS INT), -1) AS page_number, section AS section_path, uids AS element_uids, heading AS heading_text, text FROM x""",
+    "description_sections": f"""
+        WITH e AS (SELECT DISTINCT id, element_order, content_text AS t FROM document_elements WHERE content_text IS NOT NULL),
+             k AS (SELECT *, CASE {" ".join(f"WHEN len(regexp_extract_all(t, '(?m){p}')) >= 2 THEN string_split(regexp_replace(t, '(?m)({p})', chr(1) || '\\1', 'g'), chr(1))" for p in X.SECTION_HEADERS)} ELSE string_split(t, chr(10) || chr(10)) END AS parts FROM e),
+             s AS (SELECT id, element_order, {_LONG.format(c='parts')} AS parts, {_LONG.format(c='[t]')} AS whole FROM k),
+             n AS (SELECT id, element_order, CASE WHEN len(parts) > 0 THEN parts ELSE whole END AS parts FROM s)
+        SELECT id, element_order, i - 1 AS section_no, 100000 + element_order * 100 + i - 1 AS chunk_index, parts[i] AS section_text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM n)""",
     "table_text": r"SELECT DISTINCT id, array_to_string(list_transform(string_split(content_text, chr(10)), lambda r: array_to_string(list_transform(string_split(r, '|'), lambda x: trim(x)), ' | ')), chr(10)) AS text FROM document_elements WHERE element_type = 'table' AND content_text IS NOT NULL",
 }

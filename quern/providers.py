@@ -64,9 +64,16 @@ class SummaryReport:
         return G.reports(members, edges)
 
 
-def schema_prompt(group: str) -> str:
-    """The types of an ontology layer and the relations between them, as text for an extracting model."""
-    types = ontology.GROUPS[group].split()
-    lines = [f"Entity types of the layer {group}:", *(f"- {t}" for t in types), "", "Relations:"]
-    lines += [f"- {s} {r} {o}" for s, r, o in ontology.triple_rows() if s in types or o in types]
+def schema_prompt(layer: str, known: list[tuple[str, str]] = (), most: int = 15) -> str:
+    """The types of an ontology layer and the relations between them, as text for an extracting model.
+
+    `known` (name, type) are entities found before, of which the first `most` by
+    name are listed as context for relations.
+    """
+    o = ontology.default()
+    types = o.types_of(layer)
+    lines = [f"Entity types of the layer {layer}:", *(f"- {t}" for t in types), "", "Relations:"]
+    lines += [f"- {s} {r} {t}" for s, r, t in o.triples if s in types or t in types]
+    if known:
+        lines += ["", "Entities found:", *(f"- {n} ({t})" for n, t in sorted(known)[:most])]
     return "\n".join(lines)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.ordered import last_seen
+
 #: File types by extension.
 TYPES = {
     "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
@@ -152,3 +154,26 @@ def parse(files: DataFrame) -> DataFrame:
             yield out.astype({"element_order": "Int32", "heading_level": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, ELEMENT)
+
+
+def section_paths(elements: DataFrame, levels: int = 6) -> DataFrame:
+    """`elements` (document_id, element_order, id, element_type, heading_level, content_text) with `path`: the headings above each, by level, its own included.
+
+    A heading ends those of its level and below. Level by level the last heading
+    counts if none of a higher level came after it, so a document is cut into
+    spans like any running value. Null levels count as 1, levels beyond `levels`
+    as that.
+    """
+    level = F.least(F.greatest(F.coalesce("heading_level", F.lit(1)), F.lit(1)), F.lit(levels))
+    out = elements.withColumn("__l", F.when(F.col("element_type") == "heading", level))
+    place = F.struct(F.coalesce("element_order", F.lit(0)).alias("o"), "id", F.col("content_text").alias("t"))
+    out = last_seen(out, ["document_id"], "element_order", ["id"], {f"__h{k}": F.when(F.col("__l") == k, place) for k in range(1, levels + 1)})
+    open_, above = [], None
+    for k in range(1, levels + 1):
+        h = F.col(f"__h{k}")
+        at = F.struct(h["o"].alias("o"), h["id"].alias("id"))
+        open_.append(F.when(h.isNotNull() & (F.lit(True) if above is None else F.coalesce(at > above, F.lit(True))), h["t"]))
+        high = F.when(h.isNotNull(), at)
+        above = high if above is None else F.greatest(above, high)
+    path = F.array_join(F.filter(F.array(*open_), lambda x: x.isNotNull()), " > ")
+    return out.withColumn("path", F.nullif(path, F.lit(""))).drop("__l", *(f"__h{k}" for k in range(1, levels + 1)))

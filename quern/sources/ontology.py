@@ -1,151 +1,98 @@
-"""The ontology: types by group, allowed triples and relation weights. Fixed values, in the order of their definition."""
+"""The ontology: entity types by layer, allowed triples and relation weights, read from `ontology.yaml` or a file of its form."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pkgutil
+from dataclasses import dataclass
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GROUPS = {
-    "reference": "DOCUMENT SECTION FIGURE TABLE SPREADSHEET ASSERTION",
-    "equipment": "PLATFORM RADAR_SYSTEM MISSILE_SYSTEM AIR_DEFENSE_ARTILLERY_SYSTEM ELECTRONIC_WARFARE_SYSTEM FIRE_CONTROL_SYSTEM INTEGRATED_AIR_DEFENSE_SYSTEM LAUNCHER_SYSTEM WEAPON_SYSTEM ORGANIZATION",
-    "rf_signal": "FREQUENCY_BAND RF_EMISSION WAVEFORM MODULATION RF_SIGNATURE SCAN_PATTERN ANTENNA TRANSMITTER RECEIVER IF_AMPLIFIER SIGNAL_PROCESSING_CHAIN SEEKER",
-    "weapon": "GUIDANCE_METHOD MISSILE_PERFORMANCE MISSILE_PHYSICAL_CHARACTERISTICS PROPULSION_STACK PROPULSION_STAGE SUBSYSTEM COMPONENT",
-    "operational": "CAPABILITY RADAR_PERFORMANCE ENGAGEMENT_TIMELINE FORCE_STRUCTURE EQUIPMENT_SYSTEM ASSEMBLY SPECIFICATION STANDARD PROCEDURE FAILURE_MODE TEST_EVENT",
-}
-#: source relation target..., one line for each source and relation.
-TRIPLES = """
-RADAR_SYSTEM INSTALLED_ON PLATFORM
-RADAR_SYSTEM ASSOCIATED_WITH MISSILE_SYSTEM AIR_DEFENSE_ARTILLERY_SYSTEM ELECTRONIC_WARFARE_SYSTEM
-RADAR_SYSTEM USES_WAVEFORM WAVEFORM
-RADAR_SYSTEM EMITS RF_EMISSION
-RADAR_SYSTEM HAS_ANTENNA ANTENNA
-RADAR_SYSTEM HAS_RECEIVER RECEIVER
-RADAR_SYSTEM HAS_TRANSMITTER TRANSMITTER
-RADAR_SYSTEM HAS_SCAN SCAN_PATTERN
-RADAR_SYSTEM HAS_PROCESSING_CHAIN SIGNAL_PROCESSING_CHAIN
-RADAR_SYSTEM HAS_PERFORMANCE RADAR_PERFORMANCE
-RADAR_SYSTEM OPERATES_IN_BAND FREQUENCY_BAND
-RADAR_SYSTEM PROVIDES CAPABILITY
-RADAR_SYSTEM CUES MISSILE_SYSTEM
-RADAR_SYSTEM HAS_SIGNATURE RF_SIGNATURE
-RADAR_SYSTEM HAS_TIMELINE ENGAGEMENT_TIMELINE
-MISSILE_SYSTEM ASSOCIATED_WITH RADAR_SYSTEM
-MISSILE_SYSTEM HAS_GUIDANCE GUIDANCE_METHOD
-MISSILE_SYSTEM HAS_SEEKER SEEKER
-MISSILE_SYSTEM HAS_PROPULSION PROPULSION_STACK
-MISSILE_SYSTEM HAS_PERFORMANCE MISSILE_PERFORMANCE
-MISSILE_SYSTEM INSTALLED_ON PLATFORM
-MISSILE_SYSTEM PROVIDES CAPABILITY
-MISSILE_SYSTEM DEFENDS PLATFORM
-AIR_DEFENSE_ARTILLERY_SYSTEM ASSOCIATED_WITH RADAR_SYSTEM
-AIR_DEFENSE_ARTILLERY_SYSTEM INSTALLED_ON PLATFORM
-AIR_DEFENSE_ARTILLERY_SYSTEM PROVIDES CAPABILITY
-INTEGRATED_AIR_DEFENSE_SYSTEM CONTAINS RADAR_SYSTEM MISSILE_SYSTEM AIR_DEFENSE_ARTILLERY_SYSTEM
-INTEGRATED_AIR_DEFENSE_SYSTEM DEPLOYED_ON PLATFORM
-INTEGRATED_AIR_DEFENSE_SYSTEM PROVIDES CAPABILITY
-WAVEFORM USES_MODULATION MODULATION
-WAVEFORM HAS_SIGNATURE RF_SIGNATURE
-TRANSMITTER PART_OF RADAR_SYSTEM
-ANTENNA PART_OF RADAR_SYSTEM
-ANTENNA RADIATES RF_EMISSION
-RECEIVER PART_OF RADAR_SYSTEM
-RECEIVER RECEIVES RF_EMISSION
-SIGNAL_PROCESSING_CHAIN PART_OF RADAR_SYSTEM
-SIGNAL_PROCESSING_CHAIN PROCESSES RF_EMISSION
-IF_AMPLIFIER PART_OF RECEIVER
-RF_EMISSION HAS_SIGNATURE RF_SIGNATURE
-PROPULSION_STACK CONTAINS PROPULSION_STAGE
-PROPULSION_STACK HAS_STAGE PROPULSION_STAGE
-LAUNCHER_SYSTEM LAUNCHES MISSILE_SYSTEM
-LAUNCHER_SYSTEM INSTALLED_ON PLATFORM
-FIRE_CONTROL_SYSTEM CUES MISSILE_SYSTEM
-FIRE_CONTROL_SYSTEM GUIDES MISSILE_SYSTEM
-FIRE_CONTROL_SYSTEM INSTALLED_ON PLATFORM
-ELECTRONIC_WARFARE_SYSTEM INSTALLED_ON PLATFORM
-ELECTRONIC_WARFARE_SYSTEM OPERATES_IN_BAND FREQUENCY_BAND
-ELECTRONIC_WARFARE_SYSTEM PROVIDES CAPABILITY
-PLATFORM OPERATED_BY ORGANIZATION
-ASSERTION SUPPORTED_BY DOCUMENT SECTION FIGURE TABLE SPREADSHEET
-ASSERTION ABOUT EQUIPMENT_SYSTEM RADAR_SYSTEM MISSILE_SYSTEM PLATFORM COMPONENT
-EQUIPMENT_SYSTEM MENTIONED_IN DOCUMENT
-RADAR_SYSTEM MENTIONED_IN DOCUMENT
-MISSILE_SYSTEM MENTIONED_IN DOCUMENT
-PLATFORM MENTIONED_IN DOCUMENT
-COMPONENT MENTIONED_IN DOCUMENT
-SUBSYSTEM MENTIONED_IN DOCUMENT
-SUBSYSTEM PART_OF EQUIPMENT_SYSTEM RADAR_SYSTEM MISSILE_SYSTEM
-COMPONENT PART_OF SUBSYSTEM
-ASSEMBLY PART_OF EQUIPMENT_SYSTEM
-WEAPON_SYSTEM CONTAINS SUBSYSTEM
-EQUIPMENT_SYSTEM CONTAINS COMPONENT
-EQUIPMENT_SYSTEM HAS_SUBSYSTEM SUBSYSTEM
-WEAPON_SYSTEM HAS_SUBSYSTEM SUBSYSTEM
-EQUIPMENT_SYSTEM HAS_COMPONENT COMPONENT
-WEAPON_SYSTEM HAS_COMPONENT COMPONENT
-SUBSYSTEM HAS_COMPONENT COMPONENT
-EQUIPMENT_SYSTEM PROVIDES CAPABILITY
-EQUIPMENT_SYSTEM MANUFACTURED_BY ORGANIZATION
-COMPONENT MANUFACTURED_BY ORGANIZATION
-PLATFORM MANUFACTURED_BY ORGANIZATION
-ASSERTION DERIVED_FROM DOCUMENT
-DOCUMENT DERIVED_FROM DOCUMENT
-RADAR_SYSTEM IS_A EQUIPMENT_SYSTEM
-MISSILE_SYSTEM IS_A WEAPON_SYSTEM
-AIR_DEFENSE_ARTILLERY_SYSTEM IS_A WEAPON_SYSTEM
-EQUIPMENT_SYSTEM INSTANCE_OF EQUIPMENT_SYSTEM
-PLATFORM INSTANCE_OF PLATFORM
-RADAR_SYSTEM ALIAS_OF RADAR_SYSTEM
-MISSILE_SYSTEM ALIAS_OF MISSILE_SYSTEM
-EQUIPMENT_SYSTEM ALIAS_OF EQUIPMENT_SYSTEM
-DOCUMENT SUPERSEDES DOCUMENT
-STANDARD SUPERSEDES STANDARD
-SPECIFICATION SUPERSEDES SPECIFICATION
-SUBSYSTEM PROVIDES CAPABILITY
-EQUIPMENT_SYSTEM SPECIFIED_BY STANDARD SPECIFICATION
-COMPONENT SPECIFIED_BY STANDARD
-PROCEDURE OPERATED_BY ORGANIZATION
-RADAR_SYSTEM SPECIFIED_BY SPECIFICATION
-MISSILE_SYSTEM SPECIFIED_BY SPECIFICATION
-FAILURE_MODE AFFECTS COMPONENT SUBSYSTEM EQUIPMENT_SYSTEM
-EQUIPMENT_SYSTEM TESTED_IN TEST_EVENT
-RADAR_SYSTEM TESTED_IN TEST_EVENT
-MISSILE_SYSTEM TESTED_IN TEST_EVENT
-COMPONENT TESTED_IN TEST_EVENT
-RADAR_SYSTEM TRACKS PLATFORM
-FIRE_CONTROL_SYSTEM TRACKS PLATFORM
-WEAPON_SYSTEM ENGAGES PLATFORM
-MISSILE_SYSTEM ENGAGES PLATFORM
-AIR_DEFENSE_ARTILLERY_SYSTEM ENGAGES PLATFORM
-RADAR_SYSTEM DETECTS PLATFORM
-ELECTRONIC_WARFARE_SYSTEM DETECTS RF_EMISSION
-RADAR_SYSTEM DESIGNATES PLATFORM
-FIRE_CONTROL_SYSTEM DESIGNATES PLATFORM
-INTEGRATED_AIR_DEFENSE_SYSTEM SUPPORTS_ENGAGEMENT_OF PLATFORM
-RADAR_SYSTEM SUPPORTS_ENGAGEMENT_OF MISSILE_SYSTEM
-ASSERTION REVIEWED_BY ORGANIZATION
-DOCUMENT REVIEWED_BY ORGANIZATION
-"""
-WEIGHTS = {"IS_VARIANT_OF": 0.95, "USES_COMPONENT": 0.92, "CONTAINS": 0.90, "PART_OF": 0.90, "INTERFACES_WITH": 0.85, "OPERATES_ON": 0.85, "RELATED_TO": 0.75}
-DEFAULT_WEIGHT = 0.70
-
-
-def entity_types(spark: SparkSession) -> DataFrame:
-    """(entity_type, layer)."""
-    return spark.createDataFrame([(t, g) for g, ts in GROUPS.items() for t in ts.split()], "entity_type string, layer string")
+from quern.operators.tables import upsert
+
+VERSIONED = "version int, kind string, name string, value string, is_current boolean"
+
+
+@dataclass(frozen=True)
+class Ontology:
+    """Entity types with their layer, triples (source, relationship, target) and weights of relations."""
 
+    version: int
+    layers: dict[str, str]
+    triples: tuple[tuple[str, str, str], ...]
+    weights: dict[str, float]
+    default_weight: float
 
-def triple_rows() -> list[tuple[str, str, str]]:
-    return list(dict.fromkeys((s, r, t) for s, r, *ts in (line.split() for line in TRIPLES.strip().splitlines()) for t in ts))
+    def types_of(self, layer: str) -> list[str]:
+        return [t for t, own in self.layers.items() if own == layer]
 
 
-def triples(spark: SparkSession) -> DataFrame:
+def read(text: str) -> Ontology:
+    """The ontology in a YAML text of scalars and of lists of scalars or single pairs; `yaml` isn't needed for that much."""
+    plain: dict[str, str] = {}
+    lists: dict[str, list[str]] = {}
+    section = ""
+    for line in text.splitlines():
+        body = line.split("#", 1)[0].rstrip()
+        if not body:
+            continue
+        if body.lstrip().startswith("- "):
+            lists[section].append(body.lstrip()[2:].strip())
+        else:
+            section, _, value = body.partition(":")
+            if value.strip():
+                plain[section] = value.strip()
+            else:
+                lists[section] = []
+    pairs = lambda name: {k: v for k, _, v in (x.partition(": ") for x in lists.get(name, []))}
+    triples = tuple(tuple(x.split()) for x in lists.get("triples", []))
+    return Ontology(int(plain.get("version", "1")), pairs("entity_types"), triples, {k: float(v) for k, v in pairs("relation_weights").items()}, float(plain.get("default_weight", "0.7")))
+
+
+@lru_cache(maxsize=1)
+def default() -> Ontology:
+    return read(pkgutil.get_data("quern.sources", "ontology.yaml").decode())
+
+
+def entity_types(spark: SparkSession, ontology: Ontology | None = None) -> DataFrame:
+    """(entity_type, layer)."""
+    return spark.createDataFrame(list((ontology or default()).layers.items()), "entity_type string, layer string")
+
+
+def triples(spark: SparkSession, ontology: Ontology | None = None) -> DataFrame:
     """(source, relationship, target) that the ontology allows."""
-    return spark.createDataFrame(triple_rows(), "source string, relationship string, target string")
+    return spark.createDataFrame(list((ontology or default()).triples), "source string, relationship string, target string")
 
 
-def weight_of(relation):  # noqa: ANN001, ANN201
+def weight_of(relation: Column, ontology: Ontology | None = None) -> Column:
     """Weight of a relation type; unknown and null types have the default."""
-    out = F.when(relation == "IS_VARIANT_OF", F.lit(0.95))
-    for name, w in list(WEIGHTS.items())[1:]:
-        out = out.when(relation == name, F.lit(w))
-    return out.otherwise(F.lit(DEFAULT_WEIGHT))
+    o = ontology or default()
+    table = F.create_map(*(F.lit(x) for kv in o.weights.items() for x in kv))
+    return F.coalesce(F.try_element_at(table, relation), F.lit(o.default_weight))
+
+
+def weight_sql(column: str, ontology: Ontology | None = None) -> str:
+    """`weight_of` as SQL."""
+    o = ontology or default()
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in o.weights.items()) + f" ELSE {o.default_weight} END"
+
+
+def rows(spark: SparkSession, ontology: Ontology | None = None) -> DataFrame:
+    """The ontology as rows (version, kind, name, value, is_current) of a versioned table."""
+    o = ontology or default()
+    every = [(o.version, "entity_type", t, layer, True) for t, layer in o.layers.items()]
+    every += [(o.version, "triple", " ".join(t), "", True) for t in o.triples]
+    every += [(o.version, "weight", k, str(w), True) for k, w in o.weights.items()]
+    return spark.createDataFrame(every, VERSIONED)
+
+
+def seed(held: DataFrame, new: DataFrame) -> DataFrame:
+    """`held` with the rows of `new` that it lacks; the version of `new` becomes the current one, all others cease to be.
+
+    Rows are known by version, kind and name; what is held of one isn't
+    overwritten. An empty `new` changes nothing.
+    """
+    both = upsert(held, new, ["version", "kind", "name"], [])
+    now = new.agg(F.max("version").alias("now"))
+    return both.crossJoin(F.broadcast(now)).withColumn("is_current", F.when(F.col("now").isNull(), F.col("is_current")).otherwise(F.col("version") == F.col("now"))).select(*held.columns)  # one row

@@ -78,8 +78,8 @@ def test_patch_map(spark):
 
 
 def test_ontology():
-    assert sum(len(t.split()) for t in ontology.GROUPS.values()) == 46
-    assert len(ontology.TRIPLES.strip().splitlines()) > 90 and ("PLATFORM", "OPERATED_BY", "ORGANIZATION") in ontology.triple_rows()
+    assert len(ontology.default().layers) == 46
+    assert len(ontology.default().triples) == 127 and ("PLATFORM", "OPERATED_BY", "ORGANIZATION") in ontology.default().triples
 
 
 def test_parsing(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import keys as K
 from quern.functions import text as X
-from quern.operators import chunking, cleaning
+from quern.operators import chunking, cleaning, ordered
 
 
 def one(spark, value, f, kind="string"):
@@ -47,7 +47,9 @@ def test_json_ladder(spark):
 
 def test_sections(spark):
     assert one(spark, "intro text long enough\n# One head\nbody of one\n# Two head\nbody of two", X.sections) == ["intro text long enough", "# One head\nbody of one", "# Two head\nbody of two"]
-    assert one(spark, "short", X.sections) == ["short"]
+    assert [one(spark, v, X.sections) for v in ("short", "", " \n ", None)] == [[], [], [], None]
+    assert one(spark, "a first paragraph\n\na second paragraph\n \nof it", X.sections) == ["a first paragraph", "a second paragraph\n \nof it"]
+    assert one(spark, "only one line here", X.sections) == ["only one line here"]
 
 
 def test_keys_match_the_library(spark):
@@ -91,18 +93,50 @@ def test_char_windows(spark):
     assert sorted(r.start for r in chunking.char_windows(df, "k", "t", 1000, 200).collect()) == [0, 800, 1600, 2400]
 
 
-def fold(rows, most=9999, overlap=64):
-    return [(t, m, h) for t, m, _, _, _, h in chunking.fold_elements([(o, k, t, 1, None, f"u{o}") for o, k, t in rows], most, overlap)]
+ELEMENTS = "document_id string, element_order int, element_type string, content_text string, page_number int, section_path string, element_uid string"
 
 
-def test_structure_aware_chunks():
-    assert fold([(0, "text", "Before heading."), (1, "heading", "Section Title"), (2, "text", "After heading.")]) == [("Before heading.", "text", None), ("Section Title\n\nAfter heading.", "text", "Section Title")]
-    assert [m for _, m, _ in fold([(0, "heading", "H"), (1, "text", "a"), (2, "table", "t"), (3, "text", "b"), (4, "equation", "e")])] == ["text", "table", "text", "equation"]
-    assert fold([(0, "heading", "My Section"), (1, "table", "t")])[1] == ("t", "table", "My Section")
-    assert fold([(0, "image", " ")]) == []
-    assert len(fold([(i, "text", "A short sentence here.") for i in range(20)], 20)) > 1
-    assert fold([(2, "text", "b"), (1, "text", "a"), (3, "text", "c")]) == [("a\n\nb\n\nc", "text", None)]
-    assert len(fold([(0, "text", " ".join(["w"] * 500))], 50, 10)) > 1
+def fold(spark, rows, most=9999, overlap=64):
+    df = spark.createDataFrame([("d", o, k, t, 1, None, f"u{o:03}") for o, k, t in rows], ELEMENTS)
+    return [(r.text, r.modality, r.heading_text) for r in sorted(chunking.structured(df, most, overlap).collect(), key=lambda r: r.chunk_index)]
+
+
+def test_structure_aware_chunks(spark):
+    assert fold(spark, [(0, "text", "Before heading."), (1, "heading", "Section Title"), (2, "text", "After heading.")]) == [("Before heading.", "text", None), ("Section Title\n\nAfter heading.", "text", "Section Title")]
+    assert [m for _, m, _ in fold(spark, [(0, "heading", "H"), (1, "text", "a"), (2, "table", "t"), (3, "text", "b"), (4, "equation", "e")])] == ["text", "table", "text", "equation"]
+    assert fold(spark, [(0, "heading", "My Section"), (1, "table", "t"), (2, "table", "v")]) == [("My Section", "text", "My Section"), ("t", "table", "My Section"), ("v", "table", None)]
+    assert fold(spark, [(0, "image", " ")]) == []
+    assert fold(spark, [(2, "text", "b"), (1, "text", "a"), (3, "text", "c")]) == [("a\n\nb\n\nc", "text", None)]
+    cut = fold(spark, [(0, "heading", "Head"), *((i, "text", "A short sentence here.") for i in range(1, 20)), (20, "table", "t")], 20)
+    assert [h for _, _, h in cut] == ["Head"] + [None] * (len(cut) - 1) and len(cut) > 3
+    long = fold(spark, [(0, "text", " ".join(["w"] * 500))], 50, 10)
+    assert len(long) > 1 and all(len(t.split()) <= 38 for t, _, _ in long)
+
+
+def test_paragraphs_stay_as_they_are():
+    p = ["one two three", "", "four five six seven", " eight"]
+    assert chunking.split_long("\n\n".join(p), 7, 0) == ["one two three\n\n", "four five six seven\n\n eight"]
+    assert chunking.split_long("a b c d\n\ne\n\nf g h i", 6, 1) == ["a b c d\n\ne", "e\n\nf g h i"]
+    assert chunking.split_long("a", 1, 0) == ["a"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=40), st.integers(1, 40))
+def test_chunks_of_a_section_fill_in_order(words, most):
+    got = chunking.pack_places(words, most)
+    assert got[0] == 0 and all(b - a in (0, 1) for a, b in zip(got, got[1:]))
+    for k in set(got):
+        own = [n for n, g in zip(words, got) if g == k]
+        assert len(own) == 1 or int(sum(own[:-1]) * 1.3) + int(own[-1] * 1.3) <= most or sum(own[:-1]) == 0
+
+
+def test_spans_give_what_one_window_gives(spark):
+    rows = [("a", i, f"t{i}", i * 7 % 11 if i % 3 else None) for i in range(40)] + [("b", 5, "x", None), ("b", None, "y", 4), ("b", 6, "z", None)]
+    df = spark.createDataFrame(rows, "g string, o int, t string, v int").repartition(3)
+    for op in (lambda span: ordered.running_sum(df, ["g"], "o", ["t"], F.lit(1), "x", span), lambda span: ordered.last_seen(df, ["g"], "o", ["t"], {"x": F.col("v")}, span), lambda span: ordered.next_of(df, ["g"], "o", ["t"], F.col("t"), "x", span)):
+        one, many = ({(r.g, r.t): r.x for r in op(span).collect()} for span in (10**6, 4))
+        assert one == many and len(one) == 43
+    assert {r.t: r.x for r in ordered.next_of(df, ["g"], "o", ["t"], F.col("t"), "x", 4).where("g = 'b'").collect()} == {"y": "x", "x": "z", "z": None}
 
 
 @settings(max_examples=40, deadline=None)
@@ -114,6 +148,6 @@ def test_word_fallback_covers_all_words(n, most, overlap):
 
 
 def test_structured_survives_odd_rows(spark):
-    df = spark.createDataFrame([("d", None, "text", "x", None, None, "u1"), ("d", 1, "heading", None, 2, "s", "u2"), (None, 1, "text", "y", 1, None, "u3")], "document_id string, element_order int, element_type string, content_text string, page_number int, section_path string, element_uid string")
+    df = spark.createDataFrame([("d", None, "text", "x", None, None, "u1"), ("d", 1, "heading", None, 2, "s", "u2"), (None, 1, "text", "y", 1, None, "u3")], ELEMENTS)
     assert [r.text for r in chunking.structured(df).collect()] == ["x"]
     assert chunking.structured(df.where("false")).count() == 0
