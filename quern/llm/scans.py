@@ -1,16 +1,24 @@
 """Noise in text from scanned pages (problem 1).
 
 Method: skip-gram vectors with negative sampling are learned from the word
-co-occurrences of the whole corpus. A word that clean pages don't know is linked
-to the frequent words that become it by plausible glyph edits (rn for m, 0 for
-o), and the one that fits its neighbours best by the vectors replaces it. Lines
-that repeat a document's title, manual number, issue or chapter and page numbers
-are furniture and are removed; words divided at line ends are joined, unless
-they are compounds written with a hyphen; lines are reflowed into paragraphs.
+co-occurrences of the whole corpus. Words that clean pages don't know are linked
+to frequent words that differ in one place and are near by the vectors of the
+words around them; what stands in the two at that place, counted over all links,
+is the channel: how often a glyph is read as another. A word is then corrected in
+context: each known word that the channel leads to is weighed by its frequency,
+by the channel and by how its vector fits the words around, against the
+possibility that what stands there is a word of its own. Without vectors there are
+no links, no channel and no corrections.
+
+Lines that repeat a document's title, manual number, issue or chapter, lines that
+recur over the pages of one document only, and page numbers are furniture and are
+removed; words divided at line ends are joined, unless they are compounds written
+with a hyphen; lines are reflowed into paragraphs.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -19,26 +27,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words told apart, and those of them that get vectors.
-VOCABULARY, VECTORS = 50_000, 1024
+from quern.tables import materialise
+
+#: A word is known if clean pages hold it so often (and at least this share of how often scans do), and it makes up a
+#: MOST_WORDS-th of their words; so no more than MOST_WORDS words are known, whatever the corpus.
+LEAST_COUNT, CLEAN_SHARE, MOST_WORDS = 2, 0.2, 2_000_000
+#: The most frequent words, which serve as context of all others, and those that unknown words are linked to.
+CONTEXTS, FREQUENT = 1024, 4096
 DIMENSIONS, WINDOW, NEGATIVE, STEPS = 24, 3, 5, 60
-#: A word belongs to the vocabulary if clean pages hold it so often, and at least this share of how often scans do.
-LEAST_COUNT, CLEAN_SHARE = 2, 0.2
-#: Most glyph edits in a word.
-EDITS = 3
-
-#: What is read for what is printed.
-GLYPHS = (
-    ("0", "o"), ("1", "l"), ("1", "i"), ("|", "l"), ("|", "i"), ("!", "i"), ("!", "l"), ("5", "s"), ("$", "s"), ("@", "a"), ("9", "g"), ("8", "b"), ("6", "b"), ("3", "e"), ("7", "t"), ("2", "z"), ("4", "a"), ("€", "e"),
-    ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("l", "t"), ("l", "i"), ("i", "l"), ("m", "in"), ("m", "rn"), ("m", "ni"), ("rn", "m"), ("nn", "m"), ("ni", "m"), ("in", "m"), ("li", "h"), ("b", "h"), ("h", "b"), ("ii", "u"), ("u", "ii"), ("cl", "d"), ("d", "cl"),
-    ("vv", "w"), ("w", "vv"), ("ll", "tt"), ("tt", "ll"), ("ti", "ü"), ("ri", "n"), ("n", "ri"), ("o", "c"), ("c", "o"), ("fi", "fl"), ("q", "g"), ("g", "q"), ("s", "5"), ("v", "y"), ("aii", "au"), ("ß", "b"), ("b", "ß"), ("ö", "o"), ("u", "n"), ("n", "u"),
-)
-_BY_FIRST: dict[str, list[tuple[str, str]]] = {}
-for _wrong, _right in GLYPHS:
-    _BY_FIRST.setdefault(_wrong[0], []).append((_wrong, _right))
+#: Penalty on the length of a vector; share of a context's evidence that counts, as neighbouring words depend on each other.
+PENALTY, TRUST = 1.0, 0.5
+#: Most misread places in a word, and the most letters read or printed at one.
+EDITS, PLACE = 3, 3
+#: Nats by which the best known word must beat a word that is known itself, or a new one.
+MARGIN_KNOWN, MARGIN_NEW = 9.0, 0.0
+#: Links of which a pair of glyphs must make up one in so many; so there are no more pairs than that.
+MOST_PAIRS = 100_000
+#: Pages of a document that a line must recur on, the share of all its pages, and the most documents it may recur in, for a running head.
+RECURS, PAGES, DOCUMENTS = 3, 0.5, 2
+
 #: Signs that a plain word doesn't hold; a word with one of them is misread for sure.
 SIGNS = frozenset("0123456789|!@$€")
 HYPHEN = "[-‐‑¬\xad]"
@@ -52,7 +63,8 @@ WORDS = re.compile(r"[^\W_]+(?:[-‐‑][^\W_]+)*")
 MIXED = re.compile(r"\w*(?:[A-Za-z][Ѐ-ӿͰ-Ͽ]|[Ѐ-ӿͰ-Ͽ][A-Za-z])\w*")
 SOFT = re.compile("\xad(?![ \\t]*\\n)")
 LINE_END = re.compile(HYPHEN + r"[ \t]*\n")
-BREAK = re.compile(HYPHEN + r"[ \t]*\n[ \t]*")
+SEPARATED = re.compile(f"({HYPHEN}[ \\t]*\\n[ \\t]*)")
+DIVIDED = re.compile(rf"\S+{HYPHEN}[ \t]*\n[ \t]*\S+(?:(?<={HYPHEN})[ \t]*\n[ \t]*\S+)*")
 LEFT_PART = re.compile(r"[^\s.,;:()\[\]«»\"“”]*[^\W_]\Z|[|!@$€]\Z")
 RIGHT_PART = re.compile(r"(?:[^\W_]|[|!@$€])+")
 INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff]")
@@ -94,10 +106,18 @@ def counted(text: str) -> list[str]:
     return out
 
 
-def vocabulary(elements: DataFrame, text: str, scanned: str) -> dict[str, tuple[int, int]]:
-    """{word: (count on clean pages, count on scans)} over all texts, the VOCABULARY most frequent; counted in each task first.
+class Vocabulary:
+    """The known words with their counts on clean pages and on scans, and the share of clean pages' words that aren't known."""
+
+    def __init__(self, words: dict[str, tuple[int, int]], total: int):
+        self.words, self.total = words, max(1, total)
+        self.unknown = max(1 - sum(c for c, _ in words.values()) / self.total, 1 / self.total)
+
+
+def vocabulary(elements: DataFrame, text: str, scanned: str) -> Vocabulary:
+    """The known words over all texts; counted in each task first.
 
-    Without clean pages the scans' own counts stand in.
+    Without clean pages the scans' own frequent words stand in.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,18 +140,27 @@ def vocabulary(elements: DataFrame, text: str, scanned: str) -> dict[str, tuple[
         yield flush()
 
     rows = elements.select(text, F.coalesce(F.col(scanned), F.lit(False)).alias("noisy")).mapInArrow(count, "word string, clean bigint, scan bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan"))
-    top = rows.where(F.col("clean") + F.col("scan") >= LEAST_COUNT).orderBy(F.desc("clean"), F.desc("scan"), "word").limit(VOCABULARY).collect()
-    if not any(r.clean for r in top):
-        return {r.word: (r.scan, 0) for r in top if r.scan >= 5}
-    return {r.word: (r.clean, r.scan) for r in top}
+    rows = materialise(rows)
+    total = rows.agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan")).first()
+    if not total.clean:
+        rows, n = rows.where("scan >= 5").select("word", F.col("scan").alias("clean"), F.lit(0).alias("scan")), total.scan or 0
+    else:
+        rows, n = rows.where(F.col("clean") >= CLEAN_SHARE * F.col("scan")), total.clean
+    known = rows.where(F.col("clean") >= max(LEAST_COUNT, n / MOST_WORDS)).collect()  # at most MOST_WORDS words
+    return Vocabulary({r.word: (r.clean, r.scan) for r in sorted(known, key=lambda r: (-r.clean, -r.scan, r.word))}, n)
 
 
-def cooccurrences(elements: DataFrame, text: str, index: dict[str, int]) -> np.ndarray:
-    """Counts of (word, neighbour) within WINDOW words over all texts, for the words of `index`; at most VECTORS^2 numbers."""
-    n = len(index)
+def cooccurrences(elements: DataFrame, text: str, words_: dict[str, int], contexts: int) -> DataFrame:
+    """(word, context, n): counts over all texts of a known word, by its number, within WINDOW words of one of the first `contexts`. Materialised."""
+    sent = elements.sparkSession.sparkContext.broadcast(words_)  # at most MOST_WORDS words
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n * n, dtype=np.int64)
+        index = sent.value
+        pairs, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((pairs // contexts).astype(np.int32)), pa.array((pairs % contexts).astype(np.int32)), pa.array(n)], names=["word", "context", "n"])
+
         for batch in batches:
             ids: list[int] = []
             for s in batch.column(0).to_pylist():
@@ -139,18 +168,21 @@ def cooccurrences(elements: DataFrame, text: str, index: dict[str, int]) -> np.n
                     ids += [index.get(w, -1) for w in words(plain(s))]
                     ids += [-1] * WINDOW
             a = np.array(ids, dtype=np.int64)
+            new = []
             for k in range(1, WINDOW + 1):
-                x, y = a[:-k], a[k:]
-                good = (x >= 0) & (y >= 0)
-                total += np.bincount(x[good] * n + y[good], minlength=n * n)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+                for x, y in ((a[:-k], a[k:]), (a[k:], a[:-k])):
+                    good = (x >= 0) & (y >= 0) & (y < contexts)
+                    new.append(x[good] * contexts + y[good])
+            every = np.concatenate([pairs, *new])
+            pairs, at = np.unique(every, return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([n, np.ones(len(every) - len(n), dtype=np.int64)]), minlength=len(pairs)).astype(np.int64)
+            if len(pairs) > 2_000_000:
+                yield out()
+                pairs, n = pairs[:0], n[:0]
+        yield out()
 
-    out = np.zeros(n * n)
-    for r in elements.select(text).mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
-        out[r.pair] = r.n
-    m = out.reshape(n, n)
-    return m + m.T
+    rows = elements.select(text).mapInArrow(count, "word int, context int, n bigint").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    return materialise(rows)
 
 
 def skipgram(counts: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -176,62 +208,187 @@ def skipgram(counts: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray
     return w, v
 
 
+def fold_in(counts: np.ndarray, v: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The word vectors that maximise the same objective for rows of counts, the context vectors being given, by Newton's method."""
+    w = np.zeros((len(counts), v.shape[1]))
+    noise = NEGATIVE * counts.sum(1, keepdims=True) * share[None, :]
+    outer = np.einsum("ci,cj->cij", v, v).reshape(len(v), -1)
+    eye = PENALTY * np.eye(v.shape[1])
+    for _ in range(8):
+        s = 1 / (1 + np.exp(-np.clip(w @ v.T, -8, 8)))
+        g = (counts - s * (counts + noise)) @ v - PENALTY * w
+        h = (((counts + noise) * s * (1 - s)) @ outer).reshape(len(w), v.shape[1], -1) + eye
+        step = np.linalg.solve(h, g[:, :, None])[:, :, 0]
+        w += step * np.minimum(1, 4 / np.maximum(1e-9, np.abs(step).max(1, keepdims=True)))
+    return w
+
+
+def vectors(counts: DataFrame, n_words: int, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word vectors of all known words, context vectors): contexts among themselves first, then every word by its own counts, in Spark."""
+    core = np.zeros((contexts, contexts))
+    for r in counts.where(F.col("word") < contexts).toPandas().itertuples(index=False):  # at most CONTEXTS^2 numbers
+        core[r.word, r.context] = r.n
+    if not core.any():
+        return np.zeros((n_words, DIMENSIONS), dtype=np.float32), np.zeros((contexts, DIMENSIONS), dtype=np.float32)
+    _, v = skipgram(core)
+    share = core.sum(0) / core.sum()
+
+    def fold(table: pa.Table) -> pa.Table:
+        word = table.column("word").to_numpy()
+        every, at = np.unique(word, return_inverse=True)
+        context, n = table.column("context").to_numpy(), table.column("n").to_numpy()
+        out = []
+        for lo in range(0, len(every), 256):
+            own = (at >= lo) & (at < lo + 256)
+            dense = np.zeros((min(256, len(every) - lo), contexts))
+            dense[at[own] - lo, context[own]] = n[own]
+            out.append(fold_in(dense, v, share))
+        w = np.concatenate(out).astype(np.float32)
+        return pa.table({"word": pa.array(every, pa.int32()), "vector": pa.array(list(w), pa.list_(pa.float32()))})
+
+    w = np.zeros((n_words, DIMENSIONS), dtype=np.float32)
+    blocks = counts.withColumn("block", F.floor(F.col("word") / 1024)).groupBy("block").applyInArrow(lambda t: fold(t), "word int, vector array<float>")
+    for r in blocks.toLocalIterator():  # at most MOST_WORDS vectors
+        w[r.word] = r.vector
+    return w, v
+
+
+def difference(read: str, word: str) -> tuple[str, str]:
+    """What stands in a reading and in a word where they differ, in one place; where one of the two has nothing, with the letter before (or after)."""
+    n = min(len(read), len(word))
+    i = next((k for k in range(n) if read[k] != word[k]), n)
+    j = next((k for k in range(n - i) if read[-1 - k] != word[-1 - k]), n - i)
+    if len(read) == i + j or len(word) == i + j:
+        i, j = (i - 1, j) if i else (i, max(0, j - 1))
+    return read[i : len(read) - j], word[i : len(word) - j]
+
+
+class Links:
+    """Frequent words by what is left of them when one place is taken out."""
+
+    def __init__(self, frequent: list[str]):
+        self.by: dict[tuple[str, str], list[int]] = {}
+        for k, w in enumerate(frequent):
+            for i in range(len(w) + 1):
+                for n in range(PLACE):
+                    if i + n <= len(w) and len(w) - n >= 2:
+                        self.by.setdefault((w[:i], w[i + n :]), []).append(k)
+
+    def near(self, read: str) -> set[int]:
+        """Numbers of the frequent words that a reading becomes by another text of under PLACE letters in one place."""
+        out: set[int] = set()
+        for i in range(len(read) + 1):
+            for n in range(PLACE):
+                if i + n <= len(read):
+                    out.update(self.by.get((read[:i], read[i + n :]), ()))
+        return out
+
+
 class Reader:
     """Corrects words and finds the noise of a text, with everything that a worker needs."""
 
-    def __init__(self, known: dict[str, tuple[int, int]], index: dict[str, int], vectors: tuple[np.ndarray, np.ndarray]):
-        self.known = {w: c for w, (c, s) in known.items() if c >= LEAST_COUNT and c >= CLEAN_SHARE * s}
-        self.index, (self.w, self.v) = index, vectors
-        self.found: dict[str, tuple[tuple[str, int], ...]] = {}
-        self.prior = {w: math.log(c) for w, c in self.known.items()}
-
-    def candidates(self, word: str) -> tuple[tuple[str, int], ...]:
-        """(known word, edits) that a reading may stand for, by up to EDITS glyph edits from left to right; fewest edits first."""
+    def __init__(self, known: Vocabulary, vectors_: tuple[np.ndarray, np.ndarray], channel: dict[tuple[str, str], int] | None = None):
+        self.known, self.total = {w: c for w, (c, _) in known.words.items()}, known.total
+        self.sorted = sorted(self.known)
+        self.index = {w: i for i, w in enumerate(known.words)}
+        self.w, self.v = vectors_
+        self.found: dict[str, tuple[tuple[str, float], ...]] = {}
+        self.prior = {w: math.log(c / self.total) for w, c in self.known.items()}
+        self.new = math.log(known.unknown)
+        self.letters = self._letters()
+        self.by_first: dict[str, list[tuple[str, str, float]]] = {}
+        self.teach(known, channel or {})
+
+    def _letters(self) -> dict[str, float]:
+        """Log probabilities of letter pairs in known words, ends included: what a word of its own looks like."""
+        pair: Counter[str] = Counter()
+        first: Counter[str] = Counter()
+        for w in self.known:
+            for i, c in enumerate("\n" + w):
+                pair[c + (w[i] if i < len(w) else "\n")] += 1
+                first[c] += 1
+        return {p: math.log(n / first[p[0]]) for p, n in pair.items()}
+
+    def teach(self, known: Vocabulary, channel: dict[tuple[str, str], int]) -> None:
+        """Take over the channel: {(read, printed): links}; a pair's probability is by how often scans hold what is printed."""
+        held: Counter[str] = Counter()
+        wanted = {printed for _, printed in channel}
+        for w, (_, scan) in known.words.items():
+            for i in range(len(w)):
+                for n in range(1, 2 * PLACE):
+                    if w[i : i + n] in wanted:
+                        held[w[i : i + n]] += scan
+        self.by_first, self.found = {}, {}
+        for (read, printed), n in sorted(channel.items()):
+            if read:
+                self.by_first.setdefault(read[0], []).append((read, printed, math.log(n / (n + held[printed] + 1))))
+
+    def starts(self, prefix: str) -> bool:
+        i = bisect.bisect_left(self.sorted, prefix)
+        return i < len(self.sorted) and self.sorted[i].startswith(prefix)
+
+    def candidates(self, word: str) -> tuple[tuple[str, float], ...]:
+        """(known word, log probability of the reading) of the known words that a reading may stand for, by up to EDITS places of the channel.
+
+        The known words' prefixes steer the search, so it needs no cap.
+        """
         out = self.found.get(word)
         if out is None:
-            best: dict[str, int] = {}
-            level = {("", 0)}
-            for edits in range(EDITS + 1):
-                ahead: set[tuple[str, int]] = set()
-                for done, at in level:
-                    full = done + word[at:]
-                    if edits and full in self.known and full != word:
-                        best.setdefault(full, edits)
-                    if edits < EDITS:
-                        for i in range(at, len(word)):
-                            for wrong, right in _BY_FIRST.get(word[i], ()):
-                                if word.startswith(wrong, i):
-                                    ahead.add((done + word[at:i] + right, i + len(wrong)))
-                if best and edits:
-                    break
-                signs = sum(c in SIGNS for c in word)
-                level = {(d, a) for d, a in ahead if sum(c in SIGNS for c in word[a:]) + sum(c in SIGNS for c in d) <= max(0, signs) and len(ahead) < 20_000}
-            out = tuple(sorted(best.items(), key=lambda x: (x[1], -self.prior[x[0]], x[0])))
+            best: dict[str, float] = {}
+            stack = [("", 0, 0.0, 0)]
+            seen: dict[tuple[str, int, int], float] = {}
+            while stack:
+                done, at, cost, edits = stack.pop()
+                if at == len(word):
+                    if edits and done in self.known and done != word and cost > best.get(done, -math.inf):
+                        best[done] = cost
+                    continue
+                ahead = [(done + word[at], at + 1, cost, edits)]
+                if edits < EDITS:
+                    ahead += [(done + printed, at + len(read), cost + p, edits + 1) for read, printed, p in self.by_first.get(word[at], ()) if word.startswith(read, at)]
+                for x in ahead:
+                    k = (x[0], x[1], x[3])
+                    if x[2] > seen.get(k, -math.inf) and self.starts(x[0]):
+                        seen[k] = x[2]
+                        stack.append(x)
+            out = tuple(sorted(best.items(), key=lambda x: (-x[1] - self.prior[x[0]], x[0])))
             if len(self.found) > 300_000:
                 self.found.clear()
             self.found[word] = out
         return out
 
-    def context(self, around: list[str]) -> np.ndarray | None:
-        ids = [i for i in map(self.index.get, around) if i is not None]
-        return self.v[ids].mean(axis=0) if ids else None
+    def context(self, around: list[str]) -> tuple[np.ndarray, int] | None:
+        """The sum of the context vectors around a word, and how many they are."""
+        ids = [i for i in map(self.index.get, around) if i is not None and i < len(self.v)]
+        return (self.v[ids].sum(axis=0), len(ids)) if ids else None
+
+    def fit(self, word: str, context: tuple[np.ndarray, int] | None) -> float:
+        """Nats by which a context makes a known word likelier, by the vectors: the sum of w.v + log(NEGATIVE) over the context; 0 without vectors."""
+        if context is None or not context[0].any():
+            return 0.0
+        w = self.w[self.index[word]]
+        return float(w @ context[0]) + context[1] * math.log(NEGATIVE) if w.any() else 0.0
+
+    def as_new(self, word: str) -> float:
+        """Log probability that a word that isn't known stands where it is read: new words' share times that of its letters."""
+        s = "\n" + word + "\n"
+        return self.new + sum(self.letters.get(s[i : i + 2], -9.0) for i in range(len(s) - 1))
 
     def correct(self, word: str, around: list[str]) -> str | None:
         """What a misread word stands for, in lower case; None for a word that is none or can't be told."""
         low = word.lower()
-        if low in self.known or len(low) < 2:
-            return None
         letters = sum(c.isalpha() for c in low)
         if letters < 2 or (len(low) < 3 and letters < len(low)):
             return None
         options = self.candidates(low)
         if not options:
             return None
-        if len(options) == 1:
-            return options[0][0]
         c = self.context(around)
-        score = {w: self.prior[w] - 4.0 * edits + (3.0 * float(self.w[self.index[w]] @ c) if c is not None and w in self.index else 0.0) for w, edits in options}
-        return max(score, key=lambda w: (score[w], w))
+        score = {w: self.prior[w] + p + TRUST * self.fit(w, c) for w, p in options}
+        best = max(score, key=lambda w: (score[w], w))
+        if low in self.known:
+            return best if score[best] > self.prior[low] + TRUST * self.fit(low, c) + MARGIN_KNOWN else None
+        return best if score[best] > self.as_new(low) + MARGIN_NEW else None
 
     def is_word(self, word: str) -> bool:
         return word.lower() in self.known
@@ -244,12 +401,58 @@ class Reader:
             return True, left + right
         if self.is_word(two):
             return False, left + "-" + right
-        fixed = self.correct(one, [])
-        if fixed:
+        if self.correct(one, []):
             return True, left + right
         known = [self.is_word(x) or self.correct(x, []) is not None for x in (part, right)]
         return (not all(known), left + right if not all(known) else left + "-" + right)
 
+    def same(self, read: str, word: str) -> bool:
+        """Whether a reading becomes a given word by places of the channel alone."""
+        reach = {(0, 0, 0)}
+        while reach:
+            ahead = set()
+            for i, j, e in reach:
+                if i == len(read) and j == len(word):
+                    return True
+                if i < len(read) and j < len(word) and read[i] == word[j]:
+                    ahead.add((i + 1, j + 1, e))
+                if i < len(read) and e < EDITS:
+                    ahead.update((i + len(r), j + len(p), e + 1) for r, p, _ in self.by_first.get(read[i], ()) if read.startswith(r, i) and word.startswith(p, j))
+            reach = ahead
+        return False
+
+
+def channel(elements: DataFrame, text: str, scanned: str, reader: Reader) -> dict[tuple[str, str], int]:
+    """{(read, printed): links} over all scans: each unknown word there is linked to the frequent word that differs in one place and fits the words around it best, if it fits at all."""
+    sent = elements.sparkSession.sparkContext.broadcast(reader)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader: Reader = sent.value
+        frequent = [w for w in reader.index if len(w) > 2 and w.isalpha()][:FREQUENT]
+        links, near = Links(frequent), {}
+        total: Counter[tuple[str, str]] = Counter()
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                if not s:
+                    continue
+                tokens = [t.lower() for t in TOKEN.findall(DIVIDED.sub(" \n ", plain(s)))]
+                for n, low in enumerate(tokens):
+                    if low in reader.known or len(low) < 4 or sum(c.isalpha() for c in low) < 2:
+                        continue
+                    if low not in near:
+                        if len(near) > 300_000:
+                            near.clear()
+                        near[low] = [frequent[k] for k in links.near(low)]
+                    if near[low] and (c := reader.context(tokens[max(0, n - WINDOW) : n] + tokens[n + 1 : n + 1 + WINDOW])) is not None:
+                        fit, best = max((reader.fit(w, c), w) for w in near[low])
+                        if fit > 0:
+                            total[difference(low, best)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["read", "printed", "n"])
+
+    rows = materialise(elements.where(F.col(scanned)).select(text).mapInArrow(count, "read string, printed string, n bigint").groupBy("read", "printed").agg(F.sum("n").alias("n")))
+    every = rows.agg(F.sum("n").alias("n")).first().n or 0
+    return {(r.read, r.printed): r.n for r in rows.where(F.col("n") >= every / MOST_PAIRS).collect()}  # at most MOST_PAIRS
+
 
 NUMBER = r"(?:page\s+\d+(?:\s+of\s+\d+)?|p\.\s*\d+|[-—–]\s*\d+\s*[-—–]|\d+\s*/\s*\d+|\d+-\d+|\d+|[ivxl]+|\[\d+\])"
 ONLY_NUMBER = re.compile(NUMBER)
@@ -258,12 +461,14 @@ AFTER = re.compile(rf"(?:\s*\|\s*|\s+)({NUMBER})")
 CHAPTER = re.compile(r"\s*[-—–]\s*\w+\s+[\divxl]+")
 ISSUE = re.compile(r"(?:(?:tm|change\s+\d+|issue\s+\d+|rev\.?\s*\d+)\s+)?")
 BARE = re.compile(r"\d+|\[\d+\]")
+DIGITS = re.compile(r"\d+")
 
 
 class Heads:
-    """Recognises the furniture of one document by its title and manual number, which its file name holds."""
+    """Recognises the furniture of one document by its title and manual number, as far as its file name holds them, and by the lines that recur on its pages."""
 
-    def __init__(self, filename: str | None):
+    def __init__(self, filename: str | None, recurring: tuple[int, ...] | None = None):
+        self.recurring = frozenset(recurring or ())
         stem = (filename or "").rsplit(".", 1)[0]
         number, _, title = stem.partition("_")
         self.number = number.lower()
@@ -289,17 +494,46 @@ class Heads:
     def kinds(self, line: str, page: int | None, fix) -> set[str]:
         """The kinds of furniture in a line; empty for text. A bare number is a page number only if it is the page's."""
         t = line.strip().lower()
-        if not t or len(t) > 90:
+        if not t:
             return set()
         if any(w in t for w in self.words) and len(t) <= len(self.title) + 50:
             found = self._head(t) or self._head(fix(t))
             if found:
                 return found
-        if len(t) < 20 and ONLY_NUMBER.fullmatch(t):
+        if ONLY_NUMBER.fullmatch(t):
             if BARE.fullmatch(t):
                 return {"page_number"} if page is None or int(t.strip("[]")) == page else set()
             return {"page_number"} if len(t) < 6 or not t.isalpha() else set()
-        return set()
+        return {"running_head"} if self.recurring and line_mark(t) in self.recurring else set()
+
+
+def line_mark(line: str) -> int:
+    """A hash of a line whatever its numbers, case and white space."""
+    s = " ".join(DIGITS.sub("0", line.lower()).split())
+    return xxhash.xxh64_intdigest(s) - 2**63
+
+
+def recurring_lines(elements: DataFrame, text: str = "content_text") -> DataFrame:
+    """(document_id, lines array<bigint>): the lines that recur on RECURS pages and the share PAGES of a document or more, and so in DOCUMENTS documents at most.
+
+    Only hashes of lines are shuffled. What recurs in many documents is layout
+    of the text, such as a warning's headline, and no running head. Lines without
+    a letter, and elements without a page, don't count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, line_mark(x), p) for d, s, p in zip(*(batch.column(i).to_pylist() for i in range(3))) for x in {y.strip() for y in (s or "").split("\n")} if any(map(str.isalpha, x))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int32()))], names=["document_id", "line", "page"])
+
+    own = elements.where("page_number IS NOT NULL AND document_id IS NOT NULL")
+    lines = own.select("document_id", text, F.col("page_number").cast("int")).mapInArrow(run, "document_id string, line bigint, page int")
+    often = lines.groupBy("document_id", "line").agg(F.min("page").alias("lo"), F.max("page").alias("hi"), F.count("*").alias("n")).where(F.col("n") >= RECURS)
+    often = materialise(lines.join(often.where("lo < hi").select("document_id", "line"), ["document_id", "line"], "left_semi").groupBy("document_id", "line").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= RECURS))
+    pages = own.join(often.select("document_id").distinct(), "document_id", "left_semi").groupBy("document_id").agg(F.countDistinct("page_number").alias("pages"))
+    often = often.join(pages, "document_id").where(F.col("n") >= PAGES * F.col("pages")).select("document_id", "line")
+    common = often.groupBy("line").agg(F.count("*").alias("d")).where(F.col("d") > DOCUMENTS)
+    return often.join(common, "line", "left_anti").groupBy("document_id").agg(F.collect_set("line").alias("lines"))
 
 
 def repair(text: str | None, page: int | None, heads: Heads, reader: Reader) -> tuple[set[str], str | None]:
@@ -317,40 +551,40 @@ def repair(text: str | None, page: int | None, heads: Heads, reader: Reader) ->
     known = set(re.findall(r"[^\W\d_]+", heads.title))
 
     def fix(line: str) -> str:
-        return re.sub(WORDISH, lambda m: m.group() if m.group() in known or m.group().isdigit() else next((w for w in known if _glyph_same(m.group(), w)), m.group()), line)
+        return re.sub(WORDISH, lambda m: m.group() if m.group() in known or m.group().isdigit() else next((w for w in known if reader.same(m.group(), w)), m.group()), line)
 
     for line in lines:
         found = heads.kinds(line, page, fix)
         kinds |= found
         if not found:
             kept.append(line)
-    s = "\n".join(kept)
-
-    pieces, rest = "", s
-    while (m := BREAK.search(rest)) is not None:
-        head, tail = pieces + rest[: m.start()], rest[m.end() :]
-        left, right = LEFT_PART.search(head, max(0, len(head) - 60)), RIGHT_PART.match(tail)
-        if left is None or right is None:
-            pieces, rest = head + rest[m.start() : m.end()], tail
-            continue
-        a, b = left.group(), right.group()
-        one, whole = (False, a + "-" + b) if a[-1].isdigit() or b[0].isdigit() else reader.joins(a, b)
-        if one:
-            kinds.add("broken_word")
-        pieces, rest = head[: left.start()], whole + tail[right.end() :]
-        if BREAK.match(tail, right.end()) is None:
-            pieces, rest = pieces + whole, tail[right.end() :]
-    s = pieces + rest
-    quick = {w for w in WORDISH.findall(s) if w not in reader.known and w.lower() not in reader.known and not w.isdigit()}
-    spans = [(m.start(), m.end()) for m in DIGITAL.finditer(s)] if quick else []
-    tokens = list(TOKEN.finditer(s)) if quick else []
+
+    def whole(m: re.Match) -> str:
+        """The words of a chain of line ends, joined where they were divided."""
+        parts = SEPARATED.split(m.group())
+        done = parts[0]
+        for gap, ahead in zip(parts[1::2], parts[2::2]):
+            left, right = LEFT_PART.search(done), RIGHT_PART.match(ahead)
+            if left is None or right is None:
+                done += gap + ahead
+                continue
+            a, b = left.group(), right.group()
+            one, word = (False, a + "-" + b) if a[-1].isdigit() or b[0].isdigit() else reader.joins(a, b)
+            if one:
+                kinds.add("broken_word")
+            done = done[: left.start()] + word + ahead[right.end() :]
+        return done
+
+    s = DIVIDED.sub(whole, "\n".join(kept))
+    spans = [(m.start(), m.end()) for m in DIGITAL.finditer(s)]
+    tokens = list(TOKEN.finditer(s))
     low = [t.group().lower() for t in tokens]
     out, last, k = [], 0, 0
     for n, t in enumerate(tokens):
         while k < len(spans) and spans[k][1] <= t.start():
             k += 1
         word = t.group()
-        if low[n] in reader.known or low[n].rstrip("!") in reader.known or word.isdigit() or (word.isupper() and len(word) < 4):
+        if word.isdigit() or (word.isupper() and len(word) < 4) or (low[n].rstrip("!") in reader.known and low[n].endswith("!")) or not reader.candidates(low[n]):
             continue
         code = k < len(spans) and spans[k][0] <= t.start() < spans[k][1]
         if code:
@@ -368,38 +602,25 @@ def repair(text: str | None, page: int | None, heads: Heads, reader: Reader) ->
     return kinds, "\n\n".join(p for p in paragraphs if p)
 
 
-def _glyph_same(read: str, word: str) -> bool:
-    """Whether a reading becomes the word by glyph edits alone."""
-    reach = {(0, 0, 0)}
-    while reach:
-        ahead = set()
-        for i, j, e in reach:
-            if i == len(read) and j == len(word):
-                return True
-            if i < len(read) and j < len(word) and read[i] == word[j]:
-                ahead.add((i + 1, j + 1, e))
-            if i < len(read) and e < EDITS:
-                for wrong, right in _BY_FIRST.get(read[i], ()):
-                    if read.startswith(wrong, i) and word.startswith(right, j):
-                        ahead.add((i + len(wrong), j + len(right), e + 1))
-        reach = ahead
-    return False
-
-
 def learn(elements: DataFrame, text: str = "content_text", scanned: str = "scanned") -> Reader:
-    """Vocabulary, vectors and the corrector, from all texts."""
+    """Vocabulary, vectors, channel and with them the corrector, from all texts."""
     known = vocabulary(elements, text, scanned)
-    index = {w: i for i, w in enumerate([w for w in known if known[w][0]][:VECTORS])}
-    vectors = skipgram(cooccurrences(elements, text, index)) if index else (np.zeros((0, DIMENSIONS)), np.zeros((0, DIMENSIONS)))
-    return Reader(known, index, vectors)
+    index = {w: i for i, w in enumerate(known.words)}
+    contexts = min(CONTEXTS, len(index))
+    if not contexts:
+        return Reader(known, (np.zeros((0, DIMENSIONS)), np.zeros((0, DIMENSIONS))))
+    reader = Reader(known, vectors(cooccurrences(elements, text, index, contexts), len(index), contexts))
+    reader.teach(known, channel(elements, text, scanned, reader))
+    return reader
 
 
 def scanned_documents(elements: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """(document_id, filename) of the scanned documents: those with an `ocr` chunk, in any case, or with recognition confidences."""
+    """(document_id, filename, lines) of the scanned documents: those with an `ocr` chunk, in any case, or with recognition confidences; with their recurring lines."""
     by_chunk = chunks.where(F.lower(F.trim("modality")) == "ocr").select("document_id")
     by_page = elements.where("confidence IS NOT NULL").select("document_id")
     docs = by_chunk.union(by_page).where("document_id IS NOT NULL").distinct()
-    return docs.join(documents.groupBy("document_id").agg(F.max("filename").alias("filename")), "document_id", "left")
+    lines = recurring_lines(elements.where("element_type = 'text'"))
+    return docs.join(documents.groupBy("document_id").agg(F.max("filename").alias("filename")), "document_id", "left").join(lines, "document_id", "left")
 
 
 def repair_elements(elements: DataFrame, scanned: DataFrame, reader: Reader, newest: str = "updated_at") -> DataFrame:
@@ -408,22 +629,23 @@ def repair_elements(elements: DataFrame, scanned: DataFrame, reader: Reader, new
     Elements of other types and of other documents are clean and left as they
     are; they aren't in the result. Null and empty texts have no kinds.
     """
-    sent = elements.sparkSession.sparkContext.broadcast(reader)  # bounded by VOCABULARY and VECTORS
+    sent = elements.sparkSession.sparkContext.broadcast(reader)  # bounded by MOST_WORDS and MOST_PAIRS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: dict[str | None, Heads] = {}
+        heads: dict[tuple, Heads] = {}
         for batch in batches:
             kinds, texts = [], []
-            for body, page, name in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                h = heads.get(name)
+            for body, page, name, lines in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                own = (name, tuple(lines or ()))
+                h = heads.get(own)
                 if h is None:
                     if len(heads) > 10_000:
                         heads.clear()
-                    h = heads[name] = Heads(name)
+                    h = heads[own] = Heads(*own)
                 k, t = repair(body, page, h, sent.value)
                 kinds.append(sorted(k))
                 texts.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.string())], names=["id", "at", "kinds", "repaired"])
 
-    rows = elements.where("element_type = 'text' AND id IS NOT NULL").join(scanned, "document_id").select("id", F.date_format(newest, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), F.col("content_text").alias("body"), F.col("page_number").cast("int").alias("page"), "filename")
+    rows = elements.where("element_type = 'text' AND id IS NOT NULL").join(scanned, "document_id").select("id", F.date_format(newest, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), F.col("content_text").alias("body"), F.col("page_number").cast("int").alias("page"), "filename", "lines")
     return rows.mapInArrow(run, "id string, at string, kinds array<string>, repaired string")

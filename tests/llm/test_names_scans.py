@@ -69,7 +69,15 @@ def test_pairs_and_odd_rows(spark):
 
 
 CLEAN = ["The operator checks the cooling loop and the phase-locked receiver of the modern station", "The driver records the interval between the internal harness and the filter"] * 4
-READER = S.Reader({w: (9, 1) for s in CLEAN for w in S.counted(s)} | {"modern": (9, 1)}, {}, (np.zeros((0, 4)), np.zeros((0, 4))))
+GLYPHS = (("0", "o"), ("c", "e"), ("1", "l"), ("cl", "d"), ("m", "in"))
+
+
+def reader(words, pairs=GLYPHS):
+    known = S.Vocabulary(words, sum(c for c, _ in words.values()))
+    return S.Reader(known, (np.zeros((len(words), 4)), np.zeros((0, 4))), dict.fromkeys(pairs, 50))
+
+
+READER = reader({w: (9, 1) for s in CLEAN for w in S.counted(s)} | {"modern": (9, 1)})
 HEADS = S.Heads("jd-23805_coppervane_duplexer.pdf")
 
 
@@ -119,12 +127,72 @@ def test_elements(spark):
     assert S.repair_elements(el.where("false"), scanned, READER).count() == 0
     r = S.learn(el.withColumn("scanned", F.col("confidence").isNotNull()))
     assert isinstance(r, S.Reader) and S.learn(el.where("false").withColumn("scanned", F.lit(True))).known == {}
+    assert S.recurring_lines(el).count() == S.recurring_lines(el.where("false")).count() == 0
 
 
 def test_capitals_beside_digits_are_misread_words_or_codes():
     known = dict.fromkeys(("please", "clean", "configuration", "the", "pump", "valve"), (100, 0))
-    reader = S.Reader(known, {}, (np.zeros((0, 1)), np.zeros((0, 1))))
-    fix = lambda s: S.repair(s, None, S.Heads("X1_Manual.pdf"), reader)[1]
+    own = reader(known)
+    fix = lambda s: S.repair(s, None, S.Heads("X1_Manual.pdf"), own)[1]
     assert fix("P1ease (C1ean) the pump, C0nfiguration of THE VA1VE.") == "Please (Clean) the pump, Configuration of THE VALVE."
     for code in ("K4T9", "PN-C1ean", "C1ean/7", "B12", "A320x", "4711-P1ease"):
         assert fix(f"the pump {code} valve") == f"the pump {code} valve"
+
+
+def test_difference_is_one_place():
+    assert S.difference("recorcled", "recorded") == ("cl", "d") and S.difference("modem", "modern") == ("m", "rn")
+    assert S.difference("fiter", "filter") == ("i", "il") and S.difference("filtter", "filter") == ("tt", "t")
+    links = S.Links(["filter", "driver", "mixer"])
+    assert links.near("clriver") == {1} and links.near("fi1ter") == {0} and links.near("station") == set()
+
+
+SENTENCES = ["the operator checks the cooling loop before every start", "the driver records the interval of the filter in the log", "a technician replaced the filter of the cooling loop", "the second operator records the pressure in the log book", "the driver checks the pressure of the hydraulic pump"]
+
+
+def noisy_corpus(spark, seed=4):
+    """Clean pages, scans with misread words, and the ids of the scans that have one."""
+    rng = np.random.default_rng(seed)
+    rows, true = [], set()
+    for i in range(900):
+        s = SENTENCES[i % 5]
+        scan = i % 2 == 0
+        if scan and rng.random() < 0.6:
+            ws = s.split()
+            k = int(rng.choice([j for j, w in enumerate(ws) if len(w) > 4]))
+            wrong = ws[k]
+            for a, b in (("d", "cl"), ("e", "c"), ("o", "0"), ("l", "1")):
+                if a in wrong[1:]:
+                    wrong = wrong[0] + wrong[1:].replace(a, b, 1)
+                    break
+            if wrong != ws[k]:
+                true.add(f"{i}")
+            ws[k] = wrong
+            s = " ".join(ws)
+        rows.append((f"{i}", s, scan))
+    return spark.createDataFrame(rows, "id string, content_text string, scanned boolean"), true
+
+
+def test_channel_is_learned_through_the_vectors(spark, monkeypatch):
+    df, true = noisy_corpus(spark)
+    found = lambda r: {x.id for x in df.collect() if x.scanned and "misread" in S.repair(x.content_text, None, S.Heads(None), r)[0]}
+    learned = S.learn(df)
+    assert {("cl", "d"), ("c", "e"), ("0", "o")} <= {(r, p) for v in learned.by_first.values() for r, p, _ in v}
+    assert found(learned) == true and len(true) > 150
+    whole = S.vectors
+    monkeypatch.setattr(S, "vectors", lambda *a: tuple(np.zeros_like(x) for x in whole(*a)))
+    assert found(S.learn(df)) == set()
+
+
+def test_context_chooses_between_known_words():
+    words = {"lead": (50, 0), "head": (50, 0), "cable": (90, 0), "crew": (90, 0)}
+    w = np.array([[1.0, 0], [0, 1.0], [1.0, 0], [0, 1.0]]) * 3
+    r = S.Reader(S.Vocabulary(words, 280), (w, w / 2), {("1", "l"): 5, ("1", "h"): 5})
+    assert r.correct("1ead", ["cable"]) == "lead" and r.correct("1ead", ["crew"]) == "head"
+
+
+def test_running_heads_by_recurrence(spark):
+    rows = [("d", f"North Depot Handbook {p}\nSome text of page {p * 17} that is {'x' * p}", p) for p in range(1, 6)] + [(f"e{k}", f"NOTE\nAnother text {'y' * p}", p) for k in range(4) for p in range(1, 5)] + [("d", None, 1), (None, "x", 1)]
+    el = spark.createDataFrame(rows, "document_id string, content_text string, page_number int")
+    got = S.recurring_lines(el).collect()
+    assert [(r.document_id, r.lines) for r in got] == [("d", [S.line_mark("north depot handbook 9")])]
+    assert S.repair(rows[0][1], 1, S.Heads(None, tuple(got[0].lines)), READER)[0] == {"running_head"}
