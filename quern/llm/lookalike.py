@@ -5,13 +5,16 @@ and narrow forms, joined letters, spaces of a fixed kind, fixed hyphens), and
 ignorable characters are deleted. Every run of letters is then a lattice: each
 letter that has look-alikes in other scripts may stand for any of them. Viterbi
 finds the best path under letter bigram scores of each script, counted over the
-whole corpus, where a change of script within a run costs more than any score;
-so a path in one script wins if there is one. A run that has such a path in
-several scripts takes the script of its neighbours if it fits (beside digits, as
-in part numbers, and in a text without other runs: Latin), else the best score.
+whole corpus, where a change of script within a run has a price; a run that can
+stand in several scripts is read in each, and the cheapest reading counts, where a
+script that the runs around don't have (beside digits, as in part numbers: any but
+Latin) has a price too. A text that Latin can write throughout is read as Latin. So rare words go with their neighbours, while a word that
+only one script knows is read in that script in any neighbourhood.
 
 The result depends on a text's look alone: the lattice has no memory of which
-look-alike stood there. So texts that look the same get the same form.
+look-alike stood there. So texts that look the same get the same form whatever the
+scores are, and `same_look_pairs` doesn't depend on them; they decide which form
+it is, and so whether the form is the one that was written.
 """
 
 from __future__ import annotations
@@ -29,13 +32,14 @@ from pyspark.sql import functions as F
 
 from quern.tables import materialise
 
-#: Letters that print alike, as Latin, Greek, Cyrillic (a blank where a script has none).
+#: Letters that print alike, as Latin, Greek, Cyrillic, Armenian, Cherokee (a blank where a script has none).
 ALIKE = (
-    "AΑА", "BΒВ", "C С", "EΕЕ", "HΗН", "IΙІ", "J Ј", "KΚК", "MΜМ", "NΝ ", "OΟО", "PΡР", "S Ѕ", "TΤТ", "XΧХ", "YΥҮ", "ZΖ ",
-    "a а", "c с", "e е", "h һ", "i і", "j ј", "l ӏ", "oοо", "p р", "s ѕ", "x х", "y у", "d ԁ", "q ԛ", "w ԝ",
-    " ΓГ", " ΠП", " ΦФ", " ΛЛ",
+    "AΑА Ꭺ", "BΒВ Ᏼ", "C С Ꮯ", "D   Ꭰ", "EΕЕ Ꭼ", "G   Ꮐ", "HΗН Ꮋ", "IΙІ  ", "J Ј Ꭻ", "KΚК Ꮶ", "L   Ꮮ", "MΜМ Ꮇ", "NΝ   ", "OΟОՕ ", "PΡР Ꮲ", "R   Ꭱ", "S ЅՏᏚ", "TΤТ Ꭲ",
+    "V   Ꮩ", "W   Ꮃ", "XΧХ  ", "YΥҮ  ", "ZΖ  Ꮓ",
+    "a а  ", "c с  ", "e е  ", "g  ց ", "h һհ ", "i і  ", "j јյ ", "l ӏ  ", "n  ո ", "oοоօ ", "p р  ", "s ѕ  ", "u  ս ", "x х  ", "y у  ", "d ԁ  ", "q ԛզ ", "w ԝ  ",
+    " ΓГ  ", " ΠП  ", " ΦФ  ", " ΛЛ  ",
 )
-SCRIPTS = ("LATIN", "GREEK", "CYRILLIC")
+SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "CHEROKEE")
 OPTIONS: dict[str, tuple[tuple[int, str], ...]] = {c: own for group in ALIKE for own in [tuple((k, x) for k, x in enumerate(group) if x != " ")] for _, c in own}
 #: Compatibility forms that look like what they stand for.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
@@ -44,6 +48,10 @@ HYPHENS = {0x2010: "-", 0x2011: "-"}
 CHANGE = 40.0
 #: Nats that a bigram never seen costs.
 UNSEEN = 14.0
+#: Nats that a script costs which the runs around don't have, and any but Latin beside digits.
+APART, CODE = 8.0, 30.0
+#: Parts that the copies of one spelling are dealt to before they are paired.
+FAN = 16
 RUN = re.compile(r"[^\W\d_][^\W\d_\u0300-\u036f]*(?:[\u0300-\u036f]+[^\W\d_\u0300-\u036f]*)*")
 EMOJI = re.compile("[\u2600-\u27bf\U0001f000-\U0001faff]")
 #: Scripts in which joiners change the shape of letters.
@@ -92,7 +100,7 @@ def plain(text: str) -> str:
 
 
 def script(c: str) -> int | None:
-    """0, 1 or 2 for a Latin, Greek or Cyrillic letter, None for other characters."""
+    """The number in SCRIPTS of a letter's script, None for other characters."""
     name = unicodedata.name(c, "")
     return next((k for k, s in enumerate(SCRIPTS) if name.startswith(s)), None)
 
@@ -107,6 +115,7 @@ class Lattice:
         self.cost = {pair: math.log(first[pair[0]] / n) for pair, n in bigrams.items()}
         self.scripts: dict[str, tuple[tuple[int | None, str], ...]] = {}
         self.known: dict[str, tuple[str | None, tuple[tuple[int, float, str], ...]]] = {}
+        self.latin: dict[str, bool] = {}
 
     def options(self, c: str) -> tuple[tuple[int | None, str], ...]:
         if c not in self.scripts:
@@ -136,7 +145,7 @@ class Lattice:
             if len(self.known) > 200_000:
                 self.known.clear()
             sets = [{k for k, _ in self.options(c)} for c in run]
-            fits = [k for k in range(3) if all(k in s or None in s for s in sets)]
+            fits = [k for k in range(len(SCRIPTS)) if all(k in s or None in s for s in sets)]
             if all(None in s for s in sets):
                 self.known[run] = (run, ())
             elif len(fits) > 1:
@@ -145,13 +154,22 @@ class Lattice:
                 self.known[run] = (self.path(run, fits[0] if fits else None)[1], ())
         return self.known[run]
 
+    def is_latin(self, form: str) -> bool:
+        if form not in self.latin:
+            if len(self.latin) > 200_000:
+                self.latin.clear()
+            self.latin[form] = all(script(c) in (0, None) for c in form)
+        return self.latin[form]
+
     def canonical(self, text: str) -> str:
-        """The one form of all texts that look like `text`."""
+        """The one form of all texts that look like `text`; a text that can be read as Latin throughout is."""
         if text.isascii():
             return text.translate(TABLE)
         s = plain(text)
         runs = [(m.start(), m.end(), m.group()) for m in RUN.finditer(s)]
         found = [self.resolve(r) for _, _, r in runs]
+        if all(f is None and fits[0][0] == 0 or f is not None and self.is_latin(f) for f, fits in found):
+            found = [(f or fits[0][2], ()) for f, fits in found]
         around, near = [None] * len(runs), None
         for order in (range(len(runs)), range(len(runs) - 1, -1, -1)):
             near = None
@@ -166,8 +184,8 @@ class Lattice:
             form, fits = found[i]
             if form is None:
                 code = s[start - 1 : start].isdigit() or s[end : end + 1].isdigit() or (s[end : end + 1] == "-" and s[end + 1 : end + 2].isdigit()) or (s[start - 1 : start] == "-" and s[start - 2 : start - 1].isdigit())
-                wish = 0 if code or around[i] is None else around[i]
-                form = next((f for k, _, f in fits if k == wish), None) or min((c, k, f) for k, c, f in fits)[2]
+                near = 0 if around[i] is None else around[i]
+                form = min((c + (CODE if code and k else 0.0) + (APART if not code and k != near else 0.0), k, f) for k, c, f in fits)[2]
             out += [s[last:start], form]
             last = end
         out.append(s[last:])
@@ -228,12 +246,20 @@ def same_look_pairs(df: DataFrame, key: str, column: str, lattice: Lattice, *new
     Of several rows of one key the one with the greatest `newest` counts. Null
     and empty texts pair with nothing. Rows are shuffled as hashes; forms that
     all records write alike leave before the join, so a hot group of exact
-    copies makes no pairs and no work.
+    copies makes no pairs and no work. Spellings are paired as classes first, and
+    the copies of the commoner of two are dealt to FAN parts.
     """
     rows = canonical_texts(df.select(F.col(key).alias("id"), F.col(column).alias("stored"), *(F.col(c).alias(f"at_{i}") for i, c in enumerate(newest))).where(F.col("id").isNotNull()), "stored", lattice)
     mark = F.struct(*(c for c in rows.columns if c.startswith("at_")), F.unhex(F.md5("canonical")).alias("form"), F.xxhash64("stored").alias("spelling"), (F.col("canonical") != "").alias("some"))
     marks = materialise(rows.select("id", mark.alias("m")).groupBy("id").agg(F.max("m").alias("m")).where("m.some").select("id", "m.form", "m.spelling"))
-    several = marks.groupBy("form").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("form")
-    kept = marks.join(several, "form", "left_semi")
-    a, b = kept.alias("a"), kept.alias("b")
-    return a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.spelling") != F.col("b.spelling")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    spellings = marks.groupBy("form", "spelling").agg(F.count("*").alias("n"))
+    several = spellings.groupBy("form").agg(F.count("*").alias("k")).where("k > 1").select("form")
+    odd = materialise(spellings.join(several, "form", "left_semi"))
+    a, b = odd.select("form", F.struct("n", "spelling").alias("a")), odd.select("form", F.struct("n", "spelling").alias("b"))
+    # The commoner spelling of two is dealt to FAN parts, the rarer goes to each.
+    two = materialise(a.join(b, "form").where("a > b").select("form", F.col("a.spelling").alias("often"), F.col("b.spelling").alias("rare")))
+    parts = two.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))))
+    dealt = marks.select("form", F.col("spelling").alias("often"), F.pmod(F.xxhash64("id"), F.lit(FAN)).cast("int").alias("part"), F.col("id").alias("x")).join(parts, ["form", "often", "part"])
+    other = marks.select("form", F.col("spelling").alias("rare"), F.col("id").alias("y")).join(two.select("form", "rare").distinct(), ["form", "rare"], "left_semi")
+    pairs = dealt.join(other, ["form", "rare"])
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

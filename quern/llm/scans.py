@@ -48,7 +48,7 @@ MARGIN_KNOWN, MARGIN_NEW = 9.0, 0.0
 #: Links of which a pair of glyphs must make up one in so many; so there are no more pairs than that.
 MOST_PAIRS = 100_000
 #: Pages of a document that a line must recur on, the share of all its pages, and the most documents it may recur in, for a running head.
-RECURS, PAGES, DOCUMENTS = 3, 0.5, 2
+RECURS, PAGES, DOCUMENTS = 4, 0.6, 2
 
 #: Signs that a plain word doesn't hold; a word with one of them is misread for sure.
 SIGNS = frozenset("0123456789|!@$€")
