@@ -1,16 +1,19 @@
 """Evaluation passages inside a training corpus (problem 9).
 
-Method: words of documents and items become symbols; windows of an item are
-embedded by the CGK random walk, which copies the current symbol at each of
-3 w steps and moves on as a random bit of (step, symbol) says. Windows at a small
-edit distance then agree in most places, equal ones in all. Each repeat samples
-some of these places; windows that agree on a sample are candidates. The number
-of repeats follows from the edit distance to be found and the target recall.
-Candidates are verified exactly: by the length of the common run of words, or
-by the edit distance of the windows.
-
-Every run of `run` words holds a whole document window if windows of w words
-start at every (run - w + 1)-th word, while items have a window at every word.
+Method: words of documents and items become symbols; windows are embedded by the
+CGK random walk, which copies the current symbol at each step and moves on as a
+random bit of (step, symbol) says. So the edit distance of two windows becomes a
+Hamming distance of two walks. Each repeat has a walk of its own and samples some
+of its places; a window of a document and one of an item that agree on a sample
+and differ in few places of the walk are candidates. The number of repeats follows
+from the recall aimed at, measured on random windows with so many edits, and isn't
+capped. Candidates are verified by their exact edit distance, which bit-parallel
+arithmetic gives for all of them at once, and by the length of the run of words
+they have in common.
+
+Before they are embedded, windows of documents are dropped that can't be within
+the edits of any item: e edits leave a run of (w - e) / (e + 1) words of a window
+of w words as it was, so a window without such a run of some item isn't near one.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN = 13
-WINDOW = 8
-SAMPLE = 6
-RECALL = 0.99
+#: Words of a window and of the least common run, word edits in a window.
+RUN = WINDOW = 13
+EDITS = 2
+#: Places of a walk in a sample, recall, and the share of near windows whose walks may differ more than is allowed.
+SAMPLE, RECALL, LOST = 5, 0.99, 0.002
 SEED = 20_011
-#: Item words in one block; a block is sent to the workers (8 bytes a word and window), so a broadcast stays under about 30 MB.
-BLOCK_WORDS = 1_000_000
+#: Item words in one block: it is sent to the workers with 8 bytes a word, and a worker makes 12 bytes a word and repeat of it.
+BLOCK_WORDS = 200_000
 #: Document words handled at once in a worker.
 FLAT_WORDS = 500_000
 #: Runs of Unicode letters and numbers (re's \w without the underscore).
@@ -43,9 +47,8 @@ def words(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=64)
-def _places(window: int, sample: int, repeats: int) -> np.ndarray:
-    rng = np.random.default_rng(SEED)
-    return np.stack([np.sort(rng.choice(2 * window, size=sample, replace=False)) for _ in range(repeats)])
+def _places(window: int, sample: int, repeat: int) -> np.ndarray:
+    return np.sort(np.random.default_rng((SEED, repeat)).choice(2 * window, size=sample, replace=False))
 
 
 def _bits(steps: int, symbols: int, walk: int) -> np.ndarray:
@@ -56,36 +59,41 @@ def _bits(steps: int, symbols: int, walk: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) & np.uint64(1)).astype(np.int8)
 
 
-def cgk_keys(ids: np.ndarray, starts: np.ndarray, window: int, walks: list[np.ndarray], places: np.ndarray) -> np.ndarray:
-    """uint64 keys (repeat x window) of the windows of `ids` that begin at `starts`; each repeat has a walk of its own.
+def cgk_walk(ids: np.ndarray, starts: np.ndarray, window: int, bits: np.ndarray) -> np.ndarray:
+    """int32 symbols (2 window x window's number) that one walk copies from the windows of `ids` that begin at `starts`.
 
     Symbols are non-negative; past its end a window reads the last symbol of
-    the walk's bits, the pad. The first 2 w of the 3 w steps are sampled, as later
-    ones mostly read pads.
+    the walk's bits, the pad. Of a walk's 3 w steps the first 2 w are made, as
+    later ones mostly read pads.
     """
-    keys = np.full((len(places), len(starts)), 0x9E3779B97F4A7C15, dtype=np.uint64)
-    for r, (bits, chosen) in enumerate(zip(walks, places)):
-        at, pad = np.zeros(len(starts), dtype=np.int64), bits.shape[1] - 1
-        for step in range(int(chosen.max()) + 1):
-            symbol = np.where(at < window, ids[starts + np.minimum(at, window - 1)], pad)
-            if step in chosen:
-                keys[r] = (keys[r] ^ (symbol.astype(np.uint64) + np.uint64(r << 32))) * np.uint64(0x100000001B3)
-                keys[r] ^= keys[r] >> np.uint64(29)
-            at += bits[step][symbol]
+    at, pad = np.zeros(len(starts), dtype=np.int64), bits.shape[1] - 1
+    out = np.empty((2 * window, len(starts)), dtype=np.int32)
+    for step in range(2 * window):
+        symbol = np.where(at < window, ids[starts + np.minimum(at, window - 1)], pad)
+        out[step] = symbol
+        at += bits[step][symbol]
+    return out
+
+
+def sample_keys(walk: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """uint64 keys of walks by their symbols at the sampled places."""
+    keys = np.full(walk.shape[1], 0x9E3779B97F4A7C15, dtype=np.uint64)
+    for p in places:
+        keys = (keys ^ walk[p].astype(np.uint64)) * np.uint64(0x100000001B3)
+        keys ^= keys >> np.uint64(29)
     return keys
 
 
 @lru_cache(maxsize=16)
-def repeats_for(edits: int, window: int = WINDOW, sample: int = SAMPLE, recall: float = RECALL, most: int = 64) -> int:
-    """Repeats after which a window with so many random edits is found with probability `recall`, but at most `most`.
+def repeats_for(edits: int, window: int = WINDOW, sample: int = SAMPLE, recall: float = RECALL) -> tuple[int, int]:
+    """(repeats, most differing places): what it takes to find a window with so many random edits with probability `recall`.
 
-    Equal windows collide in every repeat, so 0 edits need one. Otherwise the
-    share of random windows that have collided by each repeat is measured.
+    Equal windows agree in every repeat, so 0 edits need one. Otherwise the share
+    of random windows found is measured repeat by repeat until it is reached.
     """
     if edits == 0:
-        return 1
+        return 1, 0
     rng, trials, symbols = np.random.default_rng(SEED), 2000, 5000
-    walks = [_bits(2 * window, symbols + 1, r) for r in range(most)]
     a = rng.integers(0, symbols, size=(trials, window))
     b = []
     for row in a:
@@ -100,49 +108,96 @@ def repeats_for(edits: int, window: int = WINDOW, sample: int = SAMPLE, recall:
                 new.insert(i, int(rng.integers(0, symbols)))
         b.append((new + [symbols] * window)[:window])
     starts = np.arange(trials) * window
-    places = _places(window, sample, most)
-    same = cgk_keys(a.reshape(-1), starts, window, walks, places) == cgk_keys(np.array(b).reshape(-1), starts, window, walks, places)
-    found = np.logical_or.accumulate(same, axis=0).mean(axis=1)
-    return int(np.argmax(found >= recall)) + 1 if found[-1] >= recall else most
+    flat = a.reshape(-1), np.array(b).reshape(-1)
+    found, apart, most = np.zeros(trials, dtype=bool), [], 2 * window
+    for repeat in range(10_000):
+        bits, places = _bits(2 * window, symbols + 1, repeat), _places(window, sample, repeat)
+        x, y = (cgk_walk(f, starts, window, bits) for f in flat)
+        same, differ = sample_keys(x, places) == sample_keys(y, places), (x != y).sum(axis=0)
+        apart.append(differ[same])
+        most = int(np.quantile(np.concatenate(apart), 1 - LOST))
+        found |= same & (differ <= most)
+        if repeat > 3 and found.mean() >= recall:
+            return repeat + 1, most
+    raise ValueError(f"windows of {window} words with {edits} edits can't be found with recall {recall} by samples of {sample}")
+
+
+def run_length(window: int, edits: int) -> int:
+    """Words of the longest run that so many edits surely leave of a window."""
+    return max(1, -(-(window - edits) // (edits + 1)))
+
+
+def run_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """uint64 hashes of every n words in a row, at their starts."""
+    out = np.zeros(max(0, len(ids) - n + 1), dtype=np.uint64)
+    for k in range(n):
+        out = (out ^ (ids[k : len(ids) - n + 1 + k].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
+        out ^= out >> np.uint64(32)
+    return out
 
 
 class Block:
-    """The words and window keys of a bounded number of items, in a form to send to workers."""
+    """The words of a bounded number of items, and in each worker their window keys."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], run: int, window: int, sample: int, repeats: int):
+    def __init__(self, items: list[tuple[int, list[str]]], window: int, sample: int, edits: int, recall: float):
         self.vocabulary: dict[str, int] = {}
         flat, owner, starts = [], [], []
         for item, ws in items:
             starts += range(len(flat), len(flat) + len(ws) - window + 1)
             flat += [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws] + [-2]
             owner += [item] * (len(ws) + 1)
-        self.ids, self.owner = np.array(flat, dtype=np.int64), np.array(owner, dtype=np.int64)
+        self.ids, self.owner = np.array(flat, dtype=np.int32), np.array(owner, dtype=np.int64)
+        self.starts = np.array(starts, dtype=np.int64)
         self.other = len(self.vocabulary)
-        self.window, self.places = window, _places(window, sample, repeats)
-        self.walks = [_bits(2 * window, len(self.vocabulary) + 2, r) for r in range(repeats)]
-        at = np.array(starts, dtype=np.int64)
-        keys = cgk_keys(self.ids, at, window, self.walks, self.places)
-        self.keys, self.at = [], []
-        for k in keys:
+        self.window, self.sample, self.edits = window, sample, edits
+        self.repeats, self.most = repeats_for(edits, window, sample, recall)
+        self.keys: list[tuple[np.ndarray, np.ndarray]] | None = None
+
+    def prepare(self) -> None:
+        """Make the walks' bits, the sorted keys of all windows and the hashes of all runs, once in a worker."""
+        if self.keys is not None:
+            return
+        self.run = run_length(self.window, self.edits)
+        inside = np.ones(max(0, len(self.ids) - self.run + 1), dtype=bool)
+        for k in range(self.run):
+            inside &= self.ids[k : len(inside) + k] >= 0
+        self.runs_held = np.unique(run_hashes(self.ids, self.run)[inside])
+        self.bits = [_bits(2 * self.window, self.other + 2, r) for r in range(self.repeats)]
+        self.keys = []
+        for r in range(self.repeats):
+            k = sample_keys(cgk_walk(self.ids, self.starts, self.window, self.bits[r]), _places(self.window, self.sample, r))
             order = np.argsort(k, kind="stable")
-            self.keys.append(k[order])
-            self.at.append(at[order])
+            self.keys.append((k[order], self.starts[order].astype(np.int32)))
+
+    def hopeful(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The windows that hold few enough unknown words and a run of some item."""
+        w, n = self.window, self.run
+        unknown = np.concatenate([[0], np.cumsum(ids == self.other)])
+        h = run_hashes(ids, n)
+        at = np.minimum(np.searchsorted(self.runs_held, h), len(self.runs_held) - 1)
+        held = np.concatenate([[0], np.cumsum(self.runs_held[at] == h)])
+        return starts[(unknown[starts + w] - unknown[starts] <= self.edits) & (held[starts + w - n + 1] > held[starts])]
 
     def candidates(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document window start, item window start) pairs that agree in some repeat."""
-        keys = cgk_keys(ids, starts, self.window, self.walks, self.places)
-        found = []
-        for own, items, at in zip(keys, self.keys, self.at):
+        """(document window start, item window start) pairs that agree on the sample of some repeat and whose walks differ in few places."""
+        found = np.zeros((2, 0), dtype=np.int64)
+        for r, (items, at) in enumerate(self.keys):
+            walk = cgk_walk(ids, starts, self.window, self.bits[r])
+            own = sample_keys(walk, _places(self.window, self.sample, r))
             low, high = np.searchsorted(items, own, side="left"), np.searchsorted(items, own, side="right")
             n = high - low
             hit = np.flatnonzero(n)
             if len(hit):
                 reach = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(n[hit])[:-1]]), n[hit]) + np.arange(int(n[hit].sum()))
-                found.append(np.stack([np.repeat(starts[hit], n[hit]), at[reach]]))
-        if not found:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        both = np.unique(np.concatenate(found, axis=1), axis=1)
-        return both[0], both[1]
+                x, y = np.repeat(hit, n[hit]), at[reach].astype(np.int64)
+                # The walks of few windows of the items are enough, whatever their number of partners.
+                some, where = np.unique(y, return_inverse=True)
+                theirs = cgk_walk(self.ids, some, self.window, self.bits[r])
+                for lo in range(0, len(x), 500_000):
+                    part = slice(lo, lo + 500_000)
+                    near = (walk[:, x[part]] != theirs[:, where[part]]).sum(axis=0) <= self.most
+                    found = np.unique(np.concatenate([found, np.stack([starts[x[part][near]], y[part][near]])], axis=1), axis=1)
+        return found[0], found[1]
 
     def runs(self, ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Length of the run of equal words through each candidate, 0 where its first words differ."""
@@ -158,36 +213,41 @@ class Block:
                 k += step
         return total
 
-    def leaks(self, names: np.ndarray, flat: list[int], starts: list[int], ends: list[int], run: int, edits: int) -> pa.RecordBatch:
+    def leaks(self, names: np.ndarray, flat: list[int], starts: list[int], ends: list[int]) -> pa.RecordBatch:
         """Verified (doc_id, item_id, run_words, edits) of the documents `names`, whose words are `flat` up to `ends`."""
-        ids, at, w = np.array(flat, dtype=np.int64), np.array(starts, dtype=np.int64), self.window
-        unknown = np.concatenate([[0], np.cumsum(ids == self.other)])
-        at = at[unknown[at + w] - unknown[at] <= edits]  # each unknown word costs an edit
-        p, q = self.candidates(ids, at)
+        self.prepare()
+        ids, w = np.array(flat, dtype=np.int32), self.window
+        p, q = self.candidates(ids, self.hopeful(ids, np.array(starts, dtype=np.int64)))
+        cost = edit_distances(ids[p[:, None] + np.arange(w)], self.ids[q[:, None] + np.arange(w)])
+        p, q, cost = p[cost <= self.edits], q[cost <= self.edits], cost[cost <= self.edits]
         length = self.runs(ids, p, q)
-        cost = np.where(length >= run, 0, -1)
-        for i in np.flatnonzero(cost) if edits else ():
-            c = edit_distance(ids[p[i] : p[i] + w].tolist(), self.ids[q[i] : q[i] + w].tolist())
-            cost[i] = c if c <= edits else -1
-        keep = cost >= 0
-        doc = names[np.searchsorted(np.array(ends), p[keep], side="right")]
+        doc = names[np.searchsorted(np.array(ends), p, side="right")]
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for pair, n, c in zip(zip(doc.tolist(), self.owner[q[keep]].tolist()), length[keep].tolist(), cost[keep].tolist()):
-            was = best.get(pair, (0, edits))
+        for pair, n, c in zip(zip(doc.tolist(), self.owner[q].tolist()), length.tolist(), cost.tolist()):
+            was = best.get(pair, (0, self.edits))
             best[pair] = (max(was[0], n), min(was[1], c))
         columns = [[k[0] for k in best], [k[1] for k in best], [v[0] for v in best.values()], [v[1] for v in best.values()]]
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "run_words", "edits"])
 
 
-def edit_distance(a: list[int], b: list[int]) -> int:
-    """Levenshtein distance of two word sequences."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of the rows of two matrices of symbols, of under 64 columns each: one bit a column, all rows at once."""
+    n, w = a.shape
+    if w > 63 or b.shape[1] > 63:
+        raise ValueError("windows of at most 63 words can be compared")
+    one, bit = np.uint64(1), np.uint64(1) << np.arange(w, dtype=np.uint64)
+    up, down = np.full(n, (1 << w) - 1, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+    out, top = np.full(n, w, dtype=np.int64), np.uint64(w - 1)
+    for j in range(b.shape[1]):
+        same = ((a == b[:, j : j + 1]) * bit).sum(axis=1, dtype=np.uint64)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | ~(across | up), up & across
+        out += ((more >> top) & one).astype(np.int64) - ((less >> top) & one).astype(np.int64)
+        more, less = (more << one) | one, less << one
+        held = same | down
+        up, down = less | ~(held | more), more & held
+    return out
 
 
 def _blocks(items: DataFrame, key: str, text: str, run: int) -> Iterator[list[tuple[int, list[str]]]]:
@@ -206,25 +266,24 @@ def _blocks(items: DataFrame, key: str, text: str, run: int) -> Iterator[list[tu
         yield block
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", run: int = RUN, window: int = WINDOW, edits: int = 0, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = WINDOW, edits: int = EDITS, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(doc_id bigint, item_id bigint, run_words int, edits int): documents that hold item passages.
 
-    With `edits` 0, a row says that the document contains at least `run`
-    consecutive words of the item; run_words is the longest such run. With
-    `edits` above 0, windows of `window` words within that edit distance count
-    as well; `edits` is then the least distance found. Items are a stated query
-    set: they are taken in blocks of `BLOCK_WORDS` words, each against all
-    documents. Null and empty texts, and items shorter than `run` words, leak
-    nowhere; a document or item filed twice under one id counts once.
+    A row says that a window of `window` consecutive words of the document is
+    within `edits` word edits of one of the item; `edits` is the least distance
+    found, run_words the longest run of equal words through such windows. Equal
+    windows are found for certain, so the rows with run_words of at least `window`
+    are whole; others with the probability `recall` for each window. Items are a
+    stated query set: they are taken in blocks of `BLOCK_WORDS` words, each
+    against all documents. Null and empty texts, and items shorter than `window`
+    words, leak nowhere; a document or item filed twice under one id counts once.
     """
     spark = docs.sparkSession
-    repeats = repeats_for(edits, window, sample, recall)
-    stride = run - window + 1
     source = docs.select(F.col(doc_key).cast("bigint").alias("doc_id"), F.col(text).alias("body")).where(F.col("body").isNotNull() & F.col("doc_id").isNotNull())
     schema = "doc_id bigint, item_id bigint, run_words int, edits int"
     parts = []
-    for rows in _blocks(items, item_key, text, run):
-        sent = spark.sparkContext.broadcast(Block(rows, run, window, sample, repeats))
+    for rows in _blocks(items, item_key, text, window):
+        sent = spark.sparkContext.broadcast(Block(rows, window, sample, edits, recall))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block: Block = sent.value
@@ -234,15 +293,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
                 for d, s in enumerate(batch.column(1).to_pylist()):
                     base = len(flat)
                     flat += [block.vocabulary.get(w, block.other) for w in words(s)]
-                    n = len(flat) - base - window
-                    starts += range(base, base + n + 1, stride)
-                    if n > 0 and n % stride:
-                        starts.append(base + n)
+                    starts += range(base, len(flat) - window + 1)
                     flat.append(-1)
                     ends.append(len(flat))
                     if len(flat) >= FLAT_WORDS or d == batch.num_rows - 1:
                         if starts:
-                            yield block.leaks(names[first : d + 1], flat, starts, ends, run, edits)
+                            yield block.leaks(names[first : d + 1], flat, starts, ends)
                         first, flat, starts, ends = d + 1, [], [], []
 
         parts.append(source.mapInArrow(scan, schema))

@@ -164,13 +164,14 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_corpus(_rows(spark, folder, "documents", "doc_id", "text"))
 
 
-def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.find_leaks(_rows(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a window of 13 words of an item within two word edits, with the longest common run and the least edits."""
+    return leaks.find_leaks(_rows(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items"))
 
 
-def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """As p9_found with the longest common run, and with documents that hold a window of an item within two word edits."""
-    return leaks.find_leaks(_rows(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items"), window=leaks.RUN, edits=2)
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the leaks those with at least 13 consecutive words of the item."""
+    return p9_leaks(spark, folder).where(F.col("run_words") >= leaks.RUN).select("doc_id", "item_id")
 
 
 def p10_levels(spark: SparkSession, folder: str) -> DataFrame:

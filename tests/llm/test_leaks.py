@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quern.llm import leaks
 
@@ -38,7 +40,7 @@ def test_equals_brute_force(spark):
     docs, items = sample()
     df = spark.createDataFrame([(*d, "clash") for d in docs], DOCS).repartition(3)
     it = spark.createDataFrame(items, ITEMS)
-    got = leaks.find_leaks(df.union(df), it).collect()
+    got = leaks.find_leaks(df.union(df), it).where("run_words >= 13").collect()
     assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items) and len(got) == len({(r.doc_id, r.item_id) for r in got})
     assert all(r.run_words >= 13 and r.edits == 0 for r in got)
 
@@ -47,26 +49,61 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs, items = sample(4)
     monkeypatch.setattr(leaks, "BLOCK_WORDS", 60)
     df, it = spark.createDataFrame([(*d, "") for d in docs], DOCS), spark.createDataFrame(items, ITEMS)
-    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(df, it).collect()} == brute(docs, items)
+    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(df, it, edits=0).collect()} == brute(docs, items)
+    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(df, it).where("run_words >= 13").collect()} == brute(docs, items)
     assert leaks.find_leaks(df, it.where("false")).count() == leaks.find_leaks(df.where("false"), it).count() == 0
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_edits_are_found_with_the_recall_aimed_at(spark):
     rng = random.Random(5)
-    vocabulary = [f"v{i}" for i in range(400)]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(13))) for i in range(60)]
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(18))) for i in range(120)]
     docs = []
     for i, s in items:
         ws = s.split()
-        ws[rng.randrange(13)] = "changed"
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(ws))
+            ws[k : k + rng.randint(0, 1)] = [rng.choice(["changed", rng.choice(vocabulary)])] * rng.randint(0, 1)
         docs.append((i, "before words here " + " ".join(ws) + " after them"))
-    got = leaks.find_leaks(spark.createDataFrame([(*d, "") for d in docs], DOCS), spark.createDataFrame(items, ITEMS), window=13, edits=1).collect()
-    hit = {r.doc_id for r in got if r.doc_id == r.item_id and r.edits == 1}
-    assert len(hit) >= 0.9 * len(items) and all(r.doc_id == r.item_id for r in got)
+    windows = {i: [s.split()[k : k + 13] for k in range(len(s.split()) - 12)] for i, s in items}
+    want = {}
+    for d, t in docs:
+        ws = t.split()
+        mine = [ws[k : k + 13] for k in range(len(ws) - 12)]
+        best = min((distance(x, y) for x in mine for y in windows[d]), default=99)
+        if best <= 2:
+            want[d] = best
+    got = {r.doc_id: r.edits for r in leaks.find_leaks(spark.createDataFrame([(*d, "") for d in docs], DOCS), spark.createDataFrame(items, ITEMS)).collect() if r.doc_id == r.item_id}
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want) and len(want) > 60
+    assert sum(got[d] == want[d] for d in got) >= 0.97 * len(got)
+
+
+def test_repeats_grow_until_the_recall_is_there():
+    assert leaks.repeats_for(0) == (1, 0)
+    few, more = leaks.repeats_for(1)[0], leaks.repeats_for(2)[0]
+    assert few < more
+    assert leaks.run_length(13, 2) == 4 and leaks.run_length(13, 0) == 13 and leaks.run_length(3, 3) == 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=13), st.lists(st.integers(0, 3), min_size=1, max_size=13))
+def test_bit_parallel_distance(a, b):
+    assert leaks.edit_distances(np.array([a, a]), np.array([b, b])).tolist() == [distance(a, b)] * 2
 
 
-def test_walk_maps_equal_windows_to_equal_keys():
+def test_walk_maps_equal_windows_to_equal_walks():
     ids = np.array([1, 2, 3, 4, 5, 9, 1, 2, 3, 4, 5, 7], dtype=np.int64)
-    k = leaks.cgk_keys(ids, np.array([0, 6]), 5, [leaks._bits(10, 12, r) for r in range(3)], leaks._places(5, 4, 3))
-    assert (k[:, 0] == k[:, 1]).all()
-    assert leaks.edit_distance([1, 2, 3], [1, 3]) == 1 and leaks.edit_distance([], [1]) == 1
+    for r in range(3):
+        w = leaks.cgk_walk(ids, np.array([0, 6, 1]), 5, leaks._bits(10, 12, r))
+        assert (w[:, 0] == w[:, 1]).all() and (w[:, 0] != w[:, 2]).any()
+        k = leaks.sample_keys(w, leaks._places(5, 4, r))
+        assert k[0] == k[1]
