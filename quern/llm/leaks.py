@@ -12,8 +12,8 @@ arithmetic gives for all of them at once, and by the length of the run of words
 they have in common.
 
 Before they are embedded, windows of documents are dropped that can't be within
-the edits of any item: e edits leave a run of (w - e) / (e + 1) words of a window
-of w words as it was, so a window without such a run of some item isn't near one.
+the edits of any item: of the w - q + 1 runs of q words in a window, e edits spoil
+q e at most, so a window in which fewer of them are runs of some item isn't near.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 RUN = WINDOW = 13
 EDITS = 2
 #: Places of a walk in a sample, recall, and the share of near windows whose walks may differ more than is allowed.
-SAMPLE, RECALL, LOST = 5, 0.99, 0.002
+SAMPLE, RECALL, LOST = 7, 0.99, 0.002
 SEED = 20_011
 #: Item words in one block: it is sent to the workers with 8 bytes a word, and a worker makes 12 bytes a word and repeat of it.
 BLOCK_WORDS = 200_000
@@ -122,9 +122,10 @@ def repeats_for(edits: int, window: int = WINDOW, sample: int = SAMPLE, recall:
     raise ValueError(f"windows of {window} words with {edits} edits can't be found with recall {recall} by samples of {sample}")
 
 
-def run_length(window: int, edits: int) -> int:
-    """Words of the longest run that so many edits surely leave of a window."""
-    return max(1, -(-(window - edits) // (edits + 1)))
+def least_runs(window: int, edits: int) -> list[tuple[int, int]]:
+    """(q, how many of a window's runs of q words so many edits surely leave) for all q up to the longest run that is left, longest first."""
+    longest = max(1, -(-(window - edits) // (edits + 1)))
+    return [(q, max(1, window - q + 1 - q * edits)) for q in range(longest, min(2, longest) - 1, -1)]
 
 
 def run_hashes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -157,11 +158,12 @@ class Block:
         """Make the walks' bits, the sorted keys of all windows and the hashes of all runs, once in a worker."""
         if self.keys is not None:
             return
-        self.run = run_length(self.window, self.edits)
-        inside = np.ones(max(0, len(self.ids) - self.run + 1), dtype=bool)
-        for k in range(self.run):
-            inside &= self.ids[k : len(inside) + k] >= 0
-        self.runs_held = np.unique(run_hashes(self.ids, self.run)[inside])
+        self.held = []
+        for q, least in least_runs(self.window, self.edits):
+            inside = np.ones(max(0, len(self.ids) - q + 1), dtype=bool)
+            for k in range(q):
+                inside &= self.ids[k : len(inside) + k] >= 0
+            self.held.append((q, least, np.unique(run_hashes(self.ids, q)[inside])))
         self.bits = [_bits(2 * self.window, self.other + 2, r) for r in range(self.repeats)]
         self.keys = []
         for r in range(self.repeats):
@@ -170,17 +172,20 @@ class Block:
             self.keys.append((k[order], self.starts[order].astype(np.int32)))
 
     def hopeful(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The windows that hold few enough unknown words and a run of some item."""
-        w, n = self.window, self.run
+        """The windows that hold few enough unknown words and enough runs of items."""
+        w = self.window
         unknown = np.concatenate([[0], np.cumsum(ids == self.other)])
-        h = run_hashes(ids, n)
-        at = np.minimum(np.searchsorted(self.runs_held, h), len(self.runs_held) - 1)
-        held = np.concatenate([[0], np.cumsum(self.runs_held[at] == h)])
-        return starts[(unknown[starts + w] - unknown[starts] <= self.edits) & (held[starts + w - n + 1] > held[starts])]
+        starts = starts[unknown[starts + w] - unknown[starts] <= self.edits]
+        for q, least, held in self.held:
+            h = run_hashes(ids, q)
+            at = np.minimum(np.searchsorted(held, h), len(held) - 1)
+            n = np.concatenate([[0], np.cumsum(held[at] == h)])
+            starts = starts[n[starts + w - q + 1] - n[starts] >= least]
+        return starts
 
     def candidates(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document window start, item window start) pairs that agree on the sample of some repeat and whose walks differ in few places."""
-        found = np.zeros((2, 0), dtype=np.int64)
+        found, fresh = np.zeros(0, dtype=np.int64), []
         for r, (items, at) in enumerate(self.keys):
             walk = cgk_walk(ids, starts, self.window, self.bits[r])
             own = sample_keys(walk, _places(self.window, self.sample, r))
@@ -196,8 +201,11 @@ class Block:
                 for lo in range(0, len(x), 500_000):
                     part = slice(lo, lo + 500_000)
                     near = (walk[:, x[part]] != theirs[:, where[part]]).sum(axis=0) <= self.most
-                    found = np.unique(np.concatenate([found, np.stack([starts[x[part][near]], y[part][near]])], axis=1), axis=1)
-        return found[0], found[1]
+                    fresh.append((starts[x[part][near]] << 32) + y[part][near])
+                if sum(map(len, fresh)) > 2_000_000:
+                    found, fresh = np.unique(np.concatenate([found, *fresh])), []
+        found = np.unique(np.concatenate([found, *fresh]))
+        return found >> 32, found & 0xFFFFFFFF
 
     def runs(self, ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Length of the run of equal words through each candidate, 0 where its first words differ."""

@@ -91,7 +91,7 @@ def test_repeats_grow_until_the_recall_is_there():
     assert leaks.repeats_for(0) == (1, 0)
     few, more = leaks.repeats_for(1)[0], leaks.repeats_for(2)[0]
     assert few < more
-    assert leaks.run_length(13, 2) == 4 and leaks.run_length(13, 0) == 13 and leaks.run_length(3, 3) == 1
+    assert leaks.least_runs(13, 2) == [(4, 2), (3, 5), (2, 8)] and leaks.least_runs(13, 0)[0] == (13, 1) and leaks.least_runs(3, 3) == [(1, 1)]
 
 
 @settings(max_examples=60, deadline=None)
