@@ -13,9 +13,10 @@ nearest in the bucket are found by exact cosines. The merged candidates of all
 tables are reranked by their exact distance.
 
 M grows with the logarithm of the number of vectors, so that buckets keep their
-size, as long as the fixed number of tables reaches the recall wanted at the
-target cosine. Beyond that M stays, buckets grow and are cut into tiles: what is
-shuffled stays in proportion to the number of vectors, and the recall holds.
+size. As long as the least number of tables reaches the recall wanted at the target
+cosine with buckets of up to `MOST_BUCKET` unrelated vectors, there are no more;
+beyond that the tables grow in number, not the buckets. Buckets that hold more
+because vectors are alike are cut into tiles.
 """
 
 from __future__ import annotations
@@ -29,17 +30,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.buckets import HOME, PROBE, bucket_pairs, may_pair, mix
+from quern.llm.buckets import HOME, PROBE, bucket_pairs, hot_keys, may_pair, mix, sampled, spread_hot
 from quern.tables import materialise
 
 K = 5
 WIDTH = 3.0
 PROBES = 3
-#: Expected members of a bucket for unrelated vectors.
-BUCKET = 128
+#: Expected members of a bucket for unrelated vectors, if that reaches the recall with TABLES, and the most before tables are added.
+BUCKET, MOST_BUCKET = 128, 1024
 #: Rows of a bucket beyond which it is cut into tiles.
 TILE = 8192
-#: Hash tables, and the recall of the candidate search at the target cosine.
+#: Least number of hash tables, and the recall of the candidate search at the target cosine.
 TABLES, RECALL = 8, 0.99
 #: Partners of a member in a bucket, in units of k, beyond which they are ranked there by full vectors instead of being sent on as pairs.
 CROWD = 4
@@ -60,16 +61,24 @@ class Plan:
     """Number of hash values and tables, and the projections, for n vectors of a dimension."""
 
     def __init__(self, n: int, dim: int, least_cosine: float, recall: float = RECALL, probes: int = PROBES, bucket: int = BUCKET, tables: int = TABLES):
-        far = collision(math.sqrt(2.0))
-        self.dim, self.probes, self.tables = dim, probes, tables
-        most = max(1, math.ceil(math.log(max(2.0, n / bucket)) / -math.log(far)))
-        for self.m in range(most, 0, -1):
-            rng = np.random.default_rng(SEED)
-            self.a = rng.standard_normal((tables, self.m, dim)).astype(np.float32)
-            self.b = rng.uniform(0, WIDTH, (tables, self.m)).astype(np.float32)
-            self.salt = mix(np.arange(1, tables * self.m + 1, dtype=np.uint64)).reshape(tables, self.m)
+        far = -math.log(collision(math.sqrt(2.0)))
+        self.dim, self.probes = dim, probes
+        length = lambda size: max(1, math.ceil(math.log(max(2.0, n / size)) / far))
+        least = length(max(bucket, MOST_BUCKET))
+        for m in range(length(bucket), least - 1, -1):
+            self._draw(m, tables)
             if self.recall(least_cosine) >= recall:
-                break
+                return
+        while self.recall(least_cosine) < recall:
+            tables += max(1, tables // 4)
+            self._draw(least, tables)
+
+    def _draw(self, m: int, tables: int) -> None:
+        rng = np.random.default_rng(SEED)
+        self.m, self.tables = m, tables
+        self.a = rng.standard_normal((tables, m, self.dim)).astype(np.float32)
+        self.b = rng.uniform(0, WIDTH, (tables, m)).astype(np.float32)
+        self.salt = mix(np.arange(1, tables * m + 1, dtype=np.uint64)).reshape(tables, m)
 
     def recall(self, cosine: float, pairs: int = 1024) -> float:
         """Measured share of random pairs at a cosine that meet in a bucket."""
@@ -251,26 +260,34 @@ def similar_classes(df: DataFrame, key: str, vector: str, dim: int, members: Dat
     """(a, b, cosine) of different marks, a < b: bucket candidates with their exact cosine, at least `least_cosine`."""
     source = df.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v"))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            _, unit = _unit(batch.column(0), dim)
-            if not len(unit):
-                continue
-            marks = _marks(unit)
-            new = np.array([i for i, m in enumerate(marks.tolist()) if not (m in seen or seen.add(m))], dtype=np.int64)
-            if len(seen) > 2_000_000:
-                seen.clear()
-            if not len(new):
-                continue
-            unit, marks = unit[new], marks[new]
-            blob = pa.array([r.tobytes() for r in payload_of(unit, bits)], pa.binary())
-            for t in range(plan.tables):
-                keys = plan.keys(unit, t)
-                for p in range(keys.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, p].view(np.int64)), pa.array(marks), pa.array(np.full(len(marks), HOME if p == 0 else PROBE, dtype=np.int32)), blob], names=["key", "member", "role", "payload"])
-
-    rows = source.select("v").mapInArrow(hashed, "key bigint, member bigint, role int, payload binary")
+    def hashed(hot: tuple[np.ndarray, np.ndarray] | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                _, unit = _unit(batch.column(0), dim)
+                if not len(unit):
+                    continue
+                marks = _marks(unit)
+                new = np.array([i for i, m in enumerate(marks.tolist()) if not (m in seen or seen.add(m))], dtype=np.int64)
+                if len(seen) > 2_000_000:
+                    seen.clear()
+                if not len(new):
+                    continue
+                unit, marks = unit[new], marks[new]
+                blob = pa.array([r.tobytes() for r in payload_of(unit, bits)], pa.binary())
+                for t in range(plan.tables):
+                    keys = plan.keys(unit, t).view(np.int64)
+                    for p in range(keys.shape[1]):
+                        role, at, own = np.full(len(marks), HOME if p == 0 else PROBE, dtype=np.int32), np.arange(len(marks)), keys[:, p]
+                        if hot is not None:
+                            at, own, role = spread_hot(own, marks, role, hot)
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(marks[at]), pa.array(role), blob.take(pa.array(at))], names=["key", "member", "role", "payload"])
+
+        return run
+
+    made = "key bigint, member bigint, role int, payload binary"
+    hot = hot_keys(sampled(source, "id").select("v").mapInArrow(hashed(None), made).select("key"), members.count())
+    rows = source.select("v").mapInArrow(hashed(hot), made)
     found = materialise(bucket_pairs(rows, _near(least_cosine, CROWD * k, bits), "a bigint, b bigint, role int", TILE).distinct())
     pairs, crowds = found.where("role < 0").select("a", "b"), found.where("role >= 0").select(F.col("a").alias("block"), F.col("b").alias("mark"), "role")
     first = members.groupBy("mark").agg(F.min("id").alias("id"))

@@ -124,7 +124,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Each record with its class of equal texts and its number of links, by five-word shingles at 0.8."""
+    """Each record with its class of equal texts, its group of similar ones and its number of links, by five-word shingles at 0.8."""
     parts = [neardup.similar_groups(_rows(spark, folder, t, key, text, "updated_at"), key, text, "updated_at").select(F.lit(t).alias("table_name"), "*") for t, key, text in SIMILAR]
     return parts[0].unionByName(parts[1])
 
@@ -197,6 +197,18 @@ SQL: dict[str, str] = {
              n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
              c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
         SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c * 1.0 / (x.n + y.n - c) >= 0.5)""" for t, key, text in SIMILAR),
+    "p6_groups": "WITH RECURSIVE " + ", ".join(rf"""
+        l{i} AS (SELECT {key} AS id, arg_max({text}, updated_at) AS body FROM {t} WHERE {text} IS NOT NULL GROUP BY 1),
+        w{i} AS (SELECT id, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS w FROM l{i}),
+        r{i} AS (SELECT id, w, unnest(range(1, len(w) - 3)) AS k FROM w{i} WHERE len(w) >= 5),
+        s{i} AS (SELECT DISTINCT id, hash(w[k:k + 4]) AS g FROM r{i}),
+        d{i} AS (SELECT id, count(*) AS n, hash(list(g ORDER BY g)) AS digest FROM s{i} GROUP BY 1),
+        e{i} AS (SELECT digest, min(id) AS class_id, min(n) AS n FROM d{i} GROUP BY 1),
+        m{i} AS (SELECT class_id, n, g FROM e{i} JOIN s{i} ON s{i}.id = class_id),
+        c{i} AS (SELECT a.class_id AS x, b.class_id AS y, count(*) * 1.0 / (any_value(a.n) + any_value(b.n) - count(*)) AS s FROM m{i} a JOIN m{i} b ON a.g = b.g AND a.class_id <> b.class_id GROUP BY 1, 2 HAVING s >= 0.8),
+        k{i}(x, y) AS (SELECT class_id, class_id FROM e{i} UNION SELECT k{i}.x, c{i}.y FROM k{i} JOIN c{i} ON k{i}.y = c{i}.x),
+        f{i} AS (SELECT x AS class_id, min(y) AS group_id FROM k{i} GROUP BY 1),
+        z{i} AS (SELECT '{t}' AS table_name, d{i}.id, class_id, group_id, (SELECT count(*) FROM c{i} WHERE x = class_id) AS n_links FROM d{i} JOIN e{i} USING (digest) JOIN f{i} USING (class_id))""" for i, (t, key, text) in enumerate(SIMILAR)) + " SELECT * FROM z0 UNION ALL SELECT * FROM z1",
     "p7_found": " UNION ALL ".join(f"""SELECT '{t}' AS table_name, id_a, id_b FROM (
         WITH l AS (SELECT {key} AS id, arg_max({vector}, {newest})::DOUBLE[] AS v FROM {t} GROUP BY 1),
              u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM l WHERE v IS NOT NULL AND list_dot_product(v, v) > 0),

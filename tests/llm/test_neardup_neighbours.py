@@ -43,7 +43,9 @@ def test_hot_copies_are_one_class(spark):
     rows = [(f"c{i:03}", text) for i in range(300)] + [("x", text.replace("w39", "zz"))]
     df = spark.createDataFrame(rows, "id string, t string").withColumn("v", F.timestamp_seconds(F.lit(1)))
     got = neardup.similar_groups(df, "id", "t", "v").collect()
-    assert len(got) == 301 and {r.class_id for r in got} == {"c000", "x"} and {r.n_links for r in got} == {1}
+    assert len(got) == 301 and {r.class_id for r in got} == {"c000", "x"} and {r.n_links for r in got} == {1} and {r.group_id for r in got} == {"c000"}
+    pairs = neardup.similar_pairs(df, "id", "t", "v")
+    assert pairs.count() == pairs.distinct().count() == 301 * 300 // 2
 
 
 def test_signature_estimates_similarity():
@@ -56,13 +58,44 @@ def test_signature_estimates_similarity():
     assert abs(neardup.estimate(*p)[0] - 1 / 3) < 0.2 and neardup.estimate(p[0], p[0])[0] == 1.0
 
 
+def every_pair():
+    def pairing(starts, ends, member, role, payload=None):
+        for s, e in zip(starts, ends):
+            for i in range(s, e):
+                j = np.arange(i + 1, e)
+                j = j[buckets.may_pair(role[i], role[j])]
+                if len(j):
+                    yield [np.minimum(member[i], member[j]), np.maximum(member[i], member[j])]
+
+    return pairing
+
+
 def test_big_buckets_are_tiled_without_loss(spark):
     rows = [(1, m, 0) for m in range(100)] + [(2, m, 0) for m in range(3)] + [(1, 5, 0), (3, 9, 0)]
     df = spark.createDataFrame(rows, "key bigint, member bigint, role int")
-    got = {(r.a, r.b) for r in buckets.bucket_pairs(df, buckets.all_pairs, "a bigint, b bigint", tile=16).collect()}
+    got = {(r.a, r.b) for r in buckets.bucket_pairs(df, every_pair(), "a bigint, b bigint", tile=16).collect()}
     assert got == {(a, b) for b in range(100) for a in range(b)}
 
 
+def test_hot_buckets_go_straight_to_their_tiles(spark):
+    key = np.array([1] * 90 + [2] * 5, dtype=np.int64)
+    member, role = np.arange(95), np.zeros(95, dtype=np.int32)
+    at, code, part = buckets.spread_hot(key, member, role, (np.array([1]), np.array([6])))
+    rows = list(zip(code.tolist(), member[at].tolist(), part.tolist()))
+    assert max(np.unique(code, return_counts=True)[1]) < 50
+    got = [(r.a, r.b) for r in buckets.bucket_pairs(spark.createDataFrame(rows, "key bigint, member bigint, role int"), every_pair(), "a bigint, b bigint").collect()]
+    want = {(a, b) for b in range(90) for a in range(b)} | {(a, b) for b in range(90, 95) for a in range(90, b)}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_hot_keys_are_counted_in_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "HOT_TILE", 640)
+    df = spark.createDataFrame([(7,)] * 30 + [(8,)] * 3, "key bigint")
+    keys, tiles = buckets.hot_keys(df, 3000)
+    assert keys.tolist() == [7] and tiles.tolist() == [3]
+    assert len(buckets.hot_keys(df.where("false"), 0)[0]) == 0
+
+
 def clusters(n=400, dim=16, seed=0):
     rng = np.random.default_rng(seed)
     base = rng.standard_normal((n, dim))
