@@ -174,15 +174,23 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_leaks(spark, folder).where(F.col("run_words") >= leaks.RUN).select("doc_id", "item_id")
 
 
+def _grader(spark: SparkSession, folder: str, docs: DataFrame) -> reading.Model | None:
+    """A model from the graded texts and the words of all English documents."""
+    return reading.train(docs.where("lang = 'en'").select("doc_id", "text"), table(spark, folder, "reading_labels"))
+
+
 def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
-    """Level and confidence of each English document of at least 40 words."""
-    docs = spread(table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text"))
-    model = reading.train(docs, table(spark, folder, "reading_labels"))
-    return reading.grade(docs, model) if model else spark.createDataFrame([], "doc_id bigint, level int, confidence double")
+    """Level and confidence of every document with a word in it."""
+    docs = _rows(spark, folder, "documents", "doc_id", "text", "lang")
+    model = _grader(spark, folder, docs)
+    return reading.levels(docs, model) if model else spark.createDataFrame([], "doc_id bigint, level int, confidence double")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p10_levels(spark, folder).select("doc_id", "level")
+    """The level of each English document of at least 40 words."""
+    docs = spread(table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text", "lang"))
+    model = _grader(spark, folder, docs)
+    return reading.grade(docs, model).select("doc_id", "level") if model else spark.createDataFrame([], "doc_id bigint, level int")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_entities, p2_found, p3_pieces, p3_found, p4_canonical, p4_found, p5_segments, p5_documents, p5_found, p6_found, p6_groups, p7_found, p7_neighbours, p7_search, p8_ids, p9_found, p9_leaks, p10_levels, p10_found)}

@@ -5,6 +5,11 @@ lexical diversity, word rarity, graded vocabulary, connectives, a proxy of claus
 depth, and length, fitted to graded texts. Rarity comes from word counts over the
 whole corpus. A word's grade is how its occurrence in the graded texts is spread
 over the levels; for the fit, a text's own fold is left out of these counts.
+
+Texts in other languages have no graded examples. They are graded by a second
+regression over the features that don't depend on a vocabulary (length of words and
+sentences, diversity, punctuation), each on the scale of its own language: as so
+many standard deviations from the mean of all that language's texts.
 """
 
 from __future__ import annotations
@@ -26,6 +31,12 @@ LEAST_WORDS = 40
 #: Graded texts used for the fit, chosen by hash.
 SAMPLE = 4000
 FOLDS = 5
+#: Words that are counted one by one: those that make up a MOST_WORDS-th of all words; rarer ones count as if they made up that much.
+MOST_WORDS = 1_000_000
+#: Texts of a language that give it a scale of its own, and the share of all that they must be; other texts share one scale.
+LEAST_TEXTS, LANGUAGES = 30, 1000
+#: Share of a text's words in COMMON from which a text without a label is taken for English.
+ENGLISH = 0.15
 PENALTY = 3.0
 STEPS = 1500
 
@@ -37,13 +48,18 @@ PLAIN = frozenset("and but so or then also because if when while before after un
 FORMAL = frozenset("although whereas notwithstanding consequently furthermore moreover nevertheless insofar thereby hence thus albeit neither nor rather irrespective whereby inasmuch".split())
 OPENERS = frozenset("that which who whom whose where when while although whereas because since unless if whether than as".split())
 
+#: Frequent words of English.
+COMMON = PLAIN | OPENERS | frozenset("the of a an in is are to for on with be by at from it this its not".split())
+#: Columns of `Features.of` from the words (length, share of words over 6 and 9 letters), and of those after them (words a sentence, diversity, punctuation).
+NEUTRAL_WORDS, NEUTRAL_TEXT = [0, 1, 2], [0, 2, 3, 4, 5, 6]
+
 
 def plain(text: str) -> str:
     return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
 
 
 class Counts(dict[str, int]):
-    """Counts of the words above the least count; all others have the least. The total is of all words."""
+    """Counts of the words that are counted one by one; all others have the floor. The total is of all words."""
 
     total, floor = 0, 1
 
@@ -66,8 +82,8 @@ def word_counts(docs: DataFrame, text: str) -> Counts:
     every = rows.agg(F.sum("n").alias("total"), F.min("n").alias("floor")).first()
     out = Counts()
     if every.total:
-        out.total, out.floor = every.total, every.floor
-        out.update((r.word, r.n) for r in rows.where(F.col("n") > every.floor).toLocalIterator())
+        out.total, out.floor = every.total, max(every.floor, every.total / MOST_WORDS)
+        out.update((r.word, r.n) for r in rows.where(F.col("n") > out.floor).toLocalIterator())  # at most MOST_WORDS words
     return out
 
 
@@ -144,6 +160,11 @@ class Features:
         return np.concatenate([mean, np.array(extra, dtype=np.float64).reshape(len(texts), -1)], axis=1), sizes
 
 
+def neutral(x: np.ndarray) -> np.ndarray:
+    """The columns of feature rows that depend on no vocabulary."""
+    return np.concatenate([x[:, NEUTRAL_WORDS], x[:, x.shape[1] - 7 :][:, NEUTRAL_TEXT]], axis=1)
+
+
 class Ordinal:
     """Proportional odds: P(level <= k) = sigmoid(cut_k - w.x), with an L2 penalty on w."""
 
@@ -176,9 +197,9 @@ class Ordinal:
         steps = np.exp(params[d + 1 :])
         return np.concatenate([gw, [gc.sum()], [gc[k + 1 :].sum() * steps[k] for k in range(count - 2)]])
 
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the likeliest level, its probability)."""
-        s = np.clip((x - self.mean) / self.sd, -4, 4) @ self.w
+    def predict(self, x: np.ndarray, mean: np.ndarray | None = None, sd: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the likeliest level, its probability), on the scale of the fit or on a given one."""
+        s = np.clip((x - (self.mean if mean is None else mean)) / (self.sd if sd is None else sd), -4, 4) @ self.w
         below = 1 / (1 + np.exp(-(self.cuts[None, :] - s[:, None])))
         p = np.diff(np.concatenate([np.zeros((len(s), 1)), below, np.ones((len(s), 1))], axis=1), axis=1)
         return p.argmax(1), p.max(1)
@@ -202,6 +223,7 @@ class Model:
             x[own] = part
         self.fit = Ordinal(x, y, n) if n > 1 else None
         self.features = Features(counts, Grades(sets, y, n))
+        self.other = Ordinal(neutral(x), y, n) if n > 1 else None
 
     def grade(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(level, confidence, words) of each text."""
@@ -226,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def grade(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, level, confidence) of every text of at least `least` words.
+    """(doc_id, level, confidence) of every English text of at least `least` words.
 
     Null, empty and shorter texts have no row; repeated rows of a document give
     one.
@@ -243,3 +265,71 @@ def grade(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("body")).where("body <> '' AND doc_id IS NOT NULL")
     return source.mapInArrow(run, "doc_id bigint, level int, confidence double").dropDuplicates(["doc_id"])
+
+
+def _groups(texts: list[str | None], langs: list[str | None]) -> list[str]:
+    """The language of each text: its label in lower case, `en` for unlabelled texts with many frequent words of English, else empty."""
+    out = []
+    for s, lang in zip(texts, langs):
+        own = (lang or "").strip().lower()
+        if not own:
+            ws = WORD.findall(plain(s or ""))
+            own = "en" if ws and sum(w in COMMON for w in ws) >= ENGLISH * len(ws) else ""
+        out.append(own)
+    return out
+
+
+def scales(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """{language: (mean, standard deviation)} of the neutral features over all texts of each language; summed in each task first. The empty name is all texts together."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                texts, langs = (batch.column(i).slice(lo, 2000).to_pylist() for i in (0, 1))
+                x, sizes = sent.value.features.of([s or "" for s in texts])
+                x, groups = neutral(x), _groups(texts, langs)
+                for i in np.flatnonzero(sizes):
+                    row = np.stack([np.ones(x.shape[1]), x[i], x[i] ** 2])
+                    for g in {groups[i], ""}:
+                        held[g] = held[g] + row if g in held else row
+        rows = [(g, k, *v) for g, m in held.items() for k, v in enumerate(m.T.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64()))], names=["lang", "k", "n", "s", "q"])
+
+    sums = materialise(docs.select(text, lang).mapInArrow(run, "lang string, k int, n double, s double, q double").groupBy("lang", "k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")))
+    total = sums.where("lang = ''").agg(F.max("n").alias("n")).first().n or 0
+    out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    rows = sorted(sums.where(F.col("n") >= max(LEAST_TEXTS, total / LANGUAGES)).unionByName(sums.where((F.col("lang") == "") & (F.col("n") < max(LEAST_TEXTS, total / LANGUAGES)))).collect(), key=lambda r: (r.lang, r.k))  # at most LANGUAGES languages
+    for g in {r.lang for r in rows}:
+        n, s, q = np.array([(r.n, r.s, r.q) for r in rows if r.lang == g]).T
+        out[g] = s / n, np.sqrt(np.maximum(q / n - (s / n) ** 2, 0)) + 1e-6
+    return out
+
+
+def levels(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(doc_id, level, confidence) of every document with a word in it, whatever its language and length.
+
+    English texts are graded by all features, others by the neutral ones on their
+    language's scale. Null, empty and wordless texts have no row; repeated rows of
+    a document give one.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((model, scales(docs, model, text, lang)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, own = sent.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                texts, langs = part.column(1).to_pylist(), part.column(2).to_pylist()
+                x, sizes = model.features.of(texts)
+                k, sure = model.fit.predict(x) if model.fit else (np.zeros(len(x), dtype=np.int64), np.ones(len(x)))
+                groups = np.array(_groups(texts, langs))
+                for g in set(groups.tolist()) - {"en"} if model.other else ():
+                    at = np.flatnonzero(groups == g)
+                    k[at], sure[at] = model.other.predict(neutral(x[at]), *own.get(g, own.get("", (None, None))))
+                keep = pa.array(sizes > 0)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), pa.array(np.array(model.levels)[k], pa.int32()).filter(keep), pa.array(np.round(sure, 4)).filter(keep)], names=["doc_id", "level", "confidence"])
+
+    source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("body"), F.col(lang).alias("lang")).where("body <> '' AND doc_id IS NOT NULL")
+    return source.mapInArrow(run, "doc_id bigint, level int, confidence double").dropDuplicates(["doc_id"])

@@ -100,3 +100,19 @@ def test_rarity_counts_every_word(spark):
     assert features.total == 111_000 and features.floor == 1
     assert all(features.counts.get(word(i), features.floor) == (2 if i < 55_000 else 1) for i in range(56_000))
     assert reading.word_counts(df.where("false"), "t") == {}
+
+
+def test_every_document_has_a_level(spark):
+    texts, levels = graded()
+    rng = random.Random(8)
+    short, long = ["casa", "sol", "mar", "pan", "luz", "pie"], ["extraordinariamente", "responsabilidades", "constitucionalidad", "independientemente"]
+    other = [(500 + i, ". ".join(" ".join(rng.choice(short if i < 20 else long + short) for _ in range(5 if i < 20 else 24)) for _ in range(8)) + ".", "es") for i in range(40)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + other + [(900, None, "en"), (901, "", None), (902, "too short", "en"), (903, "the cat and the dog", None), (904, "...", "en"), (905, "xx", "zz"), (0, texts[0], "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("level", F.lit("clash"))
+    m = R.train(docs.where("lang = 'en'"), spark.createDataFrame(list(enumerate(levels)), "doc_id bigint, level int"))
+    got = {r.doc_id: r.level for r in R.levels(docs, m).collect()}
+    assert set(got) == {r[0] for r in rows} - {900, 901, 904}
+    assert sum(got[500 + i] for i in range(20)) / 20 < sum(got[520 + i] for i in range(20)) / 20
+    same = {r.doc_id: r.level for r in R.grade(docs.where("lang = 'en'"), m, least=1).collect()}
+    assert all(got[d] == v for d, v in same.items())
+    assert R.levels(docs.where("false"), m).count() == 0
