@@ -1,11 +1,13 @@
 """Variant spellings of one person's or organisation's name (problem 2).
 
-Method: trie join. The distinct words of names are sharded by their ends (one
-edit can't touch both), each shard is a trie, and a Levenshtein automaton (with
-transposition) walks it for every word to enumerate the neighbours within one
-edit. A person's name is a family name with a given name, nickname or initial; an
-organisation's is a house name with the words of its trade. Names are linked if
-their words, in whatever order they stood, are neighbours one by one.
+Method: trie join. The distinct words of names are sharded by what is left when a
+letter is taken out (words at one edit share such a rest), each shard is a trie, and
+a Levenshtein automaton (with transposition) walks it for every word to enumerate
+the neighbours within one edit. A person's name is a family name with a given name,
+nickname or initial; an organisation's is a house name with the words of its trade.
+Names are linked if their words, in whatever order they stood, are neighbours one
+by one: where nothing marks a family name, both orders of the words are weighed by
+how often all names use them as family and as given names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from quern.tables import materialise
 KINDS = ("PERSON", "ORGANIZATION")
 #: Words shorter than this have no neighbours; one of two neighbours must be longer.
 LEAST = 4
+#: How much better the other order of a name's words must be than the common one.
+SWAP = 4.0
 
 #: Titles and ranks before personal names.
 TITLES = frozenset("dr prof professor mr mrs ms miss sir maj major capt captain col colonel ltc lt lieutenant gen general sgt sergeant cpl cmdr adm ing eng rev hon jr sr".split())
@@ -57,6 +61,12 @@ def person(name: str) -> tuple[str, str, str] | None:
     The family name stands last, before a comma, or in capitals among words
     that aren't. Titles and middle names are left out. None without a family name.
     """
+    p = person_in_order(name)
+    return p and p[:3]
+
+
+def person_in_order(name: str) -> tuple[str, str, str, bool] | None:
+    """As `person`, with whether the name is two plain words of which nothing tells which is the family name."""
     s = unicodedata.normalize("NFKC", name)
     before, comma, after = s.partition(",")
     ws = [w.rstrip(".") for w in WORD.findall(s)]
@@ -81,7 +91,7 @@ def person(name: str) -> tuple[str, str, str] | None:
     rest.remove(family)
     given = next((w for w in rest if len(w) > 1 and not (len(w) < 4 and w.isupper() and not any(x.isupper() and len(x) > 3 for x in rest))), "")
     first = next((w[0] for w in rest), "")
-    return family.lower(), given.lower(), (given or first)[:1].lower()
+    return family.lower(), given.lower(), (given or first)[:1].lower(), not comma and len(capitals) != 1 and len(keep) == len(full) == 2 and bool(given)
 
 
 def organisation(name: str) -> list[str]:
@@ -154,10 +164,8 @@ def trie_neighbours(words: list[str]) -> list[tuple[str, str]]:
 
 
 def _shards(word: str) -> list[str]:
-    """Shard keys: ends of one, three or four letters by length; words at distance one share a key, as an edit can't touch both ends."""
-    n = len(word)
-    sizes = [k for k, low, high in ((1, LEAST, 7), (3, 7, 10), (4, 10, 10**9)) if low <= n <= high]
-    return [f"{k}{end}{word[:k] if end == '<' else word[-k:]}" for k in sizes for end in "<>"]
+    """Shard keys: the word, and what is left of it without each of its letters; words at distance one share a key, and few words share any."""
+    return [word, *{word[:i] + word[i + 1 :] for i in range(len(word))}] if len(word) >= LEAST else []
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -169,17 +177,32 @@ def neighbours(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1, 2)], names=["kind", "word", "shard"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[tuple[str, str], list[str]] = {}
+        found: list[tuple[str, str, str]] = []
+        last, own = None, []
+
+        def close() -> None:
+            if len(own) > 1:
+                found.extend((last[0], a, b) for a, b in trie_neighbours(own))
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(3)], names=["kind", "word", "near"])
+
         for batch in batches:
             for k, w, s in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))):
-                own.setdefault((k, s), []).append(w)
-        for (k, _), ws in own.items():
-            found = trie_neighbours(ws) if len(ws) > 1 else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found)), pa.array([a for a, _ in found]), pa.array([b for _, b in found])], names=["kind", "word", "near"])
-
+                if (k, s) != last:
+                    close()
+                    last, own = (k, s), []
+                own.append(w)
+            if len(found) > 100_000:
+                yield out()
+                found.clear()
+        close()
+        yield out()
+
+    spark = words.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spread = words.select("kind", "word").distinct().mapInArrow(shard, "kind string, word string, shard string")
-    return spread.repartition("kind", "shard").mapInArrow(join, "kind string, word string, near string").distinct()
+    return spread.repartition(parts, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(join, "kind string, word string, near string").distinct()
 
 
 def spellings(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
@@ -197,17 +220,34 @@ def _parsed(names: DataFrame) -> DataFrame:
             rows = []
             for kind, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if kind == "PERSON":
-                    p = person(name)
+                    p = person_in_order(name)
                     if p:
-                        rows.append((kind, name, p[0], p[1], p[2], []))
+                        rows.append((kind, name, *p, []))
                 else:
                     ws = organisation(name)
                     if ws:
-                        rows.append((kind, name, None, None, None, ws))
-            kinds = [pa.string()] * 5 + [pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "name", "family", "given", "initial", "words"])
-
-    return materialise(names.select("kind", "name").mapInArrow(run, "kind string, name string, family string, given string, initial string, words array<string>"))
+                        rows.append((kind, name, None, None, None, None, ws))
+            kinds = [pa.string()] * 5 + [pa.bool_(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "name", "family", "given", "initial", "unmarked", "words"])
+
+    rows = materialise(names.select("kind", "name").mapInArrow(run, "kind string, name string, family string, given string, initial string, unmarked boolean, words array<string>"))
+    return materialise(_in_order(rows).drop("unmarked"))
+
+
+def _in_order(parsed: DataFrame) -> DataFrame:
+    """`parsed` with the words of unmarked names in the order that all names' use of them speaks for."""
+    people = parsed.where("kind = 'PERSON' AND given <> ''")
+    uses = people.select(F.col("family").alias("w"), F.lit(1).alias("f")).unionAll(people.select("given", F.lit(0)))
+    uses = uses.groupBy("w").agg((F.sum("f") + 0.5).alias("f"), (F.sum(1 - F.col("f")) + 0.5).alias("g"))
+    # Only words used both ways can speak for another order; names without one stay as they are. A name has no vote on itself.
+    both = uses.where("f > 1 AND g > 1")
+    doubtful = parsed.where("unmarked").select("family", "given").distinct()
+    doubtful = doubtful.join(both.select(F.col("w").alias("family")), "family", "left_semi").union(doubtful.join(both.select(F.col("w").alias("given")), "given", "left_semi").select("family", "given")).distinct()
+    a, b = uses.select(F.col("w").alias("family"), F.col("f").alias("ff"), F.col("g").alias("fg")), uses.select(F.col("w").alias("given"), F.col("f").alias("gf"), F.col("g").alias("gg"))
+    turned = doubtful.join(a, "family").join(b, "given").where(F.col("gf") * F.col("fg") > SWAP * (F.col("ff") - 1) * (F.col("gg") - 1)).select("family", "given", F.lit(True).alias("turn"))
+    rows = parsed.join(turned, ["family", "given"], "left").withColumn("turn", F.coalesce("turn", F.lit(False)) & F.coalesce("unmarked", F.lit(False)))
+    turn = lambda yes, no: F.when(F.col("turn"), F.col(yes)).otherwise(F.col(no))
+    return rows.select("kind", "name", turn("given", "family").alias("family"), turn("family", "given").alias("given"), F.when(F.col("turn"), F.left("family", F.lit(1))).otherwise(F.col("initial")).alias("initial"), "unmarked", "words")
 
 
 def _with_self(near: DataFrame, words: DataFrame, kind: str) -> DataFrame:
@@ -236,8 +276,9 @@ def _persons(parsed: DataFrame, words: DataFrame, near: DataFrame) -> DataFrame:
     def attach(rows: DataFrame, targets: DataFrame) -> DataFrame:
         """(node, component) of `rows` (node, family, mark) that have one target component: with their family name, else with a neighbour of it."""
         found = rows.join(families.withColumnRenamed("word", "family"), "family").select("node", "mark", F.col("near").alias("family"), (F.col("near") == F.col("family")).cast("int").alias("same")).join(targets, ["family", "mark"])
-        per = found.groupBy("node").agg(F.collect_set(F.when(F.col("same") == 1, F.col("component"))).alias("same"), F.collect_set("component").alias("every"))
-        return per.select("node", F.when(F.size("same") == 1, F.col("same")[0]).when((F.size("same") == 0) & (F.size("every") == 1), F.col("every")[0]).alias("component")).where("component IS NOT NULL")
+        own = F.when(F.col("same") == 1, F.col("component"))
+        per = found.groupBy("node").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.min("component").alias("first"), F.max("component").alias("last"))
+        return per.select("node", F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNull() & (F.col("first") == F.col("last")), F.col("first")).alias("component")).where("component IS NOT NULL")
 
     full = known.where("NOT ambiguous").select("family", F.explode("fulls").alias("mark"), "component").distinct()
     short = known.where("ambiguous").select("node", "family", F.explode("fulls").alias("mark"))

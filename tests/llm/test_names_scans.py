@@ -31,6 +31,12 @@ def test_neighbours_share_a_shard(a, b):
         assert set(N._shards(a)) & set(N._shards(b))
 
 
+def test_order_of_words(spark):
+    people = ["Robert Jones", "Jones, Robert", "JONES Robert", "Jones Robert", "Robert Miller", "Mary Jones", "Jones Mary", "Ann Jones", "Zed Quill"]
+    got = entities(spark, people)
+    assert ["JONES Robert", "Jones Robert", "Jones, Robert", "Robert Jones"] in got and ["Jones Mary", "Mary Jones"] in got and ["Zed Quill"] in got
+
+
 def test_person_forms():
     want = ("kigovulo", "jackie", "j")
     for s in ("Jackie Kigovulo", "KIGOVULO Jackie", "Kigovulo, Jackie", "Maj. Jackie Kigovulo", "jackie kigovulo", " Jackie  Kigovulo", "Jackie B. Kigovulo"):
