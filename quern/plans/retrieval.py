@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions import text as X
 from quern.operators import links as L
 from quern.operators import retrieval as R
 from quern.operators import vectors as V
@@ -17,7 +18,8 @@ DIM = 64
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """One row of each text chunk."""
-    return latest(table(spark, d, "text_chunks"), "id", "updated_at")
+    own = ["id", "artifact_id", "document_id", "chunk_index", "chunk_text", "embedding", "modality", "page_number", "classification", "updated_at"]
+    return latest(table(spark, d, "text_chunks").select(*own), "id", "updated_at")
 
 
 def _images(spark: SparkSession, d: str) -> DataFrame:
@@ -70,16 +72,17 @@ def chunk_links_all(spark: SparkSession, d: str) -> DataFrame:
     return L.all_links(_texts(spark, d), _images(spark, d))
 
 
-def _seeds(texts: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score): the diversified best chunks for each query chunk."""
+def _seeds(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank, document_id, ...): the diversified best chunks for each query (qid, vector)."""
     spec = R.QuerySpec(top_k=k)
-    found = V.topk(texts.where(_is_query()).where(F.size("embedding") == DIM).select(F.col("id").alias("qid"), F.col("embedding").alias("vector")), texts.select("id", F.col("embedding").alias("vector")), spec.fetched, R.LEAST_SCORE)
+    found = V.topk(queries.select("qid", "vector"), texts.select("id", F.col("embedding").alias("vector")), spec.fetched, R.LEAST_SCORE)
     rows = found.select("qid", "id", F.round("score", 6).alias("score")).join(texts.select("id", "document_id", "page_number", "modality", "classification", "chunk_text"), "id")
     return R.cut(R.diversify(rows), k)
 
 
 def seed_search(spark: SparkSession, d: str) -> DataFrame:
-    return _seeds(_texts(spark, d), 10).select("qid", "id", "score", "rank")
+    t = _texts(spark, d)
+    return _seeds(stated_queries(t), t, 10).select("qid", "id", "score", "rank")
 
 
 def link_expansion(spark: SparkSession, d: str) -> DataFrame:
@@ -111,8 +114,6 @@ def fusion_score(spark: SparkSession, d: str) -> DataFrame:
 
 def identifier_match(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a part number or standard in each evaluation item's style, by identifiers shared with their own heads."""
-    from quern.functions import text as X
-
     t = table(spark, d, "documents").where("text IS NOT NULL")
     probe = F.lit("MIL-STD-810G PN-4521 AB1234 1234-56-789-0123 AN/MPQ-53(V)2 ZK5791")
     pad = F.concat(F.col("text"), F.when(F.col("doc_id") % 3 == 0, " see PN-4521.").when(F.col("doc_id") % 3 == 1, " see PN-45210.").otherwise(" per AN/MPQ-53(V)2"))
@@ -179,56 +180,101 @@ def agent_context(spark: SparkSession, d: str) -> DataFrame:
 
 def latest_listing(spark: SparkSession, d: str) -> DataFrame:
     """The ten newest documents of each source and state."""
-    from pyspark.sql import Window
-
     g = latest(table(spark, d, "ingest_documents"), "document_id", "updated_at")
     w = Window.partitionBy("source_name", "pipeline_status").orderBy(F.desc("created_at"), "document_id")
     return g.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("source_name", "pipeline_status", "document_id", "rank")
 
 
-def hybrid(spark: SparkSession, d: str, spec: R.QuerySpec) -> DataFrame:
-    """Seeds, structural, cross-modal and ontology expansion, fused, deduplicated, diversified and cut.
+def stated_queries(texts: DataFrame) -> DataFrame:
+    """(qid, query_text, vector) of the stated query set."""
+    return texts.where(_is_query()).where(F.size("embedding") == DIM).select(F.col("id").alias("qid"), F.col("chunk_text").alias("query_text"), F.col("embedding").alias("vector"))
+
+
+def with_vectors(queries: DataFrame) -> DataFrame:
+    """Queries (qid, query_text[, vector]) with a vector: their own or that of the stand-in model."""
+    own = V.hashed_embedding(F.concat(F.lit("query: "), "query_text"), DIM)
+    return queries.select("qid", "query_text", (F.coalesce(F.col("vector").cast("array<double>"), own) if "vector" in queries.columns else own).alias("vector"))
 
-    Queries are the stated query set of chunks. An entity is taken to be
-    extracted from the first chunk of each document that names it.
+
+def hybrid(spark: SparkSession, d: str, spec: R.QuerySpec, queries: DataFrame | None = None) -> DataFrame:
+    """Seeds, structural, cross-modal and ontology expansion, fused, deduplicated, diversified, cut and, if asked, reranked.
+
+    `queries` (qid, query_text[, vector]) is a stated set; without one it is the
+    chunks of `_is_query`. Filters apply to seeds and to what they are expanded
+    to. An entity is taken to be extracted from the chunks of its page. The basic
+    strategy has seeds only and leaves descriptions of images out.
     """
-    t = _texts(spark, d).where(R.payload_filter(spec.filters))
-    i = _images(spark, d).where(R.payload_filter({k: v for k, v in spec.filters.items() if k != "classification"}))
-    seeds = materialise(_seeds(t.where(R.modality_filter(spec.modality)), spec.top_k).select("qid", "id", "score"))
+    docs, sources = table(spark, d, "ingest_documents"), spec.filters.get("source_names")
+    every = _texts(spark, d)
+    q = materialise(stated_queries(every) if queries is None else with_vectors(queries))
+    t = R.of_sources(every.where(R.payload_filter(spec.filters)), docs, sources)
+    i = R.of_sources(_images(spark, d).where(R.payload_filter({k: v for k, v in spec.filters.items() if k != "classification"})), docs, sources)
+    seen = t.where(R.modality_filter(spec.modality))
+    if spec.strategy == "basic":
+        seen = seen.where(F.coalesce(F.lower(F.trim("modality")) != "image_description", F.lit(True)))
+    seeds = materialise(_seeds(q, seen, spec.top_k).select("qid", "id", "score", "document_id"))
     none, no = F.lit(None).cast("string"), F.lit(None).cast("double")
-    carry = ["qid", "id", "score", "source", "seed_id", "link_type", "rel_type"]
-    rows = seeds.select("qid", "id", "score", F.lit("seed").alias("source"), none.alias("seed_id"), none.alias("link_type"), none.alias("rel_type"))
+    carry = ["qid", "id", "score", "source", "seed_id", "link_type", "rel_type", "entity_name", "related_name"]
+    blank = {c: none.alias(c) for c in ("seed_id", "link_type", "rel_type", "entity_name", "related_name")}
+    rows = seeds.select("qid", "id", "score", F.lit("seed").alias("source"), *blank.values())
     if spec.strategy == "hybrid":
-        links = L.all_links(t, i)
-        doc = L.expand(seeds, links).select("qid", F.col("target_id").alias("id"), R.fusion(F.col("score"), F.col("weight"), no, none, F.col("hop"), F.lit(False)).alias("score"), F.lit("doc_structure").alias("source"), "seed_id", "link_type", none.alias("rel_type"))
-        lone = seeds.join(links.select(F.col("source_id").alias("id")).distinct(), "id", "left_anti").join(t.select("id", "document_id"), "id")
-        cross = lone.select("qid", F.col("id").alias("seed_id"), "score", "document_id").join(i.select("document_id", F.col("id").alias("image")), "document_id").select("qid", F.col("image").alias("id"), R.fusion(F.col("score"), no, F.lit(R.CROSS), none, F.lit(1), F.lit(False)).alias("score"), F.lit("cross_modal").alias("source"), "seed_id", none.alias("link_type"), none.alias("rel_type"))
-        first = keep_first(t.select("document_id", "id", "chunk_index"), ["document_id"], ["chunk_index", "id"]).select("document_id", "id")
-        named = table(spark, d, "extracted_entities").select("document_id", "name").distinct().join(first, "document_id").select("name", F.col("id").alias("chunk"))
+        body = t.select("id", F.col("chunk_text").alias("body")).unionByName(i.select("id", F.col("chunk_text").alias("body")))
+        asked = q.select("qid", "query_text", F.col("vector").alias("q"))
+
+        def fused(found: DataFrame, semantic, link, crossing, relation, hop) -> DataFrame:  # noqa: ANN001
+            """Scores of expanded chunks, with the bonus of an identifier that query and chunk share."""
+            full = found.join(body, "id").join(asked, "qid")
+            return full.withColumn("score", R.fusion(semantic, link, crossing, relation, hop, X.shared_identifier(F.col("query_text"), F.col("body"))))
+
+        near = seeds.select("document_id").distinct()
+        own_t, own_i = t.join(near, "document_id", "left_semi"), i.join(near, "document_id", "left_semi")
+        links = materialise(L.all_links(own_t, own_i).join(seeds.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi"))
+        doc = L.expand(seeds, links).withColumnRenamed("target_id", "id")
+        doc = fused(doc, F.col("score"), F.col("weight"), no, none, F.col("hop")).select("qid", "id", "score", F.lit("doc_structure").alias("source"), "seed_id", "link_type", blank["rel_type"], blank["entity_name"], blank["related_name"])
+        lone = seeds.join(links.select(F.col("source_id").alias("id")).distinct(), "id", "left_anti").withColumnRenamed("id", "seed_id")
+        first = keep_first(own_i.select("document_id", "id", "chunk_index").withColumn("n", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index", "id"))).where("n <= 5"), ["document_id", "id"], ["n"])
+        crossed = fused(lone.join(first.select("document_id", "id"), "document_id"), F.col("score"), no, F.lit(R.CROSS), none, F.lit(1)).select("qid", "id", "score", F.lit("cross_modal").alias("source"), "seed_id", blank["link_type"], blank["rel_type"], blank["entity_name"], blank["related_name"])
+        named = materialise(table(spark, d, "extracted_entities").select("document_id", "name", F.get_json_object("properties", "$.page").cast("int").alias("page_number")).distinct().join(t.select("document_id", "page_number", F.col("id").alias("chunk")), ["document_id", "page_number"]).select("name", "chunk").distinct())
         rel = table(spark, d, "extracted_relationships").select("from_name", "rel_type", "to_name").distinct()
         ways = rel.unionAll(rel.select(F.col("to_name").alias("from_name"), "rel_type", F.col("from_name").alias("to_name"))).distinct()
-        path = seeds.withColumnRenamed("id", "seed_id").join(named, F.col("seed_id") == F.col("chunk")).select("qid", "seed_id", "score", F.col("name").alias("from_name")).join(ways, "from_name").join(named.withColumnsRenamed({"name": "to_name", "chunk": "id"}), "to_name").where("id <> seed_id")
-        from pyspark.sql import Window
-
+        path = seeds.withColumnRenamed("id", "seed_id").join(named, F.col("seed_id") == F.col("chunk")).select("qid", "seed_id", F.col("name").alias("from_name")).join(ways, "from_name").join(named.withColumnsRenamed({"name": "to_name", "chunk": "id"}), "to_name").where("id <> seed_id")
         w = Window.partitionBy("qid", "seed_id").orderBy("rel_type", "from_name", "to_name", "id")
-        five = path.withColumn("r", F.row_number().over(w)).where("r <= 5")
-        vec = t.select("id", "embedding")
-        again = five.join(vec, "id").join(vec.withColumnsRenamed({"id": "qid", "embedding": "q"}), "qid")
-        onto = again.select("qid", "id", R.fusion(F.greatest(F.coalesce(V.cosine(F.col("q"), F.col("embedding")), F.lit(0.0)), F.lit(0.0)), no, no, F.col("rel_type"), F.lit(1), F.lit(False)).alias("score"), F.lit("ontology").alias("source"), "seed_id", none.alias("link_type"), "rel_type")
-        rows = rows.unionByName(doc).unionByName(cross).unionByName(onto)
-    shown = t.select("id", "document_id", "page_number", "modality", "chunk_text").unionByName(i.select("id", "document_id", "page_number", "modality", "chunk_text"))
+        five = path.withColumn("r", F.row_number().over(w)).where("r <= 5").join(t.select("id", "embedding"), "id")
+        own = fused(five, F.greatest(F.coalesce(V.cosine(F.col("q"), F.col("embedding")), F.lit(0.0)), F.lit(0.0)), no, no, F.col("rel_type"), F.lit(1))
+        rows = rows.unionByName(doc).unionByName(crossed).unionByName(own.select("qid", "id", "score", F.lit("ontology").alias("source"), "seed_id", blank["link_type"], "rel_type", F.col("from_name").alias("entity_name"), F.col("to_name").alias("related_name")))
+    shown = t.select("id", "document_id", "page_number", "modality", "classification", "chunk_text").unionByName(i.select("id", "document_id", "page_number", "modality", F.lit(None).cast("string").alias("classification"), "chunk_text"))
     full = R.dedupe(rows.select(*carry)).join(shown, "id")
     out = R.cut(R.diversify(full).where(R.modality_filter(spec.modality)), spec.top_k)
+    if spec.rerank:
+        out = R.rerank(out.drop("rank").join(q.select("qid", "query_text"), "qid")).drop("query_text")
     if spec.min_confidence is not None:
         out = out.where(F.col("score") >= spec.min_confidence)
-    return out.select("qid", "rank", "id", "score", "source", "seed_id", "link_type", "rel_type", "modality", *(["chunk_text"] if spec.include_context else []))
+    return out.select("qid", "rank", "id", "score", "source", "seed_id", "link_type", "rel_type", "entity_name", "related_name", "document_id", "page_number", "modality", "classification", *(["rerank_score"] if spec.rerank else []), *(["chunk_text"] if spec.include_context else []))
+
+
+_SHOWN = ("qid", "rank", "id", "score", "source", "seed_id", "link_type", "rel_type")
 
 
 def hybrid_query(spark: SparkSession, d: str) -> DataFrame:
-    return hybrid(spark, d, R.QuerySpec(include_context=False))
+    out = hybrid(spark, d, R.QuerySpec(include_context=False))
+    return out.select(*(F.coalesce(c, F.lit("")).alias(c) if c in _SHOWN[5:] else F.col(c) for c in _SHOWN))
+
+
+def hybrid_reranked(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty results of hybrid retrieval over text chunks, ordered anew by the stand-in reranker."""
+    return hybrid(spark, d, R.QuerySpec(top_k=20, modality="text", rerank=True)).select("qid", "rank", "id", "score", "rerank_score")
+
 
+def basic_search(spark: SparkSession, d: str) -> DataFrame:
+    return hybrid(spark, d, R.QuerySpec(strategy="basic", include_context=False)).select("qid", "rank", "id", "score")
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_normalize, hashed_embeddings, next_chunk_links, section_links, same_page_links, chunk_links_all, seed_search, link_expansion, cross_modal, fusion_score, identifier_match, seed_merge, dedupe_diversify, lexical_rerank, bm25_topk, modality_counts, source_filter, chunk_lookup, chunk_artifacts, agent_context, latest_listing, hybrid_query)}
+
+def hybrid_context(spark: SparkSession, d: str) -> DataFrame:
+    """The results of hybrid retrieval as text for an agent."""
+    return R.context_text(hybrid(spark, d, R.QuerySpec(top_k=5)))
+
+
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_normalize, hashed_embeddings, next_chunk_links, section_links, same_page_links, chunk_links_all, seed_search, link_expansion, cross_modal, fusion_score, identifier_match, seed_merge, dedupe_diversify, lexical_rerank, bm25_topk, modality_counts, source_filter, chunk_lookup, chunk_artifacts, agent_context, latest_listing, hybrid_query, hybrid_reranked, basic_search, hybrid_context)}
 
 _T = "t AS (SELECT * FROM text_chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)"
 _I = "i AS (SELECT * FROM image_chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC) = 1)"
@@ -246,6 +292,33 @@ _BM25 = f"""d AS (SELECT doc_id AS id, {_TERMS.format(c='text')} AS w FROM docum
     s AS (SELECT qid, id, round(sum(part), 6) AS score FROM p JOIN q USING (term) GROUP BY 1, 2), top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10)"""
 _WEIGHT = weight_sql("rel_type")
 
+_SEEDS = _T + """, v AS (SELECT *, embedding::DOUBLE[] AS e FROM t WHERE len(embedding) = 64 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+        sd1 AS (SELECT q.id AS qid, c.id, c.document_id, c.page_number, c.modality, c.chunk_text, list_dot_product(q.e, c.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(c.e, c.e)) AS r FROM v q JOIN v c ON CAST('0x' || substr(q.id, 1, 8) AS BIGINT) % 20 = 0{more}),
+        sd2 AS (SELECT *, round(r, 6) AS score, regexp_replace(chunk_text, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g') AS bare FROM sd1 WHERE r >= 0.25 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(r, 9) DESC, id) <= {n}),
+        sd3 AS (SELECT *, coalesce(modality IN ('image', 'graph_node') OR chunk_text IS NULL OR bare = '', true) AS through FROM sd2),
+        sd4 AS (SELECT * FROM sd3 QUALIFY through OR row_number() OVER (PARTITION BY through, qid, document_id, page_number, lower(bare) ORDER BY score DESC, id) = 1),
+        seeds AS (SELECT qid, id, score, document_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sd4 QUALIFY rank <= {k})"""
+_SHARED = " OR ".join("len(list_intersect(regexp_extract_all(q.chunk_text, '" + p.replace("{", "{{").replace("}", "}}") + "'), regexp_extract_all(b.body, '" + p.replace("{", "{{").replace("}", "}}") + "'))) > 0" for p in X.IDENTIFIERS)
+_LINKS2 = _LINKS.replace(f"{_T}, {_I}, ", "")
+_HYBRID = _SEEDS.replace("{more}", "") + f""", {_I}, {_LINKS2.replace("{", "{{").replace("}", "}}")},
+        body AS (SELECT id, chunk_text AS body FROM t UNION ALL SELECT id, chunk_text FROM i),
+        dx AS (SELECT qid, s.id AS seed_id, target_id AS id, link_type, weight, score FROM seeds s JOIN links ON source_id = s.id QUALIFY row_number() OVER (PARTITION BY qid, s.id ORDER BY weight DESC, link_type, target_id) <= 5),
+        cx AS (SELECT qid, s.id AS seed_id, i.id, score FROM seeds s JOIN (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, id) <= 5) i USING (document_id) WHERE s.id NOT IN (SELECT source_id FROM links)),
+        named AS (SELECT DISTINCT name, t.id AS chunk FROM (SELECT DISTINCT document_id, name, CAST(json_extract_string(properties, '$.page') AS INT) AS page_number FROM extracted_entities) JOIN t USING (document_id, page_number)),
+        rel AS (SELECT DISTINCT from_name, rel_type, to_name FROM extracted_relationships UNION SELECT DISTINCT to_name, rel_type, from_name FROM extracted_relationships),
+        ox AS (SELECT DISTINCT qid, s.id AS seed_id, b.chunk AS id, rel_type, from_name, to_name FROM seeds s JOIN named a ON a.chunk = s.id JOIN rel ON rel.from_name = a.name JOIN named b ON b.name = rel.to_name WHERE b.chunk <> s.id QUALIFY row_number() OVER (PARTITION BY qid, s.id ORDER BY rel_type, from_name, to_name, b.chunk) <= 5),
+        ov AS (SELECT ox.*, greatest(coalesce(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / nullif(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])), 0), 0), 0) AS sem FROM ox JOIN t q ON q.id = ox.qid JOIN t c ON c.id = ox.id),
+        raw AS (SELECT qid, id, 0.65::DOUBLE * score + 0.20::DOUBLE * weight AS s, 'doc_structure' AS source, 1 AS place, seed_id, link_type, NULL AS rel_type, NULL AS f, NULL AS g FROM dx
+                UNION ALL SELECT qid, id, 0.65::DOUBLE * score + 0.20::DOUBLE * 0.85::DOUBLE, 'cross_modal', 2, seed_id, NULL, NULL, NULL, NULL FROM cx
+                UNION ALL SELECT qid, id, 0.65::DOUBLE * sem + CASE WHEN rel_type IS NULL THEN 0 ELSE 0.15::DOUBLE * ({_WEIGHT})::DOUBLE END, 'ontology', 3, seed_id, NULL, rel_type, from_name, to_name FROM ov),
+        fus AS (SELECT raw.* EXCLUDE (s), round(CASE WHEN coalesce({_SHARED}, false) THEN least(s + 0.03::DOUBLE, 1) ELSE s END, 6) AS score FROM raw JOIN body b ON b.id = raw.id JOIN t q ON q.id = raw.qid),
+        every AS (SELECT qid, id, score, 'seed' AS source, 0 AS place, NULL AS seed_id, NULL AS link_type, NULL AS rel_type, NULL AS f, NULL AS g FROM seeds UNION ALL SELECT qid, id, score, source, place, seed_id, link_type, rel_type, f, g FROM fus),
+        one AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY score DESC, place, seed_id NULLS FIRST, link_type NULLS FIRST, rel_type NULLS FIRST, f NULLS FIRST, g NULLS FIRST) = 1),
+        shown AS (SELECT id, document_id, page_number, modality, chunk_text FROM t UNION ALL SELECT id, document_id, page_number, modality, chunk_text FROM i),
+        full_ AS (SELECT one.*, document_id, page_number, regexp_replace(chunk_text, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g') AS bare, modality, chunk_text FROM one JOIN shown USING (id)),
+        thr AS (SELECT *, coalesce(modality IN ('image', 'graph_node') OR chunk_text IS NULL OR bare = '', true) AS through FROM full_),
+        best AS (SELECT * FROM thr QUALIFY through OR row_number() OVER (PARTITION BY through, qid, document_id, page_number, lower(bare) ORDER BY score DESC, id) = 1)"""
+
 SQL = {
     "vector_topk": _TOP.format(on="true", more=""),
     "vector_topk_filtered": _TOP.format(on="e.label IN (0, 1, 2)", more=" AND s >= 0.25"),
@@ -261,6 +334,10 @@ SQL = {
         g AS (SELECT *, regexp_replace(chunk_text, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g') AS bare FROM f),
         h AS (SELECT * FROM g WHERE coalesce(modality IN ('image', 'graph_node') OR chunk_text IS NULL OR bare = '', true) UNION ALL SELECT * FROM (SELECT * FROM g WHERE NOT coalesce(modality IN ('image', 'graph_node') OR chunk_text IS NULL OR bare = '', true) QUALIFY row_number() OVER (PARTITION BY qid, document_id, page_number, lower(bare) ORDER BY score DESC, id) = 1))
         SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM h QUALIFY rank <= 10""",
+    "basic_search": f"""
+        WITH {_SEEDS.format(more=" AND coalesce(lower(trim(c.modality)) <> 'image_description', true)", n=80, k=10)} SELECT qid, rank, id, score FROM seeds""",
+    "hybrid_query": f"""
+        WITH {_HYBRID.format(n=80, k=10)} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, id, score, source, coalesce(seed_id, '') AS seed_id, coalesce(link_type, '') AS link_type, coalesce(rel_type, '') AS rel_type FROM best QUALIFY rank <= 10""",
     "link_expansion": f"WITH {_LINKS} SELECT source_id AS qid, target_id, link_type, hop, round(0.65 * 0.8 + 0.20 * weight, 6) AS score FROM links WHERE {_Q.format(c='source_id')} AND source_id IN (SELECT id FROM t) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY weight DESC, link_type, target_id) <= 5",
     "cross_modal": f"WITH {_LINKS} SELECT i.id AS qid, t.id AS target_id, round(0.65 * 0.8 + 0.20 * 0.85, 6)::DOUBLE AS score FROM t JOIN i USING (document_id) WHERE {_Q.format(c='i.id')} AND i.id NOT IN (SELECT source_id FROM links) QUALIFY row_number() OVER (PARTITION BY i.id ORDER BY t.chunk_index, t.id) <= 5",
     "fusion_score": f"""
@@ -277,7 +354,7 @@ SQL = {
         r AS (SELECT *, CASE WHEN was <= 5 THEN round(len(list_intersect(qw, dw)) / greatest(len(qw), 1), 6) END AS rerank_score FROM w)
         SELECT qid, id, score, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY was > 5, rerank_score DESC NULLS LAST, was) AS rank FROM r""",
     "bm25_topk": f"WITH {_BM25} SELECT qid, id, score, rank FROM top",
-    "modality_counts": f"WITH {_T} SELECT count(*) AS \"all\", count(*) FILTER (WHERE lower(trim(modality)) IN ('text', 'table', 'ocr', 'equation')) AS text, count(*) FILTER (WHERE lower(trim(modality)) IN ('image', 'schematic', 'image_description')) AS image FROM t",
+    "modality_counts": f"WITH {_T} SELECT count(*) AS \"all\", count(*) FILTER (WHERE lower(trim(modality)) IN ('text', 'table')) AS text, count(*) FILTER (WHERE lower(trim(modality)) IN ('image', 'schematic', 'image_description')) AS image FROM t",
     "source_filter": f"WITH {_T} SELECT modality, count(*) AS n FROM t WHERE document_id IN (SELECT document_id FROM ingest_documents WHERE source_name IN ('field-archive', 'range-logs')) GROUP BY 1",
     "chunk_lookup": f"WITH {_T}, {_I} SELECT id, modality, coalesce(length(chunk_text), 0) AS n_chars, CASE WHEN modality IN ('image', 'schematic', 'image_description') THEN '/v1/documents/' || document_id || '/artifacts/' || id || '/image' END AS image_url FROM t UNION ALL SELECT id, modality, -1, CASE WHEN modality IN ('image', 'schematic', 'image_description') THEN '/v1/documents/' || document_id || '/artifacts/' || id || '/image' END FROM i WHERE id NOT IN (SELECT id FROM t)",
     "chunk_artifacts": "WITH c AS (SELECT DISTINCT chunk_key, document_id, unnest(element_uids) AS element_uid FROM structured_chunks), e AS (SELECT DISTINCT document_id, element_uid, element_type FROM document_elements) SELECT chunk_key, count(*) AS n_elements, count(*) FILTER (WHERE element_type = 'table') AS n_tables FROM c JOIN e USING (document_id, element_uid) GROUP BY 1",
