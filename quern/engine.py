@@ -48,30 +48,18 @@ class Engine:
         for name, schema in (("elements", ELEMENTS), ("chunks", CHUNKS)):
             self.store.purge(name, gone, schema, "document_id")
 
-    def search(self, spec: QuerySpec | str) -> DataFrame:
-        """Results of a retrieval by specification or by an older mode's name."""
+    def search(self, spec: QuerySpec | str, queries: DataFrame | None = None) -> DataFrame:
+        """Results of a retrieval for queries (qid, query_text[, vector]) by specification or by an older mode's name; without queries, for the stated query set of chunks."""
         from quern.plans import graph, retrieval
 
         if isinstance(spec, str):
             strategy, modality = MODES[spec]
             spec = QuerySpec(strategy=strategy, modality=modality)
         if spec.strategy in ("basic", "hybrid"):
-            return retrieval.hybrid(self.spark, self.folder, spec)
-        members, edges = graph._communities(self.spark, self.folder)
-        members = materialise(members)
-        return self._graph_search(spec, members, edges)
-
-    def _graph_search(self, spec: QuerySpec, members: DataFrame, edges: DataFrame) -> DataFrame:
-        """Local: each entity's community report and neighbours; global: reports by size; drift: global reports, then their entities locally."""
-        written = G.reports(members, edges)
-        if spec.strategy == "global":
-            return written.orderBy(F.desc("size"), "community").limit(spec.top_k)
-        near = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select("b", "a")).distinct().groupBy("node").agg(F.count("*").alias("n_neighbours"), F.min("other").alias("first_neighbour"))
-        local = members.join(near, "node").join(written.select("community", "report"), "community").select("node", "community", "n_neighbours", "first_neighbour", "report")
-        if spec.strategy == "local":
-            return local.orderBy(F.desc("n_neighbours"), "node").limit(spec.top_k)
-        primer = written.orderBy(F.desc("size"), "community").limit(spec.top_k).select("community")
-        return local.join(primer, "community", "left_semi").orderBy(F.desc("n_neighbours"), "node").limit(spec.top_k)
+            return retrieval.hybrid(self.spark, self.folder, spec, queries)
+        asked = graph._asked(self.spark, self.folder) if queries is None else queries.select("qid", F.col("query_text").alias("text"))
+        how = {"local": G.local_search, "global": G.global_search, "drift": G.drift_search}[spec.strategy]
+        return how(asked, *graph._components(self.spark, self.folder), spec.top_k)
 
     def neighbourhood(self, names: list[str], hops: int = 2) -> DataFrame:
         from quern.plans import graph

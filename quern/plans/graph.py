@@ -60,8 +60,10 @@ def graph_degree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Every entity with the number of relations it stands in, those without kept."""
-    out = _plain_edges(spark, d).groupBy(F.col("a").alias("name")).agg(F.count("*").alias("n"), F.min("b").alias("first_neighbour"))
+    """Every entity with the number of relations it stands in, at either end, those without kept."""
+    e = _plain_edges(spark, d)
+    ways = e.select(F.col("a").alias("name"), F.col("b").alias("other")).unionAll(e.where("a <> b").select("b", "a"))
+    out = ways.groupBy("name").agg(F.count("*").alias("n"), F.min("other").alias("first_neighbour"))
     return _entities(spark, d).select("name").distinct().join(out, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("first_neighbour", F.lit("")).alias("first_neighbour"))
 
 
@@ -134,18 +136,54 @@ def _communities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return G.communities(e.select(F.col("a").alias("node")).unionAll(e.select("b")), e), e
 
 
+def _components(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(members, edges) of the topmost level of communities."""
+    e = materialise(_plain_edges(spark, d).select("a", "b", F.lit(1.0).alias("weight")))
+    own = components(e.select(F.col("a").alias("node")).unionAll(e.select("b")), e).withColumnRenamed("component", "community")
+    return materialise(own.join(own.groupBy("community").agg(F.count("*").alias("size")), "community").select("node", "community", "size")), e
+
+
 def communities(spark: SparkSession, d: str) -> DataFrame:
     return _communities(spark, d)[0]
 
 
 def community_reports(spark: SparkSession, d: str) -> DataFrame:
-    members, e = _communities(spark, d)
-    return G.reports(materialise(members), e)
+    return G.reports(*_components(spark, d))
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: relations in words, of those whose edge_id, its first eight digits read as a number, is divisible by 20."""
+    e = _plain_edges(spark, d).where(F.conv(F.substring("edge_id", 1, 8), 16, 10).cast("bigint") % 20 == 0)
+    return e.select(F.col("edge_id").alias("qid"), F.concat_ws(" ", "a", "type", "b").alias("text"))
+
+
+def local_search(spark: SparkSession, d: str) -> DataFrame:
+    return G.local_search(_asked(spark, d), *_components(spark, d))
 
 
 def global_search(spark: SparkSession, d: str) -> DataFrame:
-    members, e = _communities(spark, d)
-    return G.global_search(G.drift_folds(G.reports(materialise(members), e)), "radar antenna depot relations", 5)
+    return G.global_search(_asked(spark, d), *_components(spark, d))
+
+
+def drift_search(spark: SparkSession, d: str) -> DataFrame:
+    return G.drift_search(_asked(spark, d), *_components(spark, d))
+
+
+def structural_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _structure(spark, d)[0]
+
+
+def structural_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _structure(spark, d)[1]
+
+
+def _structure(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return G.structure(table(spark, d, "ingest_documents"), table(spark, d, "structured_chunks"), table(spark, d, "document_elements"))
+
+
+def relation_units(spark: SparkSession, d: str) -> DataFrame:
+    """Each relation with the number of text units of its ends and the first of them."""
+    return G.relation_units(_plain_edges(spark, d), _entities(spark, d)).groupBy("edge_id").agg(F.count("*").alias("n_units"), F.min("unit").alias("first_unit"))
 
 
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -231,7 +269,7 @@ def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
     return spark.table("quern_event_windows").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
-QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, confidence_gate, resolved_edges, pipeline_metrics, graph_stats, graph_degree, entity_neighbours, entity_documents, document_units, cooccurrence_edges, khop_neighborhood, neighborhood_graph, mentions, mention_chunks, canonicalize, entity_descriptions, relationship_export, connected_components, communities, community_reports, global_search, upsert_merge, purge_document, stale_elements, json_patch, latest_event, heading_carry, section_paths, ontology_layers, file_routes, name_search, parse_documents, event_windows, stream_event_windows)}
+QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, confidence_gate, resolved_edges, pipeline_metrics, graph_stats, graph_degree, entity_neighbours, entity_documents, document_units, cooccurrence_edges, khop_neighborhood, neighborhood_graph, mentions, mention_chunks, canonicalize, entity_descriptions, relationship_export, connected_components, communities, community_reports, local_search, global_search, drift_search, structural_nodes, structural_edges, relation_units, upsert_merge, purge_document, stale_elements, json_patch, latest_event, heading_carry, section_paths, ontology_layers, file_routes, name_search, parse_documents, event_windows, stream_event_windows)}
 
 _EDGES = "e AS (SELECT DISTINCT from_name AS a, rel_type AS type, to_name AS b, md5(from_name || '|' || rel_type || '|' || to_name) AS edge_id FROM extracted_relationships WHERE from_name IS NOT NULL AND to_name IS NOT NULL)"
 _WAYS = f"{_EDGES}, ways AS (SELECT edge_id, a AS x, b AS y, type FROM e UNION ALL SELECT edge_id, b, a, type FROM e WHERE a <> b)"
@@ -242,32 +280,57 @@ _MENTIONS = r"""n AS (SELECT DISTINCT name FROM extracted_entities WHERE trim(na
 _WEIGHT = ontology.weight_sql("rel_type")
 _DAYS = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
+_PARTS = f"""{_EDGES}, ww AS (SELECT a, b FROM e UNION SELECT b, a FROM e), rr AS (SELECT a AS node, a AS c FROM ww UNION SELECT ww.b, rr.c FROM rr JOIN ww ON rr.node = ww.a),
+        cc AS (SELECT node, min(c) AS community FROM rr GROUP BY 1), mm AS (SELECT *, count(*) OVER (PARTITION BY community) AS size FROM cc), dg AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY 1),
+        hd AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node) AS r FROM mm JOIN dg USING (node)),
+        rp AS (SELECT community, any_value(size) AS size, string_agg(node, ', ' ORDER BY r) AS names FROM hd WHERE r <= 3 GROUP BY 1),
+        reports AS (SELECT community, size, 'Community of ' || size || ' around ' || names || ' with ' || (SELECT count(*) FROM e JOIN cc x ON x.node = e.a WHERE x.community = rp.community) || ' relations.' AS report FROM rp),
+        nb AS (SELECT node, string_agg(other, ', ' ORDER BY other) AS neighbours FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY other) AS r FROM (SELECT DISTINCT a AS node, b AS other FROM ww WHERE a <> b)) WHERE r <= 5 GROUP BY 1),
+        ask AS (SELECT edge_id AS qid, concat_ws(' ', a, type, b) AS text FROM e WHERE CAST('0x' || substr(edge_id, 1, 8) AS BIGINT) % 20 = 0)"""
+_TERMS = "list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda x: x <> '')"
+_GLOBAL = f"""{_PARTS}, gd AS (SELECT community AS id, {_TERMS.format(c='report')} AS w FROM reports), gt AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM gd), gq AS (SELECT qid, unnest(list_distinct({_TERMS.format(c='text')})) AS term FROM ask),
+        gx AS (SELECT id, len(w) AS len, unnest(w) AS term FROM gd), gf AS (SELECT id, len, term, count(*) AS tf FROM gx WHERE term IN (SELECT term FROM gq) GROUP BY ALL), gn AS (SELECT term, count(*) AS df FROM gf GROUP BY 1),
+        gp AS (SELECT id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)) AS part FROM gf JOIN gn USING (term), gt),
+        gs AS (SELECT qid, id AS community, round(sum(part), 6) AS score FROM gp JOIN gq USING (term) GROUP BY 1, 2),
+        gr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, community) AS rank FROM gs)"""
+
 SQL = {
-    "graph_nodes": "SELECT name, entity_type, max(confidence) AS confidence, first(document_id ORDER BY extracted_at, document_id) AS first_document, last(document_id ORDER BY extracted_at, document_id) AS last_document, count(*) AS mentions FROM extracted_entities WHERE name IS NOT NULL GROUP BY 1, 2",
+    "graph_nodes": "SELECT name, entity_type, max(confidence) AS confidence, first(properties ORDER BY extracted_at, document_id, properties) AS properties, first(document_id ORDER BY extracted_at, document_id, properties) AS first_document, last(document_id ORDER BY extracted_at, document_id, properties) AS last_document, count(*) AS mentions FROM extracted_entities WHERE name IS NOT NULL GROUP BY 1, 2",
     "graph_edges": "SELECT from_name, from_type, coalesce(rel_type, 'RELATED_TO') AS rel_type, to_name, to_type, document_id, max(confidence) AS confidence FROM extracted_relationships GROUP BY ALL",
     "confidence_gate": "WITH n AS (SELECT DISTINCT name FROM extracted_entities WHERE coalesce(confidence, 0.8) >= 0.60) SELECT DISTINCT document_id, from_name, rel_type, to_name, confidence FROM extracted_relationships WHERE coalesce(confidence, 0.8) >= 0.55 AND from_name IN (SELECT name FROM n) AND to_name IN (SELECT name FROM n)",
     "resolved_edges": "WITH n AS (SELECT DISTINCT name, entity_type FROM extracted_entities), g AS (SELECT from_name, from_type, coalesce(rel_type, 'RELATED_TO') AS rel_type, to_name, to_type, document_id, max(confidence) AS confidence FROM extracted_relationships GROUP BY ALL) SELECT g.* FROM g JOIN n x ON x.name = from_name AND x.entity_type = from_type JOIN n y ON y.name = to_name AND y.entity_type = to_type",
     "pipeline_metrics": "SELECT entity_type, count(*) FILTER (WHERE coalesce(confidence, 0.8) >= 0.60) AS accepted, count(*) FILTER (WHERE coalesce(confidence, 0.8) < 0.60) AS rejected FROM extracted_entities GROUP BY 1",
     "graph_stats": f"WITH {_EDGES} SELECT (SELECT count(*) FROM (SELECT DISTINCT name, entity_type FROM extracted_entities)) AS nodes, (SELECT count(*) FROM e) AS edges",
     "graph_degree": f"WITH {_EDGES} SELECT name, count(*) AS degree FROM (SELECT a AS name FROM e UNION ALL SELECT b FROM e) GROUP BY 1",
-    "entity_neighbours": f"WITH {_EDGES}, o AS (SELECT a AS name, count(*) AS n, min(b) AS f FROM e GROUP BY 1) SELECT name, coalesce(n, 0) AS n, coalesce(f, '') AS first_neighbour FROM (SELECT DISTINCT name FROM extracted_entities) LEFT JOIN o USING (name)",
+    "entity_neighbours": f"WITH {_EDGES}, o AS (SELECT name, count(*) AS n, min(other) AS f FROM (SELECT a AS name, b AS other FROM e UNION ALL SELECT b, a FROM e WHERE a <> b) GROUP BY 1) SELECT name, coalesce(n, 0) AS n, coalesce(f, '') AS first_neighbour FROM (SELECT DISTINCT name FROM extracted_entities) LEFT JOIN o USING (name)",
     "entity_documents": "SELECT name, count(*) AS n, md5(string_agg(document_id, ',' ORDER BY document_id)) AS digest FROM (SELECT DISTINCT name, document_id FROM extracted_entities) GROUP BY 1",
     "document_units": "WITH u AS (SELECT document_id, count(*) AS n, min(chunk_key) AS f FROM (SELECT DISTINCT document_id, chunk_key FROM structured_chunks) GROUP BY 1) SELECT document_id, coalesce(n, 0) AS n_units, coalesce(f, '') AS first_unit FROM (SELECT DISTINCT document_id FROM ingest_documents) LEFT JOIN u USING (document_id)",
     "cooccurrence_edges": "WITH m AS (SELECT DISTINCT document_id, json_extract_string(properties, '$.page') AS page, name FROM extracted_entities WHERE name IS NOT NULL AND json_extract_string(properties, '$.page') IS NOT NULL), p AS (SELECT x.name AS a, y.name AS b, count(*) AS n FROM m x JOIN m y USING (document_id, page) WHERE x.name < y.name GROUP BY 1, 2) SELECT a, b, n, round(least(0.5 + 0.1 * n, 0.85), 6)::DOUBLE AS weight FROM p WHERE NOT EXISTS (SELECT 1 FROM extracted_relationships r WHERE least(r.from_name, r.to_name) = a AND greatest(r.from_name, r.to_name) = b)",
     "khop_neighborhood": f"WITH {_TRAILS.format(ways=_WAYS, kind='FAILURE_MODE')} SELECT start, node, hops, first_type, array_to_string(path, ',') AS path FROM trails",
-    "neighborhood_graph": f"WITH {_TRAILS.format(ways=_WAYS, kind='STANDARD')} SELECT DISTINCT start, e.edge_id, a, type, b FROM (SELECT start, unnest(path) AS edge_id FROM trails) JOIN e USING (edge_id)",
+    "neighborhood_graph": f"WITH {_TRAILS.format(ways=_WAYS, kind='STANDARD')} SELECT DISTINCT start, e.edge_id, a, type, b FROM (SELECT start, unnest(path) AS edge_id FROM trails) JOIN e USING (edge_id) UNION ALL SELECT DISTINCT name, NULL, name, NULL, NULL FROM extracted_entities WHERE entity_type = 'STANDARD' AND name NOT IN (SELECT start FROM trails)",
     "mentions": f"WITH {_MENTIONS} SELECT * FROM m",
     "mention_chunks": f"WITH {_MENTIONS}, c AS (SELECT DISTINCT document_id, chunk_key, chunk_index, element_uids FROM structured_chunks), u AS (SELECT document_id, chunk_key, unnest(element_uids) AS element_uid FROM c), f AS (SELECT DISTINCT document_id, name, chunk_key FROM m JOIN u USING (document_id, element_uid)), g AS (SELECT document_id, first(chunk_key ORDER BY chunk_index, chunk_key) AS chunk_key FROM c GROUP BY 1) SELECT * FROM f UNION ALL SELECT document_id, name, chunk_key FROM (SELECT DISTINCT document_id, name FROM extracted_entities) JOIN g USING (document_id) WHERE document_id NOT IN (SELECT document_id FROM f)",
     "canonicalize": r"""
         WITH n AS (SELECT name, entity_type, count(*) AS mentions FROM extracted_entities WHERE name IS NOT NULL GROUP BY 1, 2),
              a AS (SELECT DISTINCT name AS alias, regexp_replace(name, '^(Dr|Prof|Maj|Capt|LTC|Sgt)\.? +', '') AS canonical FROM n WHERE regexp_replace(name, '^(Dr|Prof|Maj|Capt|LTC|Sgt)\.? +', '') <> name),
              c AS (SELECT x.name, x.entity_type, first(y.name ORDER BY y.mentions DESC, y.name DESC) AS by_near FROM n x JOIN n y ON x.entity_type = y.entity_type AND y.mentions > x.mentions AND length(x.name) > 5 AND length(y.name) > 5
-                   AND (lower(left(x.name, 3)) = lower(left(y.name, 3)) OR lower(right(x.name, 3)) = lower(right(y.name, 3))) AND abs(length(x.name) - length(y.name)) <= 2 WHERE levenshtein(x.name, y.name) BETWEEN 1 AND 2 GROUP BY 1, 2)
+                   AND abs(length(x.name) - length(y.name)) <= 2 WHERE levenshtein(x.name, y.name) BETWEEN 1 AND 2 GROUP BY 1, 2)
         SELECT n.name, n.entity_type, CASE WHEN n.name IN (SELECT canonical FROM a) THEN n.name ELSE coalesce((SELECT min(canonical) FROM a WHERE alias = n.name), by_near, n.name) END AS canonical,
                CASE WHEN n.name IN (SELECT canonical FROM a) THEN 'exact' WHEN n.name IN (SELECT alias FROM a) THEN 'alias' WHEN by_near IS NOT NULL THEN 'fuzzy' ELSE 'self' END AS how
         FROM n LEFT JOIN c USING (name, entity_type)""",
     "relationship_export": f"SELECT DISTINCT from_name AS source, to_name AS target, rel_type, ({_WEIGHT})::DOUBLE AS weight, from_name || ' ' || rel_type || ' ' || to_name AS description FROM extracted_relationships",
     "connected_components": f"WITH RECURSIVE {_EDGES}, w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM w UNION SELECT w.b, r.c FROM r JOIN w ON r.node = w.a) SELECT node, min(c) AS component FROM r GROUP BY 1",
+    "community_reports": f"WITH RECURSIVE {_PARTS} SELECT * FROM reports",
+    "local_search": rf"""
+        WITH RECURSIVE {_PARTS}, nm AS (SELECT DISTINCT qid, node FROM ask JOIN mm ON trim(node) <> '' AND CASE WHEN length(node) > 4 THEN contains(lower(text), lower(node)) ELSE regexp_matches(lower(text), '(^|[^\pL\pN_])' || regexp_escape(lower(node)) || '($|[^\pL\pN_])') END)
+        SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY degree DESC, node) AS rank, node AS entity, degree, coalesce(neighbours, '') AS neighbours, community, report FROM nm JOIN mm USING (node) JOIN dg USING (node) LEFT JOIN nb USING (node) JOIN reports USING (community) QUALIFY rank <= 10""",
+    "global_search": f"WITH RECURSIVE {_GLOBAL} SELECT qid, rank, community, score, size, report FROM gr JOIN reports USING (community) WHERE rank <= 5",
+    "drift_search": f"""
+        WITH RECURSIVE {_GLOBAL} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, degree DESC, node) AS rank, node AS entity, degree, coalesce(neighbours, '') AS neighbours, community, score
+        FROM (SELECT * FROM gr WHERE rank <= 3) g JOIN (SELECT * FROM hd WHERE r <= 10) USING (community) LEFT JOIN nb USING (node) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, degree DESC, node) <= 10""",
+    "structural_nodes": "SELECT DISTINCT document_id AS node_id, 'Document' AS label FROM ingest_documents UNION ALL SELECT DISTINCT chunk_key, 'Chunk' FROM structured_chunks UNION ALL SELECT DISTINCT document_id || ':' || element_uid, 'Element' FROM document_elements",
+    "structural_edges": "WITH k AS (SELECT document_id, chunk_key, min(chunk_index) AS i FROM structured_chunks GROUP BY 1, 2), n AS (SELECT chunk_key AS source, lead(chunk_key) OVER (PARTITION BY document_id ORDER BY coalesce(i, 0), chunk_key) AS target FROM k) SELECT DISTINCT document_id AS source, chunk_key AS target, 'HAS_CHUNK' AS type FROM structured_chunks UNION ALL SELECT source, target, 'NEXT' FROM n WHERE target IS NOT NULL UNION ALL SELECT DISTINCT chunk_key, document_id || ':' || u, 'MADE_OF' FROM (SELECT chunk_key, document_id, unnest(element_uids) AS u FROM structured_chunks)",
+    "relation_units": f"WITH {_EDGES}, o AS (SELECT DISTINCT name, document_id AS unit FROM extracted_entities WHERE name IS NOT NULL AND document_id IS NOT NULL), x AS (SELECT edge_id, unit FROM e JOIN o ON o.name = e.a UNION SELECT edge_id, unit FROM e JOIN o ON o.name = e.b) SELECT edge_id, count(*) AS n_units, min(unit) AS first_unit FROM x GROUP BY 1",
     "upsert_merge": "WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders), a AS (SELECT * FROM o WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, 'N' AS o_orderstatus, round(o_totalprice + 1, 2) AS o_totalprice, o_orderpriority FROM o WHERE o_orderkey % 2 = 0) SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, coalesce(a.o_orderstatus, b.o_orderstatus) AS o_orderstatus, coalesce(b.o_totalprice, a.o_totalprice) AS o_totalprice, coalesce(b.o_orderpriority, a.o_orderpriority) AS o_orderpriority FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey",
     "purge_document": "SELECT document_id, count(*) AS n FROM (SELECT DISTINCT document_id, id FROM document_elements) WHERE document_id NOT IN (SELECT document_id FROM ingest_documents WHERE pipeline_status = 'FAILED') GROUP BY 1",
     "stale_elements": "SELECT DISTINCT document_id, element_uid FROM document_elements e WHERE NOT EXISTS (SELECT 1 FROM (SELECT document_id, unnest(element_uids) AS element_uid FROM structured_chunks) c WHERE c.document_id = e.document_id AND c.element_uid = e.element_uid)",

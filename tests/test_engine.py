@@ -29,12 +29,21 @@ def test_ingest_replaces_and_purges(spark, data, tmp_path):
     assert e.store.read("chunks", "document_id string, text string").count() == 1
 
 
-def test_every_strategy_answers(spark, data):
+def test_every_strategy_answers_a_query(spark, data):
     e = Engine(spark, data)
-    for spec in ("text_basic", "images_only", QuerySpec(strategy="local", top_k=5), QuerySpec(strategy="global", top_k=5), QuerySpec(strategy="drift", top_k=5)):
-        assert e.search(spec).count() >= 0
-    assert e.search(QuerySpec(min_confidence=2.0)).count() == 0
-    assert e.neighbourhood(["nobody"]).count() == 0
+    name = spark.read.parquet(f"{data}/extracted_relationships.parquet").select("from_name").first()[0]
+    text = spark.read.parquet(f"{data}/text_chunks.parquet").where("embedding IS NOT NULL AND length(chunk_text) > 40 AND aggregate(embedding, 0D, (a, x) -> a + x * x) > 0").select("id", "chunk_text", "embedding").first()
+    q = spark.createDataFrame([("q1", f"what is {name}", None), ("q2", text.chunk_text, text.embedding)], "qid string, query_text string, vector array<float>")
+    for strategy in ("basic", "hybrid"):
+        got = e.search(QuerySpec(strategy=strategy, top_k=5, rerank=True), q).where("qid = 'q2'").orderBy("rank").collect()
+        assert text.id in [r.id for r in got] and [r["rank"] for r in got] == list(range(1, len(got) + 1)) and got[0].rerank_score == max(r.rerank_score or 0 for r in got) > 0
+    assert {r.qid for r in e.search(QuerySpec(strategy="local", top_k=5), q).collect()} >= {"q1"}
+    assert 0 < e.search(QuerySpec(strategy="global", top_k=5), q).where("qid = 'q1'").count() <= 5
+    assert e.search(QuerySpec(strategy="drift", top_k=5), q).where("qid = 'q1'").count() > 0
+    assert e.search("images_only", q).where("modality NOT IN ('image', 'schematic', 'image_description')").count() == 0
+    assert e.search(QuerySpec(min_confidence=2.0), q).count() == 0
+    assert e.search(QuerySpec(filters={"document_ids": ["none"]}), q).count() == e.search(QuerySpec(filters={"source_names": ["none"]}), q).count() == 0
+    assert [r.a for r in e.neighbourhood(["nobody"]).collect()] == ["nobody"]
 
 
 def test_sql_functions(spark):

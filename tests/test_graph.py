@@ -56,11 +56,68 @@ def test_canonicalise(spark):
     assert {r.name: (r.canonical, r.how) for r in G.canonicalise(n, a).collect()} == {"Coppervane": ("Coppervane", "self"), "Coppervene": ("Coppervane", "fuzzy"), "Dr X": ("X", "alias"), "X": ("X", "exact")}
 
 
-def test_communities_don_t_exceed_their_size(spark):
-    edges = [(f"a{i}", f"a{j}", 1.0) for i in range(15) for j in range(i)] + [("z1", "z2", 1.0)]
-    e = spark.createDataFrame(edges, "a string, b string, weight double")
-    c = G.communities(e.select(F.col("a").alias("node")).union(e.select("b")), e).collect()
-    assert len(c) == 17 and max(r["size"] for r in c) <= 10 and len({r.community for r in c if r.node[0] == "z"}) == 1
+def test_communities_form_a_hierarchy(spark):
+    ring = lambda name, n: [(f"{name}{i:02}", f"{name}{j:02}", 1.0) for i in range(n) for j in range(i)]
+    rows = [*ring("a", 8), *ring("b", 8), ("a00", "b00", 0.1), ("x", "y", 1.0)]
+    e = spark.createDataFrame(rows, "a string, b string, weight double")
+    got = G.communities(e.select(F.col("a").alias("node")).union(e.select("b")).union(spark.createDataFrame([("lone",)], "n string")), e).collect()
+    top = {r.node: r.community for r in got if r.level == 0}
+    assert len(top) == 19 and set(top.values()) == {"a00", "lone", "x"}
+    low = {}
+    for r in got:
+        if r.level == 1:
+            assert r.parent == "a00"
+            low.setdefault(r.community, set()).add(r.node[0])
+    assert sorted(low.values(), key=str) == [{"a"}, {"b"}]
+    assert G.communities(e.select(F.col("a").alias("node")).where("false"), e.where("false")).count() == 0
+
+
+def test_near_names_against_brute_force(spark):
+    rng = random.Random(1)
+    names = {"".join(rng.choice("abc/ ") for _ in range(rng.choice((1, 2, 5, 9, 14)))) for _ in range(60)}
+    for n in list(names) + ["a much longer name of a station", "another long name with words"]:
+        for _ in range(2):
+            s = list(n)
+            for _ in range(rng.randint(0, 2)):
+                k = rng.randrange(len(s) + 1)
+                s[k : k + rng.randint(0, 1)] = rng.choice(["", "z", "a"])
+            names.add("".join(s))
+    names.discard("")
+    df = spark.createDataFrame([(n, "T", "clash") for n in names] + [("abz", "U", "clash"), (None, "T", "clash")], "name string, entity_type string, key string")
+    far = lambda a, b: spark_levenshtein(a, b) <= 2
+    got = {(r.a, r.b) for r in G.near_names(df).collect() if r.entity_type == "T"}
+    assert got == {(a, b) for a in names for b in names if a != b and far(a, b)}
+
+
+def spark_levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_neighbourhood_is_that_of_the_trails(spark):
+    rows = [("1", "a", "b", "T"), ("2", "b", "c", "T"), ("3", "c", "d", "T"), ("4", "a", "a", "T"), ("5", "b", "a", "T")]
+    e = spark.createDataFrame(rows, "edge_id string, a string, b string, type string")
+    s = spark.createDataFrame([("a",), ("d",), ("nobody",)], "start string")
+    for hops in (1, 2, 3):
+        trails = {(r.start, x) for r in G.khop(s, e, hops).collect() for x in r.path}
+        got = {(r.start, r.edge_id) for r in G.neighbourhood(s, e, hops).collect()}
+        assert got == trails | {("nobody", None)}
+    assert G.khop(s, e, 3, limit=2).groupBy("start").count().where("count > 2").count() == 0
+
+
+def test_searches_follow_the_query(spark):
+    e = spark.createDataFrame([("Radar One", "Antenna", 1.0), ("Radar One", "Mast", 1.0), ("Pump", "Valve", 1.0)], "a string, b string, weight double")
+    m = spark.createDataFrame([(n, c, k) for n, c, k in (("Radar One", "Antenna", 3), ("Antenna", "Antenna", 3), ("Mast", "Antenna", 3), ("Pump", "Pump", 2), ("Valve", "Pump", 2))], "node string, community string, size bigint")
+    q = spark.createDataFrame([(1, "how is the radar one mounted"), (2, "pump"), (3, "nothing"), (4, None)], "qid int, text string")
+    assert [(r.qid, r.entity, r.neighbours) for r in G.local_search(q, m, e).orderBy("qid").collect()] == [("1", "Radar One", "Antenna, Mast"), ("2", "Pump", "Valve")]
+    best = {r.qid: r.community for r in G.global_search(q, m, e, 1).collect()}
+    assert best == {1: "Antenna", 2: "Pump"}
+    assert {r.entity for r in G.drift_search(q, m, e, 10, 1).where("qid = 2").collect()} == {"Pump", "Valve"}
+    assert G.local_search(q.where("false"), m, e).count() == G.global_search(q.where("false"), m, e).count() == 0
 
 
 def test_upsert_is_idempotent_and_keeps_other_columns(spark):

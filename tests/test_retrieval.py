@@ -81,3 +81,12 @@ def test_fusion_is_monotone_in_python(sem, link, hops):
 def test_smoke_entry(spark, data):
     out = plans.hybrid_query(spark, data)
     assert out.count() > 0
+
+
+def test_fuzzy_terms(spark):
+    docs = spark.createDataFrame([(1, "the hydraulic pump"), (2, "the hydralic pump"), (3, "a valve"), (4, None), (5, "")], "id int, text string")
+    q = spark.createDataFrame([(1, "hydraulic"), (2, "zzz"), (3, None)], "qid int, text string")
+    assert [r.id for r in R.bm25(docs, q, 5).collect()] == [1]
+    assert {r.id for r in R.bm25(docs, q, 5, fuzzy=True).collect()} == {1, 2}
+    assert R.bm25(docs.where("false"), q, 5).count() == R.bm25(docs, q.where("false"), 5).count() == 0
+    assert all(R.within_one(a, b) == w for a, b, w in (("abc", "abc", True), ("abc", "abd", True), ("abc", "ab", True), ("abc", "xabc", True), ("abc", "acb", False), ("ab", "abcd", False)))
