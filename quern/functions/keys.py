@@ -42,3 +42,18 @@ def element_hash(document: Column, uid: Column, text: Column) -> Column:
 
 def trusted_point_id(submission: Column) -> Column:
     return uuid5(F.concat(F.lit("trusted:"), submission), DNS)
+
+
+def image_chunk_id(document: Column, uid: Column, model: Column) -> Column:
+    """Identifier of an image's chunk by its element and embedding model."""
+    return dashed(F.md5(F.sha2(F.concat_ws(":", document, uid, model), 256)))
+
+
+def section_chunk_id(document: Column, uid: Column, section: Column, model: Column) -> Column:
+    """Identifier of a section of an image's description."""
+    return dashed(F.md5(F.sha2(F.concat_ws(":", document, uid, section.cast("string"), model), 256)))
+
+
+def legacy_uid(index: Column, kind: Column, text: Column) -> Column:
+    """legacy-index-type-digest of an element that a plain extractor found."""
+    return F.concat_ws("-", F.lit("legacy"), index.cast("string"), kind, F.left(F.sha2(F.coalesce(text, F.lit("")), 256), F.lit(8)))

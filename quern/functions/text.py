@@ -108,33 +108,88 @@ def sections(c: Column) -> Column:
     return F.when(F.size(out) > 0, out).when(c.isNotNull(), long(F.array(c)))
 
 
+#: Letters that tell languages of other scripts than Latin, tried in this order.
+SCRIPT_LANGUAGES = (
+    ("uk", "[\u0404\u0406\u0407\u0454\u0456\u0457\u0490\u0491]"), ("ru", "[\u0400-\u04ff]"), ("ja", "[\u3040-\u30ff]"), ("zh", "[\u4e00-\u9fff]"), ("ko", "[\uac00-\ud7af]"),
+    ("ar", "[\u0600-\u06ff]"), ("hi", "[\u0900-\u097f]"), ("th", "[\u0e00-\u0e7f]"), ("he", "[\u0590-\u05ff]"),
+)
+
+
+def script_language(c: Column) -> Column:
+    """The language that a text's script speaks for, null for texts in Latin script or of under five characters."""
+    out = F.lit(None).cast("string")
+    for lang, letters in reversed(SCRIPT_LANGUAGES):
+        out = F.when(c.rlike(letters), lang).otherwise(out)
+    return F.when(is_foreign_script(c), out)
+
+
 def json_text(c: Column) -> Column:
-    """The JSON value within a model's answer: whole, after a thinking tag or an answer marker, in a fence, or the last bracketed span; null if none parses."""
+    """The JSON value within a model's answer: whole, after a thinking tag or an answer marker, in a fence, the last bracketed span, or that span repaired; null if none parses."""
     bare = F.regexp_replace(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""), r"(?is)^.*?(final answer|answer)\s*:\s*", "")
     fence = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
     good = lambda s: F.when(F.try_parse_json(s).isNotNull() & strip(s).rlike(r"^[\[{]"), strip(s))
     return F.coalesce(good(c), good(bare), good(fence), _last_json(c))
 
 
+def bracketed(text: str) -> list[tuple[int, int]]:
+    """[start, end) of the outermost bracketed spans of a text, in one pass; brackets within quotes of a span don't count, and an unclosed one reaches to the end."""
+    spans, stack, start, quoted, skip = [], [], 0, False, False
+    for i, c in enumerate(text):
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = c == "\\", c != '"'
+        elif c == '"' and stack:
+            quoted = True
+        elif c in "{[":
+            if not stack:
+                start = i
+            stack.append("}" if c == "{" else "]")
+        elif stack and c == stack[-1]:
+            stack.pop()
+            if not stack:
+                spans.append((start, i + 1))
+        elif c in "}]":
+            stack.clear()
+    return spans + ([(start, len(text))] if stack else [])
+
+
+def repaired_json(span: str) -> str:
+    """A span with its usual faults mended: single quotes, bare keys, Python's constants, commas before closers, missing closers."""
+    import re
+
+    s = re.sub(r"(?<![\w\\])'((?:[^'\\]|\\.)*)'(?!\w)", lambda m: '"' + m.group(1).replace('"', '\\"') + '"', span)
+    s = re.sub(r"([{,]\s*)([A-Za-z_]\w*)(\s*:)", r'\1"\2"\3', s)
+    s = re.sub(r"\b(True|False|None)\b", lambda m: {"True": "true", "False": "false", "None": "null"}[m.group()], s)
+    stack, quoted, skip = [], False, False
+    for c in s:
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = c == "\\", c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            stack.append("}" if c == "{" else "]")
+        elif stack and c == stack[-1]:
+            stack.pop()
+    s = s.rstrip() + '"' * quoted
+    return re.sub(r",\s*([}\]])", r"\1", s.rstrip(", ") + "".join(reversed(stack)))
+
+
 @F.pandas_udf(T.StringType())
 def _last_json(s: pd.Series) -> pd.Series:
     import json
 
     def last(text: str | None) -> str | None:
-        if not text:
-            return None
-        for end in range(len(text) - 1, -1, -1):
-            if text[end] not in "}]":
-                continue
-            depth, opener = 0, {"}": "{", "]": "["}[text[end]]
-            for start in range(end, -1, -1):
-                depth += (text[start] == text[end]) - (text[start] == opener)
-                if depth == 0:
-                    try:
-                        json.loads(text[start : end + 1])
-                    except ValueError:
-                        break
-                    return text[start : end + 1]
+        spans = [text[a:b] for a, b in reversed(bracketed(text))] if text else []
+        for own in (spans, map(repaired_json, spans)):
+            for span in own:
+                try:
+                    json.loads(span)
+                except ValueError:
+                    continue
+                return span
         return None
 
     return s.map(last)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.operators.ordered import running_sum
+from quern.operators.ordered import next_of, running_sum
 from quern.tables import materialise
 
 #: Tokens of a chunk and of the overlap, tokens a word.
@@ -136,3 +136,14 @@ def element_sections(df: DataFrame, key: str, order: str, text: str) -> DataFram
     """(`key`, `order`, section_no, chunk_index, section_text): a description's sections with the places they take among chunks."""
     rows = df.where(F.col(text).isNotNull()).select(key, order, F.posexplode(X.sections(F.col(text))).alias("section_no", "section_text"))
     return rows.select(key, order, "section_no", (F.lit(100_000) + F.col(order) * 100 + F.col("section_no")).alias("chunk_index"), "section_text")
+
+
+def section_links(sections: DataFrame, key: str) -> DataFrame:
+    """(source, target) of consecutive sections (`key`, section_no, chunk_index) of one description, both ways, by their chunk_index."""
+    pairs = next_of(sections, [key], "section_no", ["chunk_index"], F.col("chunk_index"), "n", 256).where("n IS NOT NULL").select(key, F.col("chunk_index").alias("source"), F.col("n").alias("target"))
+    return pairs.unionAll(pairs.select(key, "target", "source"))
+
+
+def numbered(df: DataFrame, group: str, place: str, tie: list[str], size: int = 128) -> DataFrame:
+    """`df` with the batch, of `size` rows of its group in order, that each row is embedded or written with."""
+    return running_sum(df, [group], place, tie, F.lit(1), "__n").withColumn("batch", F.floor((F.col("__n") - 1) / size).cast("int")).drop("__n")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import graph as G
@@ -14,6 +16,10 @@ from quern.sources import ontology
 from quern.streaming import watch
 from quern.tables import latest, materialise, table
 
+#: Tables that hold what was derived from a document.
+CASCADE = ("document_elements", "structured_chunks", "text_chunks", "image_chunks", "extraction_requests", "extracted_entities", "extracted_relationships")
+STAGES = ("click", "view", "purchase", "signup", "error")
+
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extracted_entities")
@@ -46,8 +52,10 @@ def resolved_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pipeline_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """How many nodes of each type and how many relations pass their gates."""
     ok = F.coalesce("confidence", F.lit(G.NO_CONFIDENCE))
-    return _entities(spark, d).groupBy("entity_type").agg(F.count_if(ok >= G.NODE_GATE).alias("accepted"), F.count_if(ok < G.NODE_GATE).alias("rejected"))
+    gate = lambda df, kind, least: df.groupBy(kind.alias("kind")).agg(F.count_if(ok >= least).alias("accepted"), F.count_if(ok < least).alias("rejected"))
+    return gate(_entities(spark, d), F.concat(F.lit("node "), F.coalesce("entity_type", F.lit(""))), G.NODE_GATE).unionByName(gate(_relations(spark, d), F.lit("edge"), G.EDGE_GATE))
 
 
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -187,9 +195,9 @@ def relation_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Orders of the first half merged with later ones whose priority changed."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    old, new = o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0").withColumns({"o_orderstatus": F.lit("N"), "o_totalprice": F.round(F.col("o_totalprice") + 1, 2)})
+    """Orders up to the middle of 1995 merged with those from its beginning on, whose price and priority changed."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", F.col("o_orderdate").cast("date").alias("day"))
+    old, new = o.where("day < DATE '1995-07-01' OR day IS NULL").drop("day"), o.where("day >= DATE '1995-01-01'").drop("day").withColumns({"o_orderstatus": F.lit("N"), "o_totalprice": F.round(F.col("o_totalprice") + 1, 2)})
     return U.upsert(old, new, ["o_orderkey"], ["o_totalprice", "o_orderpriority"])
 
 
@@ -199,6 +207,30 @@ def purge_document(spark: SparkSession, d: str) -> DataFrame:
     return U.purge(table(spark, d, "document_elements").select("document_id", "id").distinct(), gone, "document_id").groupBy("document_id").agg(F.count("*").alias("n"))
 
 
+def purge_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Rows left in every table when the failed documents are purged from all."""
+    gone = table(spark, d, "ingest_documents").where("pipeline_status = 'FAILED'")
+    left = U.purge_all({t: table(spark, d, t) for t in CASCADE}, gone)
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n") for t, df in left.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def chunk_patch(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks after patches: unclassified ones get a class, those of odd places lose theirs."""
+    c = latest(table(spark, d, "text_chunks").select("id", "chunk_index", "chunk_text", "classification", "updated_at"), "id", "updated_at")
+    odd = (F.col("chunk_index") % 2 == 1) & F.col("classification").isNotNull()
+    patches = c.select("id", F.lit("classification").alias("path"), F.when(F.col("classification").isNull(), "add").when(odd, "remove").alias("op"), F.lit("CUI").alias("value"), F.lit(1).alias("at")).where("op IS NOT NULL")
+    return U.patch_rows(c, patches, "id", ("chunk_text", "classification")).select("id", F.coalesce("classification", F.lit("")).alias("classification"), F.coalesce(F.length("chunk_text"), F.lit(0)).alias("n_chars"))
+
+
+def missing_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Of a set of event types those that a user has none of."""
+    e = table(spark, d, "events").where("user_id IS NOT NULL").select("user_id", "event_type").distinct()
+    kinds = F.array(*(F.lit(x) for x in STAGES))
+    seen = e.where(F.col("event_type").isin(*STAGES)).groupBy("user_id").agg(F.collect_set("event_type").alias("s"))  # at most STAGES
+    return e.select("user_id").distinct().join(seen, "user_id", "left").select("user_id", F.array_join(F.array_except(kinds, F.coalesce("s", F.array().cast("array<string>"))), ",").alias("missing"))
+
+
 def stale_elements(spark: SparkSession, d: str) -> DataFrame:
     """Elements that no structured chunk of their document holds."""
     held = table(spark, d, "structured_chunks").select("document_id", F.explode("element_uids").alias("element_uid"))
@@ -238,10 +270,10 @@ def ontology_layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_routes(spark: SparkSession, d: str) -> DataFrame:
-    """Files by type and parser, of those that one of two patterns matches."""
+    """Files by type and parser."""
     f = table(spark, d, "ingest_documents").select("document_id", "filename").distinct()
     mime = S.mime_type(F.col("filename"))
-    return f.where(F.col("filename").rlike(r"^.*\.pdf$|^[0-9].*$")).groupBy(mime.alias("mime_type"), S.route(mime).alias("parser")).agg(F.count("*").alias("n"))
+    return f.groupBy(mime.alias("mime_type"), S.route(mime).alias("parser")).agg(F.count("*").alias("n"))
 
 
 def name_search(spark: SparkSession, d: str) -> DataFrame:
@@ -269,7 +301,7 @@ def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
     return spark.table("quern_event_windows").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
-QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, confidence_gate, resolved_edges, pipeline_metrics, graph_stats, graph_degree, entity_neighbours, entity_documents, document_units, cooccurrence_edges, khop_neighborhood, neighborhood_graph, mentions, mention_chunks, canonicalize, entity_descriptions, relationship_export, connected_components, communities, community_reports, local_search, global_search, drift_search, structural_nodes, structural_edges, relation_units, upsert_merge, purge_document, stale_elements, json_patch, latest_event, heading_carry, section_paths, ontology_layers, file_routes, name_search, parse_documents, event_windows, stream_event_windows)}
+QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, confidence_gate, resolved_edges, pipeline_metrics, graph_stats, graph_degree, entity_neighbours, entity_documents, document_units, cooccurrence_edges, khop_neighborhood, neighborhood_graph, mentions, mention_chunks, canonicalize, entity_descriptions, relationship_export, connected_components, communities, community_reports, local_search, global_search, drift_search, structural_nodes, structural_edges, relation_units, upsert_merge, purge_document, purge_cascade, chunk_patch, missing_stages, stale_elements, json_patch, latest_event, heading_carry, section_paths, ontology_layers, file_routes, name_search, parse_documents, event_windows, stream_event_windows)}
 
 _EDGES = "e AS (SELECT DISTINCT from_name AS a, rel_type AS type, to_name AS b, md5(from_name || '|' || rel_type || '|' || to_name) AS edge_id FROM extracted_relationships WHERE from_name IS NOT NULL AND to_name IS NOT NULL)"
 _WAYS = f"{_EDGES}, ways AS (SELECT edge_id, a AS x, b AS y, type FROM e UNION ALL SELECT edge_id, b, a, type FROM e WHERE a <> b)"
@@ -299,7 +331,7 @@ SQL = {
     "graph_edges": "SELECT from_name, from_type, coalesce(rel_type, 'RELATED_TO') AS rel_type, to_name, to_type, document_id, max(confidence) AS confidence FROM extracted_relationships GROUP BY ALL",
     "confidence_gate": "WITH n AS (SELECT DISTINCT name FROM extracted_entities WHERE coalesce(confidence, 0.8) >= 0.60) SELECT DISTINCT document_id, from_name, rel_type, to_name, confidence FROM extracted_relationships WHERE coalesce(confidence, 0.8) >= 0.55 AND from_name IN (SELECT name FROM n) AND to_name IN (SELECT name FROM n)",
     "resolved_edges": "WITH n AS (SELECT DISTINCT name, entity_type FROM extracted_entities), g AS (SELECT from_name, from_type, coalesce(rel_type, 'RELATED_TO') AS rel_type, to_name, to_type, document_id, max(confidence) AS confidence FROM extracted_relationships GROUP BY ALL) SELECT g.* FROM g JOIN n x ON x.name = from_name AND x.entity_type = from_type JOIN n y ON y.name = to_name AND y.entity_type = to_type",
-    "pipeline_metrics": "SELECT entity_type, count(*) FILTER (WHERE coalesce(confidence, 0.8) >= 0.60) AS accepted, count(*) FILTER (WHERE coalesce(confidence, 0.8) < 0.60) AS rejected FROM extracted_entities GROUP BY 1",
+    "pipeline_metrics": "SELECT 'node ' || coalesce(entity_type, '') AS kind, count(*) FILTER (WHERE coalesce(confidence, 0.8) >= 0.60) AS accepted, count(*) FILTER (WHERE coalesce(confidence, 0.8) < 0.60) AS rejected FROM extracted_entities GROUP BY 1 UNION ALL SELECT 'edge', count(*) FILTER (WHERE coalesce(confidence, 0.8) >= 0.55), count(*) FILTER (WHERE coalesce(confidence, 0.8) < 0.55) FROM extracted_relationships HAVING count(*) > 0",
     "graph_stats": f"WITH {_EDGES} SELECT (SELECT count(*) FROM (SELECT DISTINCT name, entity_type FROM extracted_entities)) AS nodes, (SELECT count(*) FROM e) AS edges",
     "graph_degree": f"WITH {_EDGES} SELECT name, count(*) AS degree FROM (SELECT a AS name FROM e UNION ALL SELECT b FROM e) GROUP BY 1",
     "entity_neighbours": f"WITH {_EDGES}, o AS (SELECT name, count(*) AS n, min(other) AS f FROM (SELECT a AS name, b AS other FROM e UNION ALL SELECT b, a FROM e WHERE a <> b) GROUP BY 1) SELECT name, coalesce(n, 0) AS n, coalesce(f, '') AS first_neighbour FROM (SELECT DISTINCT name FROM extracted_entities) LEFT JOIN o USING (name)",
@@ -318,6 +350,10 @@ SQL = {
         SELECT n.name, n.entity_type, CASE WHEN n.name IN (SELECT canonical FROM a) THEN n.name ELSE coalesce((SELECT min(canonical) FROM a WHERE alias = n.name), by_near, n.name) END AS canonical,
                CASE WHEN n.name IN (SELECT canonical FROM a) THEN 'exact' WHEN n.name IN (SELECT alias FROM a) THEN 'alias' WHEN by_near IS NOT NULL THEN 'fuzzy' ELSE 'self' END AS how
         FROM n LEFT JOIN c USING (name, entity_type)""",
+    "entity_descriptions": """
+        WITH e AS (SELECT name, entity_type, max(properties) AS p FROM extracted_entities GROUP BY 1, 2),
+             k AS (SELECT name, entity_type, list_sort(list_transform(list_filter(coalesce(json_keys(p), []), lambda x: coalesce(json_extract_string(p, '$."' || x || '"'), '') <> ''), lambda x: array_to_string(list_transform(string_split(replace(x, '_', ' '), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') || ': ' || json_extract_string(p, '$."' || x || '"'))) AS ps FROM e)
+        SELECT name, entity_type, name || ' is a ' || lower(replace(entity_type, '_', ' ')) || '.' || CASE WHEN len(ps) > 0 THEN ' ' || array_to_string(ps, '; ') ELSE '' END AS description FROM k""",
     "relationship_export": f"SELECT DISTINCT from_name AS source, to_name AS target, rel_type, ({_WEIGHT})::DOUBLE AS weight, from_name || ' ' || rel_type || ' ' || to_name AS description FROM extracted_relationships",
     "connected_components": f"WITH RECURSIVE {_EDGES}, w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM w UNION SELECT w.b, r.c FROM r JOIN w ON r.node = w.a) SELECT node, min(c) AS component FROM r GROUP BY 1",
     "community_reports": f"WITH RECURSIVE {_PARTS} SELECT * FROM reports",
@@ -331,8 +367,11 @@ SQL = {
     "structural_nodes": "SELECT DISTINCT document_id AS node_id, 'Document' AS label FROM ingest_documents UNION ALL SELECT DISTINCT chunk_key, 'Chunk' FROM structured_chunks UNION ALL SELECT DISTINCT document_id || ':' || element_uid, 'Element' FROM document_elements",
     "structural_edges": "WITH k AS (SELECT document_id, chunk_key, min(chunk_index) AS i FROM structured_chunks GROUP BY 1, 2), n AS (SELECT chunk_key AS source, lead(chunk_key) OVER (PARTITION BY document_id ORDER BY coalesce(i, 0), chunk_key) AS target FROM k) SELECT DISTINCT document_id AS source, chunk_key AS target, 'HAS_CHUNK' AS type FROM structured_chunks UNION ALL SELECT source, target, 'NEXT' FROM n WHERE target IS NOT NULL UNION ALL SELECT DISTINCT chunk_key, document_id || ':' || u, 'MADE_OF' FROM (SELECT chunk_key, document_id, unnest(element_uids) AS u FROM structured_chunks)",
     "relation_units": f"WITH {_EDGES}, o AS (SELECT DISTINCT name, document_id AS unit FROM extracted_entities WHERE name IS NOT NULL AND document_id IS NOT NULL), x AS (SELECT edge_id, unit FROM e JOIN o ON o.name = e.a UNION SELECT edge_id, unit FROM e JOIN o ON o.name = e.b) SELECT edge_id, count(*) AS n_units, min(unit) AS first_unit FROM x GROUP BY 1",
-    "upsert_merge": "WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders), a AS (SELECT * FROM o WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, 'N' AS o_orderstatus, round(o_totalprice + 1, 2) AS o_totalprice, o_orderpriority FROM o WHERE o_orderkey % 2 = 0) SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, coalesce(a.o_orderstatus, b.o_orderstatus) AS o_orderstatus, coalesce(b.o_totalprice, a.o_totalprice) AS o_totalprice, coalesce(b.o_orderpriority, a.o_orderpriority) AS o_orderpriority FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey",
+    "upsert_merge": "WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority, CAST(o_orderdate AS DATE) AS day FROM orders), a AS (SELECT * EXCLUDE (day) FROM o WHERE day < DATE '1995-07-01' OR day IS NULL), b AS (SELECT o_orderkey, 'N' AS o_orderstatus, round(o_totalprice + 1, 2) AS o_totalprice, o_orderpriority FROM o WHERE day >= DATE '1995-01-01') SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, coalesce(a.o_orderstatus, b.o_orderstatus) AS o_orderstatus, coalesce(b.o_totalprice, a.o_totalprice) AS o_totalprice, coalesce(b.o_orderpriority, a.o_orderpriority) AS o_orderpriority FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey",
     "purge_document": "SELECT document_id, count(*) AS n FROM (SELECT DISTINCT document_id, id FROM document_elements) WHERE document_id NOT IN (SELECT document_id FROM ingest_documents WHERE pipeline_status = 'FAILED') GROUP BY 1",
+    "purge_cascade": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t} WHERE document_id NOT IN (SELECT document_id FROM ingest_documents WHERE pipeline_status = 'FAILED')" for t in CASCADE),
+    "chunk_patch": "SELECT id, CASE WHEN classification IS NULL THEN 'CUI' WHEN chunk_index % 2 = 1 THEN '' ELSE classification END AS classification, coalesce(length(chunk_text), 0) AS n_chars FROM text_chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1",
+    "missing_stages": f"SELECT user_id, array_to_string(list_filter({list(STAGES)}, lambda x: NOT list_contains(list(DISTINCT event_type), x)), ',') AS missing FROM events WHERE user_id IS NOT NULL GROUP BY 1",
     "stale_elements": "SELECT DISTINCT document_id, element_uid FROM document_elements e WHERE NOT EXISTS (SELECT 1 FROM (SELECT document_id, unnest(element_uids) AS element_uid FROM structured_chunks) c WHERE c.document_id = e.document_id AND c.element_uid = e.element_uid)",
     "json_patch": "SELECT event_id, CASE event_type WHEN 'error' THEN '' WHEN 'click' THEN '0' ELSE coalesce(json_extract_string(props, '$.k'), '') END AS k FROM events",
     "latest_event": "SELECT user_id, last(event_id ORDER BY ts, event_id) AS event_id, last(event_type ORDER BY ts, event_id) AS event_type, count(*) AS n FROM events GROUP BY 1",
@@ -344,7 +383,7 @@ SQL = {
              k AS (SELECT id, l, t FROM b x WHERE NOT EXISTS (SELECT 1 FROM b y WHERE y.id = x.id AND y.l < x.l AND (y.o, y.hid) > (x.o, x.hid)))
         SELECT e.id, coalesce(string_agg(k.t, ' > ' ORDER BY k.l), '') AS path FROM e LEFT JOIN k USING (id) GROUP BY 1""",
     "ontology_layers": "WITH t(layer, entity_type) AS (VALUES " + ", ".join(f"('{g}', '{t}')" for t, g in ontology.default().layers.items()) + ") SELECT coalesce(layer, 'unknown') AS layer, count(*) AS n, count(DISTINCT name) AS names FROM extracted_entities LEFT JOIN t USING (entity_type) GROUP BY 1",
-    "file_routes": "WITH f AS (SELECT DISTINCT document_id, lower(regexp_extract(filename, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM ingest_documents WHERE regexp_matches(filename, '^.*\\.pdf$|^[0-9].*$')), t(ext, mime_type) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in S.TYPES.items()) + "), m AS (SELECT coalesce(mime_type, 'application/octet-stream') AS mime_type FROM f LEFT JOIN t USING (ext)) SELECT mime_type, CASE WHEN mime_type LIKE '%pdf%' OR mime_type LIKE '%officedocument%' THEN 'converter' WHEN mime_type LIKE 'image/%' THEN 'image' WHEN mime_type LIKE 'text/%' THEN 'text' ELSE 'none' END AS parser, count(*) AS n FROM m GROUP BY 1, 2",
+    "file_routes": "WITH f AS (SELECT DISTINCT document_id, lower(regexp_extract(filename, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM ingest_documents), t(ext, mime_type, parser) AS (VALUES " + ", ".join(f"('{k}', '{v}', '{'text' if v == 'text/plain' else 'converter'}')" for k, v in S.TYPES.items()) + ") SELECT coalesce(mime_type, 'application/octet-stream') AS mime_type, coalesce(parser, 'none') AS parser, count(*) AS n FROM f LEFT JOIN t USING (ext) GROUP BY 1, 2",
     "name_search": "SELECT DISTINCT name, entity_type FROM extracted_entities WHERE contains(lower(name), 'cor') ORDER BY name, entity_type LIMIT 10",
     "event_windows": _DAYS,
     "stream_event_windows": _DAYS,

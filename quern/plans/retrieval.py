@@ -113,18 +113,17 @@ def fusion_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identifier_match(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with a part number or standard in each evaluation item's style, by identifiers shared with their own heads."""
-    t = table(spark, d, "documents").where("text IS NOT NULL")
-    probe = F.lit("MIL-STD-810G PN-4521 AB1234 1234-56-789-0123 AN/MPQ-53(V)2 ZK5791")
-    pad = F.concat(F.col("text"), F.when(F.col("doc_id") % 3 == 0, " see PN-4521.").when(F.col("doc_id") % 3 == 1, " see PN-45210.").otherwise(" per AN/MPQ-53(V)2"))
-    return t.select("doc_id", X.shared_identifier(probe, pad).alias("shared"))
+    """Extraction requests with whether their text shares an identifier with the stored Markdown of their document."""
+    g = latest(table(spark, d, "ingest_documents").select("document_id", "markdown", "updated_at"), "document_id", "updated_at")
+    r = latest(table(spark, d, "extraction_requests").select("request_id", "document_id", "text", "requested_at"), "request_id", "requested_at")
+    return r.join(g, "document_id").select("request_id", X.shared_identifier(F.col("text"), F.col("markdown")).alias("shared"))
 
 
 def seed_merge(spark: SparkSession, d: str) -> DataFrame:
     """Two result lists of each query, one of them without ids for odd ranks, merged."""
     e = vector_topk(spark, d).select("qid", "id", "score")
     other = vector_topk_filtered(spark, d).select("qid", F.when(F.col("rank") % 2 == 0, F.col("id")).alias("id"), F.round(F.col("score") * 1.01, 6).alias("score"))
-    return R.merge_seeds(e, other)
+    return R.merge_seeds(e, other).withColumn("id", F.coalesce("id", F.lit(-1)))
 
 
 def dedupe_diversify(spark: SparkSession, d: str) -> DataFrame:
@@ -174,7 +173,7 @@ def chunk_artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 def agent_context(spark: SparkSession, d: str) -> DataFrame:
     t = _texts(spark, d).where("classification IS NOT NULL")
-    rows = R.cut(t.select(F.col("document_id").alias("qid"), "id", "modality", "classification", "page_number", "chunk_text", (1 / (1 + F.col("chunk_index"))).alias("score")), 3)
+    rows = R.cut(t.select(F.col("document_id").alias("qid"), "document_id", "id", "modality", "classification", "page_number", "chunk_text", (1 / (1 + F.col("chunk_index"))).alias("score")), 3)
     return R.context_text(rows)
 
 
@@ -334,6 +333,12 @@ SQL = {
         g AS (SELECT *, regexp_replace(chunk_text, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g') AS bare FROM f),
         h AS (SELECT * FROM g WHERE coalesce(modality IN ('image', 'graph_node') OR chunk_text IS NULL OR bare = '', true) UNION ALL SELECT * FROM (SELECT * FROM g WHERE NOT coalesce(modality IN ('image', 'graph_node') OR chunk_text IS NULL OR bare = '', true) QUALIFY row_number() OVER (PARTITION BY qid, document_id, page_number, lower(bare) ORDER BY score DESC, id) = 1))
         SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM h QUALIFY rank <= 10""",
+    "identifier_match": "WITH g AS (SELECT * FROM ingest_documents QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY updated_at DESC) = 1), r AS (SELECT * FROM extraction_requests QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY requested_at DESC) = 1) SELECT request_id, coalesce(" + " OR ".join(f"len(list_intersect(regexp_extract_all(r.text, '{p}'), regexp_extract_all(g.markdown, '{p}'))) > 0" for p in X.IDENTIFIERS) + ", false) AS shared FROM r JOIN g USING (document_id)",
+    "seed_merge": "WITH a AS (" + _TOP.format(on="true", more="") + "), b AS (" + _TOP.format(on="e.label IN (0, 1, 2)", more=" AND s >= 0.25") + "), u AS (SELECT qid, id, score FROM a UNION ALL SELECT qid, CASE WHEN rank % 2 = 0 THEN id END, round(score * 1.01, 6) FROM b) SELECT qid, coalesce(id, -1) AS id, score FROM (SELECT * FROM u QUALIFY id IS NULL OR row_number() OVER (PARTITION BY qid, id ORDER BY score DESC) = 1)",
+    "agent_context": f"""
+        WITH {_T}, r AS (SELECT document_id AS qid, *, 1 / (1 + chunk_index)::DOUBLE AS score, row_number() OVER (PARTITION BY document_id ORDER BY 1 / (1 + chunk_index)::DOUBLE DESC, id) AS rank FROM t WHERE classification IS NOT NULL QUALIFY rank <= 3)
+        SELECT qid, string_agg('### Result ' || rank || ' (score: ' || format('{{:.0f}}', score * 100) || '%, modality: ' || coalesce(modality, 'unknown') || ')' || CASE WHEN classification <> 'UNCLASSIFIED' THEN chr(10) || '**Classification**: ' || classification ELSE '' END
+               || CASE WHEN page_number IS NOT NULL THEN chr(10) || '**Page**: ' || page_number ELSE '' END || chr(10) || CASE WHEN chunk_text <> '' THEN chr(10) || chunk_text || chr(10) ELSE '' END, chr(10) ORDER BY rank) AS context, any_value(qid) AS sources FROM r GROUP BY 1""",
     "basic_search": f"""
         WITH {_SEEDS.format(more=" AND coalesce(lower(trim(c.modality)) <> 'image_description', true)", n=80, k=10)} SELECT qid, rank, id, score FROM seeds""",
     "hybrid_query": f"""

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import keys as K
 from quern.functions import text as X
 from quern.operators import chunking, cleaning
 from quern.sources import ontology
-from quern.tables import table
+from quern.tables import latest, materialise, table
 
 MODEL = "hashed-64"
+LOW = "abcdefghijklmnopqrstuvwxyz"
 _DASH = X.DASHES + X.SPACES
 _PLAIN = "-" * len(X.DASHES) + " " * len(X.SPACES)
 
@@ -51,6 +52,14 @@ def file_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.keep_first(g, ["source_name", "file_hash"], [F.col("pipeline_status").isin("FAILED", "ERROR").cast("int"), "created_at", "document_id"]).select("document_id", "source_name", "file_hash")
 
 
+def file_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each file as it comes in: taken, taken in place of those before, which all failed, or rejected."""
+    g = table(spark, d, "ingest_documents").groupBy("document_id", "source_name", "file_hash").agg(F.max_by("pipeline_status", F.struct("updated_at", "pipeline_status")).alias("s"), F.min("created_at").alias("created_at"))
+    before = Window.partitionBy("source_name", "file_hash").orderBy("created_at", "document_id").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.count(F.when(F.coalesce(~F.col("s").isin("FAILED", "ERROR"), F.lit(True)), 1)).over(before)
+    return g.select("document_id", F.when(held > 0, "reject").when(F.count("*").over(before) > 0, "replace").otherwise("accept").alias("decision"))
+
+
 def element_keys(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "document_elements").select("id", "document_id", "page_number", "element_order", "element_type", "content_text").distinct()
     uid = K.element_uid(F.col("page_number"), F.col("element_order"), F.col("element_type"), F.col("content_text"))
@@ -72,14 +81,31 @@ def script_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_language(spark: SparkSession, d: str) -> DataFrame:
-    """The most frequent language of a source's documents that hold foreign script, `en` without any."""
-    t = table(spark, d, "documents").withColumn("l", F.coalesce("lang", F.lit("")))
-    return cleaning.dominant_language(t, "source", "l", X.is_foreign_script(F.col("text")))
+    """The most frequent language among a document's elements in other scripts, `en` without any."""
+    t = table(spark, d, "document_elements").select("document_id", F.coalesce(X.script_language(F.col("content_text")), F.lit("")).alias("l"))
+    return cleaning.dominant_language(t, "document_id", "l", F.col("l") != "")
 
 
-def translation_batches(spark: SparkSession, d: str) -> DataFrame:
+def element_languages(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "document_elements").select("id", X.script_language(F.col("content_text")).alias("lang")).where("lang IS NOT NULL")
+    return e.distinct()
+
+
+def _foreign(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "document_elements").where(X.is_foreign_script(F.col("content_text")))
-    return cleaning.pack(e.select("document_id", F.concat_ws("/", F.lpad(F.col("element_order").cast("string"), 8, "0"), "id").alias("place"), "content_text").distinct(), "document_id", "place", F.length("content_text"), 2000)
+    e = e.groupBy("document_id", F.concat_ws("/", F.lpad(F.col("element_order").cast("string"), 8, "0"), "id").alias("place")).agg(F.max_by("content_text", F.struct("updated_at", "content_text")).alias("content_text"))
+    return e
+
+
+def translation_batches(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.pack(_foreign(spark, d), "document_id", "place", F.length("content_text"), 2000)
+
+
+def translated(spark: SparkSession, d: str) -> DataFrame:
+    """Elements in other scripts after a stand-in translation, ASCII letters in capitals, in batches; a batch with a 7 loses its marks and goes one by one."""
+    high = lambda c: F.translate(c, LOW, LOW.upper())
+    model = lambda c: F.when(c.contains("7"), F.replace(high(c), F.lit(cleaning.BOUNDARY.strip()), F.lit(" "))).otherwise(high(c))
+    return cleaning.translate(_foreign(spark, d), "document_id", "place", "content_text", model)
 
 
 def reassemble_markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -159,10 +185,42 @@ def description_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def element_text_packs(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs of plain texts packed to 2,000 characters."""
-    t = table(spark, d, "ingest_documents").select("document_id", "markdown").where("markdown IS NOT NULL").distinct()
-    p = t.select("document_id", F.posexplode(F.split("markdown", "\n\n")).alias("place", "paragraph")).where(X.strip(F.col("paragraph")) != "")
-    return cleaning.pack(p, "document_id", "place", F.length("paragraph"), 2000)
+    """Plain texts cut at blank lines and packed to 2,000 characters: the packed texts in order."""
+    t = latest(table(spark, d, "ingest_documents").select("document_id", "markdown", "updated_at"), "document_id", "updated_at").where("markdown IS NOT NULL")
+    p = materialise(t.select("document_id", F.posexplode(F.split("markdown", "\n\n")).alias("place", "paragraph")).where(X.strip(F.col("paragraph")) != ""))
+    b = cleaning.pack(p, "document_id", "place", F.length("paragraph"), 2000)
+    parts = F.array_sort(F.collect_list(F.struct("place", "paragraph")))
+    return p.join(b, ["document_id", "place"]).groupBy("document_id", "batch").agg(F.array_join(F.transform(parts, lambda x: x["paragraph"]), "\n\n").alias("text"))
+
+
+def derived_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of images' chunks, of the first section of their descriptions and of elements from plain extractors."""
+    e = table(spark, d, "document_elements").where("element_type = 'image'").select("document_id", "element_uid", "element_order", "element_type", "content_text").distinct()
+    doc, uid = F.col("document_id"), F.col("element_uid")
+    return e.select("document_id", "element_uid", K.image_chunk_id(doc, uid, F.lit(MODEL)).alias("image_id"), K.section_chunk_id(doc, uid, F.lit(0), F.lit(MODEL)).alias("section_id"), K.legacy_uid(F.col("element_order"), F.col("element_type"), F.col("content_text")).alias("legacy"))
+
+
+def section_artifact_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links between consecutive sections of each element's text."""
+    return chunking.section_links(description_sections(spark, d), "id")
+
+
+def upsert_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of 128 chunks of a document and their sizes."""
+    c = table(spark, d, "structured_chunks").groupBy("document_id", "chunk_key").agg(F.min("chunk_index").alias("chunk_index"))
+    return chunking.numbered(c, "document_id", "chunk_index", ["chunk_key"]).groupBy("document_id", "batch").agg(F.count("*").alias("n"))
+
+
+def document_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What is shown of a document: its classification by metadata, else unclassified, its language and the start of its summary or text."""
+    g = latest(table(spark, d, "ingest_documents").select("document_id", "classification", "detected_language", "document_summary", "markdown", "updated_at"), "document_id", "updated_at")
+    return g.select("document_id", X.classification(F.col("classification")).alias("classification"), F.coalesce(F.nullif(F.trim("detected_language"), F.lit("")), F.lit("unknown")).alias("language"), F.left(F.coalesce(F.nullif(X.strip(F.col("document_summary")), F.lit("")), F.col("markdown"), F.lit("")), F.lit(300)).alias("shown"))
+
+
+def image_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """The described images of documents, as a viewer lists them."""
+    e = latest(table(spark, d, "document_elements").where("element_type = 'image'").select("id", "document_id", "page_number", "content_text", "updated_at"), "id", "updated_at")
+    return e.where(X.strip(F.col("content_text")) != "").select("document_id", "id", F.coalesce("page_number", F.lit(0)).alias("page"), "content_text")
 
 
 def table_text(spark: SparkSession, d: str) -> DataFrame:
@@ -172,13 +230,19 @@ def table_text(spark: SparkSession, d: str) -> DataFrame:
     return e.select("id", X.table_text(rows).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (text_normalize, text_nfc, sanitize_table, line_cleanup, element_dedupe, chunk_text_dedupe, file_dedupe, element_keys, chunk_keys, label_sanitize, script_flags, document_language, translation_batches, reassemble_markdown, classification_normalize, metadata_merge, image_placeholders, review_ladder, triple_validation, json_ladder, query_terms, token_stats, chunk_words, chunk_chars, chunk_structured, description_sections, element_text_packs, table_text)}
+QUERIES = {f.__name__: f for f in (text_normalize, text_nfc, sanitize_table, line_cleanup, element_dedupe, chunk_text_dedupe, file_dedupe, element_keys, chunk_keys, label_sanitize, script_flags, document_language, translation_batches, reassemble_markdown, classification_normalize, metadata_merge, image_placeholders, review_ladder, triple_validation, json_ladder, query_terms, token_stats, chunk_words, chunk_chars, chunk_structured, description_sections, element_text_packs, table_text, element_languages, translated, file_decisions, derived_keys, section_artifact_links, upsert_batches, document_metadata, image_descriptions)}
 
 _UUID5 = "substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr({h}, 17, 1)) AS INTEGER) % 4 + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
 _FOREIGN = r"coalesce(length({c}) >= 5 AND regexp_matches({c}, '[\x{{0400}}-\x{{04FF}}\x{{4E00}}-\x{{9FFF}}\x{{3040}}-\x{{30FF}}\x{{0600}}-\x{{06FF}}\x{{0900}}-\x{{097F}}\x{{0E00}}-\x{{0E7F}}\x{{0590}}-\x{{05FF}}\x{{AC00}}-\x{{D7AF}}]'), false)"
 _WORDS = r"list_filter(regexp_split_to_array({c}, '[ \t\r\n\f]+'), lambda x: x <> '')"
 _LONG = r"list_filter(list_transform({c}, lambda x: regexp_replace(x, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g')), lambda x: length(x) >= 10)"
 
+_LANG = "CASE WHEN " + _FOREIGN.format(c="content_text") + " THEN CASE " + " ".join(f"WHEN regexp_matches(content_text, '{p}') THEN '{lang}'" for lang, p in X.SCRIPT_LANGUAGES) + " END END"
+_DASHED = "substr({c}, 1, 8) || '-' || substr({c}, 9, 4) || '-' || substr({c}, 13, 4) || '-' || substr({c}, 17, 4) || '-' || substr({c}, 21, 12)"
+_FOREIGN_ROWS = f"items AS (SELECT *, length(content_text) AS n, row_number() OVER (PARTITION BY document_id ORDER BY place) AS rn FROM (SELECT document_id, lpad(CAST(element_order AS VARCHAR), 8, '0') || '/' || id AS place, last(content_text ORDER BY updated_at, content_text) AS content_text FROM document_elements WHERE {_FOREIGN.format(c='content_text')} GROUP BY 1, 2))"
+_PACKED = f"""{_FOREIGN_ROWS}, pack AS (SELECT document_id, rn, place, n, n AS used, 0 AS batch FROM items WHERE rn = 1
+    UNION ALL SELECT i.document_id, i.rn, i.place, i.n, CASE WHEN used + i.n > 2000 THEN i.n ELSE used + i.n END, CASE WHEN used + i.n > 2000 THEN batch + 1 ELSE batch END FROM pack JOIN items i ON i.document_id = pack.document_id AND i.rn = pack.rn + 1)"""
+
 SQL = {
     "text_normalize": f"SELECT doc_id, translate(text, '{_DASH}', '{_PLAIN}') AS text FROM documents",
     "text_nfc": f"SELECT DISTINCT id, translate(nfc_normalize(content_text), '{_DASH}', '{_PLAIN}') AS text FROM document_elements",
@@ -204,9 +268,32 @@ SQL = {
     "label_sanitize": "SELECT DISTINCT name, CASE WHEN s IS NULL OR s = '' THEN 'UNKNOWN' WHEN regexp_matches(s, '^[0-9]') THEN '_' || s ELSE s END AS label FROM (SELECT name, regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g') AS s FROM extracted_entities)",
     "script_flags": f"SELECT document_id, count(*) FILTER (WHERE {_FOREIGN.format(c='content_text')}) AS n_foreign, count(*) AS n_elements FROM document_elements GROUP BY 1",
     "document_language": f"""
-        WITH c AS (SELECT source, coalesce(lang, '') AS l, count(*) FILTER (WHERE {_FOREIGN.format(c='text')}) AS n FROM documents GROUP BY 1, 2),
-             r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, l) AS r FROM c)
-        SELECT source, CASE WHEN n > 0 THEN l ELSE 'en' END AS lang FROM r WHERE r = 1""",
+        WITH e AS (SELECT document_id, {_LANG} AS l FROM document_elements), c AS (SELECT document_id, l, count(*) AS n FROM e WHERE l IS NOT NULL GROUP BY 1, 2),
+             r AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC, l) = 1)
+        SELECT document_id, coalesce(l, 'en') AS lang FROM (SELECT DISTINCT document_id FROM document_elements) LEFT JOIN r USING (document_id)""",
+    "element_languages": f"SELECT DISTINCT id, {_LANG} AS lang FROM document_elements WHERE {_LANG} IS NOT NULL",
+    "file_decisions": """
+        WITH g AS (SELECT document_id, source_name, file_hash, last(pipeline_status ORDER BY updated_at, pipeline_status) AS s, min(created_at) AS created_at FROM ingest_documents GROUP BY 1, 2, 3),
+             w AS (SELECT *, count(*) FILTER (WHERE coalesce(s NOT IN ('FAILED', 'ERROR'), true)) OVER b AS held, count(*) OVER b AS n FROM g WINDOW b AS (PARTITION BY source_name, file_hash ORDER BY created_at, document_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT document_id, CASE WHEN held > 0 THEN 'reject' WHEN n > 0 THEN 'replace' ELSE 'accept' END AS decision FROM w""",
+    "derived_keys": f"""
+        WITH e AS (SELECT DISTINCT document_id, element_uid, element_order, element_type, content_text FROM document_elements WHERE element_type = 'image'),
+             k AS (SELECT *, md5(sha256(document_id || ':' || element_uid || ':{MODEL}')) AS a, md5(sha256(document_id || ':' || element_uid || ':0:{MODEL}')) AS b FROM e)
+        SELECT document_id, element_uid, {_DASHED.format(c='a')} AS image_id, {_DASHED.format(c='b')} AS section_id, 'legacy-' || element_order || '-' || element_type || '-' || substr(sha256(coalesce(content_text, '')), 1, 8) AS legacy FROM k""",
+    "translation_batches": f"WITH RECURSIVE {_PACKED} SELECT document_id, place, n AS size, batch FROM pack",
+    "translated": f"WITH {_FOREIGN_ROWS} SELECT document_id, place, translate(regexp_replace(content_text, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g'), '{LOW}', '{LOW.upper()}') AS translated FROM items",
+    "element_text_packs": r"""
+        WITH RECURSIVE g AS (SELECT * FROM ingest_documents QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY updated_at DESC) = 1),
+             q AS (SELECT document_id, unnest(string_split(markdown, chr(10) || chr(10))) AS paragraph, generate_subscripts(string_split(markdown, chr(10) || chr(10)), 1) AS place FROM g WHERE markdown IS NOT NULL),
+             items AS (SELECT *, length(paragraph) AS n, row_number() OVER (PARTITION BY document_id ORDER BY place) AS rn FROM q WHERE regexp_replace(paragraph, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g') <> ''),
+             f AS (SELECT document_id, rn, paragraph, n AS used, 0 AS batch FROM items WHERE rn = 1
+                   UNION ALL SELECT i.document_id, i.rn, i.paragraph, CASE WHEN used + n > 2000 THEN n ELSE used + n END, CASE WHEN used + n > 2000 THEN batch + 1 ELSE batch END FROM f JOIN items i ON i.document_id = f.document_id AND i.rn = f.rn + 1)
+        SELECT document_id, batch, string_agg(paragraph, chr(10) || chr(10) ORDER BY rn) AS text FROM f GROUP BY 1, 2""",
+    "upsert_batches": "WITH k AS (SELECT document_id, chunk_key, min(chunk_index) AS i FROM structured_chunks GROUP BY 1, 2), n AS (SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY coalesce(i, 0), chunk_key) - 1) // 128 AS batch FROM k) SELECT document_id, CAST(batch AS INT) AS batch, count(*) AS n FROM n GROUP BY 1, 2",
+    "document_metadata": r"""
+        WITH g AS (SELECT *, regexp_replace(document_summary, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g') AS s FROM ingest_documents QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY updated_at DESC) = 1)
+        SELECT document_id, CASE WHEN upper(trim(classification)) IN ('UNCLASSIFIED', 'CUI', 'CONFIDENTIAL', 'SECRET', 'TOP SECRET') THEN upper(trim(classification)) ELSE 'UNCLASSIFIED' END AS classification, coalesce(nullif(trim(detected_language), ''), 'unknown') AS language, left(coalesce(nullif(s, ''), markdown, ''), 300) AS shown FROM g""",
+    "image_descriptions": r"SELECT document_id, id, coalesce(page_number, 0) AS page, content_text FROM (SELECT * FROM document_elements WHERE element_type = 'image' QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1) WHERE regexp_replace(content_text, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g') <> ''",
     "reassemble_markdown": "SELECT document_id, string_agg(CASE WHEN element_type = 'heading' THEN '## ' || content_text ELSE content_text END, chr(10) || chr(10) ORDER BY element_order, id) AS markdown FROM (SELECT DISTINCT document_id, element_order, id, element_type, content_text FROM document_elements WHERE content_text <> '') GROUP BY 1",
     "classification_normalize": "SELECT CASE WHEN upper(trim(classification)) IN ('UNCLASSIFIED', 'CUI', 'CONFIDENTIAL', 'SECRET', 'TOP SECRET') THEN upper(trim(classification)) ELSE 'UNCLASSIFIED' END AS classification, count(*) AS n, count(document_summary) AS n_summaries FROM ingest_documents GROUP BY 1",
     "review_ladder": "SELECT CASE WHEN confidence >= 0.75 THEN 'accept' WHEN confidence >= 0.60 THEN 'second_engine' ELSE 'human_review' END AS step, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM document_elements WHERE confidence IS NOT NULL GROUP BY 1",
@@ -248,5 +335,17 @@ SQL = {
              s AS (SELECT id, element_order, {_LONG.format(c='parts')} AS parts, {_LONG.format(c='[t]')} AS whole FROM k),
              n AS (SELECT id, element_order, CASE WHEN len(parts) > 0 THEN parts ELSE whole END AS parts FROM s)
         SELECT id, element_order, i - 1 AS section_no, 100000 + element_order * 100 + i - 1 AS chunk_index, parts[i] AS section_text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM n)""",
+    "metadata_merge": """
+        WITH m AS (SELECT name, entity_type, first(properties ORDER BY extracted_at, document_id, properties) AS a, last(properties ORDER BY extracted_at, document_id, properties) AS b FROM extracted_entities WHERE properties IS NOT NULL GROUP BY 1, 2),
+             k AS (SELECT name, entity_type, list_distinct(list_concat(json_keys(a), json_keys(b))) AS ks, json_keys(b) AS kb, a, b FROM m)
+        SELECT name, entity_type, array_to_string(list_sort(list_transform(ks, lambda x: x || '=' || coalesce(CASE WHEN list_contains(kb, x) THEN json_extract_string(b, '$."' || x || '"') ELSE json_extract_string(a, '$."' || x || '"') END, 'null'))), ';') AS properties FROM k""",
+    "image_placeholders": """
+        WITH r AS (SELECT DISTINCT request_id, document_id, text FROM extraction_requests WHERE text IS NOT NULL), i AS (SELECT document_id, list(u ORDER BY u) AS us FROM (SELECT DISTINCT document_id, element_uid AS u FROM document_elements WHERE element_type = 'image') GROUP BY 1),
+             p AS (SELECT request_id, string_split(text, '<!-- image -->') AS ps, us FROM r LEFT JOIN i USING (document_id))
+        SELECT request_id, array_to_string(list_transform(range(1, len(ps) + 1), lambda k: CASE WHEN k = 1 THEN ps[1] ELSE coalesce('![image](' || us[k - 1] || ')', '<!-- image -->') || ps[k] END), '') AS text FROM p""",
+    "json_ladder": "SELECT properties, kind, CASE WHEN kind < 5 THEN properties END AS found FROM (SELECT DISTINCT properties FROM extracted_entities WHERE properties IS NOT NULL), (SELECT unnest(range(0, 6)) AS kind)",
+    "section_artifact_links": "",
     "table_text": r"SELECT DISTINCT id, array_to_string(list_transform(string_split(content_text, chr(10)), lambda r: array_to_string(list_transform(string_split(r, '|'), lambda x: trim(x)), ' | ')), chr(10)) AS text FROM document_elements WHERE element_type = 'table' AND content_text IS NOT NULL",
 }
+
+SQL["section_artifact_links"] = f"WITH d AS ({SQL['description_sections']}), n AS (SELECT id, chunk_index AS source, lead(chunk_index) OVER (PARTITION BY id ORDER BY section_no, chunk_index) AS target FROM d) SELECT * FROM n WHERE target IS NOT NULL UNION ALL SELECT id, target, source FROM n WHERE target IS NOT NULL"

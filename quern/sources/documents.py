@@ -13,10 +13,28 @@ from quern.operators.ordered import last_seen
 
 #: File types by extension.
 TYPES = {
-    "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
-    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "html": "text/html", "htm": "text/html", "md": "text/markdown", "adoc": "text/asciidoc", "csv": "text/csv",
-    "txt": "text/plain", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tif": "image/tiff", "tiff": "image/tiff", "bmp": "image/bmp", "webp": "image/webp",
-}
+    "pdf": "application/pdf",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "doc": "application/msword",
+    "ppt": "application/vnd.ms-powerpoint",
+    "xls": "application/vnd.ms-excel",
+    "html": "text/html",
+    "htm": "text/html",
+    "md": "text/markdown",
+    "csv": "text/csv",
+    "adoc": "text/asciidoc",
+    "txt": "text/plain",
+    "png": "image/png",
+    "jpg": "image/jpeg",
+    "jpeg": "image/jpeg",
+    "tif": "image/tiff",
+    "tiff": "image/tiff",
+    "bmp": "image/bmp",
+    "gif": "image/gif",
+    "webp": "image/webp",
+}
 ELEMENT = "path string, element_order int, element_type string, heading_level int, section_path string, content_text string"
 
 
@@ -27,8 +45,10 @@ def mime_type(name: Column) -> Column:
 
 
 def route(mime: Column) -> Column:
-    """Which parser takes a type: converter for paged formats, image, text, or none."""
-    return F.when(mime.contains("pdf") | mime.contains("officedocument"), "converter").when(mime.startswith("image/"), "image").when(mime.startswith("text/"), "text").otherwise("none")
+    """Which parser takes a type: the converter for all known types but plain text, an extractor by kind for others (pdf, word, image, text), or none."""
+    converted = sorted(set(TYPES.values()) - {"text/plain"})
+    legacy = F.when(mime.contains("pdf"), "pdf").when(mime.contains("wordprocessingml") | mime.contains("msword"), "word").when(mime.contains("image"), "image").when(mime.contains("text"), "text")
+    return F.when(mime.isin(*converted), "converter").otherwise(F.coalesce(legacy, F.lit("none")))
 
 
 class _Html(HTMLParser):
@@ -85,14 +105,15 @@ def html_elements(text: str) -> list[tuple[str, int | None, str]]:
     return p.out
 
 
-def markdown_elements(text: str) -> list[tuple[str, int | None, str]]:
+def markdown_elements(text: str, ascii_doc: bool = False) -> list[tuple[str, int | None, str]]:
     out: list[tuple[str, int | None, str]] = []
     for block in text.split("\n\n"):
         b = block.strip()
         if not b:
             continue
         lines = b.split("\n")
-        mark = len(lines[0]) - len(lines[0].lstrip("#"))
+        sign = "=" if ascii_doc else "#"
+        mark = len(lines[0]) - len(lines[0].lstrip(sign))
         if b == "<!-- image -->":
             out.append(("image", None, ""))
         elif 0 < mark < 7 and lines[0][mark : mark + 1] == " ":
@@ -146,7 +167,7 @@ def parse(files: DataFrame) -> DataFrame:
 
                     found = [("table", None, "\n".join(" | ".join(c.strip() for c in r) for r in csv.reader(text.splitlines())))] if text.strip() else []
                 elif ext in ("md", "txt", "adoc"):
-                    found = markdown_elements(text)
+                    found = markdown_elements(text, ext == "adoc")
                 else:
                     found = []
                 rows += [(path, *r) for r in with_sections(found)]

@@ -48,8 +48,9 @@ def test_every_strategy_answers_a_query(spark, data):
 
 def test_sql_functions(spark):
     sql.register(spark)
-    r = spark.sql("SELECT norm_text('a‑b') AS n, approx_tokens('a b c d e f g h i j') AS t, uuid5_url('x') AS u, uuid5_dns('x') AS d, cosine_similarity(array(1D, 0D), array(1D, 1D)) AS c, cosine_similarity(array(0D), array(1D)) AS z, fusion_score(0.8, 0.9, NULL, 2) AS f").first()
+    r = spark.sql("SELECT norm_text('a‑b') AS n, approx_tokens('a b c d e f g h i j') AS t, uuid5_url('x') AS u, uuid5_dns('x') AS d, cosine_similarity(array(1D, 0D), array(1D, 1D)) AS c, cosine_similarity(array(0D), array(1D)) AS z, fusion_score(0.8, 0.9, NULL, NULL, 2, false) AS f, fusion_score(0.9, 1, NULL, 'PART_OF', 1, true) AS g, mil_id_overlap('see PN-4521', 'PN-4521.') AS m, mil_id_overlap(NULL, 'x') AS k").first()
     assert (r.n, r.t, r.u, r.d, round(r.c, 6), r.z, r.f) == ("a-b", 13, str(uuid.uuid5(uuid.NAMESPACE_URL, "x")), str(uuid.uuid5(uuid.NAMESPACE_DNS, "x")), 0.707107, None, 0.6856)
+    assert (r.g, r.m, r.k) == (0.95, True, False)
 
 
 def test_providers(spark):

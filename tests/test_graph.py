@@ -166,3 +166,32 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     (source / "f.txt").write_text("new")
     run()
     assert len(seen) == len(set(seen)) == 3
+
+
+def test_patches_and_cascade(spark):
+    c = spark.createDataFrame([("1", "a", None), ("2", "b", "CUI"), ("3", None, "X")], "id string, chunk_text string, classification string")
+    p = spark.createDataFrame([("1", "classification", "add", "CUI", 1), ("1", "classification", "replace", "SECRET", 2), ("2", "classification", "remove", None, 1), ("3", "chunk_text", "add", "t", 1), ("3", "other", "add", "t", 1), ("9", "chunk_text", "add", "t", 1)], "id string, path string, op string, value string, at int")
+    got = sorted(map(tuple, U.patch_rows(c, p, "id", ("chunk_text", "classification")).collect()))
+    assert got == [("1", "a", "SECRET"), ("2", "b", None), ("3", "t", "X")]
+    assert U.patch_rows(c, p.where("false"), "id", ("chunk_text",)).count() == 3
+    t = {"a": spark.createDataFrame([("d",), ("e",)], "document_id string"), "b": c}
+    left = U.purge_all(t, spark.createDataFrame([("d",)], "document_id string"))
+    assert left["a"].count() == 1 and left["b"].count() == 3
+
+
+def test_ontology_is_seeded_once():
+    from quern.sources import ontology as O
+
+    o = O.read("version: 2\n# x\nentity_types:\n  - A: one\n  - B: two\ntriples:\n  - A R B\nrelation_weights:\n  - R: 0.9\ndefault_weight: 0.5\n")
+    assert (o.version, o.layers, o.triples, o.weights, o.default_weight) == (2, {"A": "one", "B": "two"}, (("A", "R", "B"),), {"R": 0.9}, 0.5)
+
+
+def test_seeding_keeps_what_is_held(spark):
+    from quern.sources import ontology as O
+
+    first = O.rows(spark, O.read("version: 1\nentity_types:\n  - A: one\n"))
+    second = O.rows(spark, O.read("version: 2\nentity_types:\n  - A: other\n"))
+    once = O.seed(first.where("false"), first)
+    both = O.seed(O.seed(once, second), second)
+    assert sorted((r.version, r.value, r.is_current) for r in both.collect()) == [(1, "one", False), (2, "other", True)]
+    assert O.seed(once, second.where("false")).where("is_current").count() == 1

@@ -39,7 +39,7 @@ def test_identifiers(spark):
 
 
 def test_json_ladder(spark):
-    cases = {'<think>{x}</think>{"a": 1}': '{"a": 1}', 'Final Answer: {"a": 1}': '{"a": 1}', 'x\n```json\n{"a": 1}\n```': '{"a": 1}', 'so {x} then {"a": 1} ok': '{"a": 1}', "[1, 2]": "[1, 2]", "none": None, "": None}
+    cases = {'<think>{x}</think>{"a": 1}': '{"a": 1}', 'Final Answer: {"a": 1}': '{"a": 1}', 'x\n```json\n{"a": 1}\n```': '{"a": 1}', 'so {x} then {"a": 1} ok': '{"a": 1}', "[1, 2]": "[1, 2]", "none": None, "": None, "so {'a': True, b: [1, 2,],": '{"a": true, "b": [1, 2]}', 'x {"a": "}"} y': '{"a": "}"}'}
     for answer, want in cases.items():
         assert one(spark, answer, X.json_text) == want, answer
     assert one(spark, None, X.json_text) is None
@@ -151,3 +151,28 @@ def test_structured_survives_odd_rows(spark):
     df = spark.createDataFrame([("d", None, "text", "x", None, None, "u1"), ("d", 1, "heading", None, 2, "s", "u2"), (None, 1, "text", "y", 1, None, "u3")], ELEMENTS)
     assert [r.text for r in chunking.structured(df).collect()] == ["x"]
     assert chunking.structured(df.where("false")).count() == 0
+
+
+def test_spans_are_found_in_one_pass():
+    assert X.bracketed('{"a": [1]} and [2] or {"b": "]"') == [(0, 10), (15, 18), (22, 31)]
+    assert X.bracketed("{" * 50_000) == [(0, 50_000)] and X.bracketed("none ]") == []
+
+
+def test_translation_falls_back_to_single_texts(spark):
+    df = spark.createDataFrame([("d", i, t) for i, t in enumerate(["ab", "cd", "e7", None, "", "x" * 50, "7"])], "k string, o int, t string")
+    model = lambda c: F.when(c.contains("7"), F.replace(F.upper(c), F.lit(cleaning.BOUNDARY.strip()), F.lit(" "))).otherwise(F.upper(c))
+    got = {r.o: r.translated for r in cleaning.translate(df, "k", "o", "t", model, 8).collect()}
+    assert got == {0: "AB", 1: "CD", 2: "E7", 4: "", 5: "X" * 50, 6: "7"}
+    silent = {r.translated for r in cleaning.translate(df, "k", "o", "t", lambda c: F.lit(""), 8).collect()}
+    assert silent == {"ab", "cd", "e7", "", "x" * 50, "7"}
+    assert cleaning.translate(df.where("false"), "k", "o", "t", F.upper).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=30), st.integers(1, 40))
+def test_batches_fill_in_order(sizes, limit):
+    got = cleaning.batch_numbers(sizes, limit)
+    assert len(got) == len(sizes) and all(b - a in (0, 1) for a, b in zip(got, got[1:]))
+    for k in set(got):
+        own = [n for n, g in zip(sizes, got) if g == k]
+        assert sum(own) <= limit or len([n for n in own if n]) == 1
