@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm import encode, language, leaks, lookalike, names, neardup, neighbours, reading, scans, split
+from quern.llm import encode, language, leaks, lookalike, names, neardup, neighbours, probing, reading, scans, split
 from quern.operators.vectors import topk
 from quern.tables import latest, materialise, spread, table
 
@@ -144,16 +144,23 @@ def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def p7_search(spark: SparkSession, folder: str) -> DataFrame:
-    """The five most similar others, however far, of the stated query set (ids whose first eight digits make a number divisible by 20).
+def _asked(column: str = "id") -> Column:
+    """The stated query set: ids whose first eight digits make a number divisible by 20."""
+    return F.conv(F.substring(column, 1, 8), 16, 10).cast("bigint") % 20 == 0
+
+
+def p7_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar others, near or far, of the stated query set among all vectors, by multi-probe hashing."""
+    parts = [probing.search(_rows(spark, folder, t, key, vector, newest), key, vector, _asked(), newest).select(F.lit(t).alias("table_name"), "qid", "id", F.round("cosine", 6).alias("cosine"), "rank") for t, key, vector, newest in VECTORS]
+    return parts[0].unionByName(parts[1])
+
 
-    Beyond a cosine of about 0.6 hashing has to visit most buckets, so these
-    queries are compared with all vectors, in blocks.
-    """
+def p7_search(spark: SparkSession, folder: str) -> DataFrame:
+    """As p7_nearest, but exact: the queries are compared with all vectors, in blocks. What the recall of p7_nearest is measured against."""
     parts = []
     for t, key, vector, newest in VECTORS:
         rows = latest(table(spark, folder, t).select(key, vector, newest), key, newest).select(F.col(key).alias("id"), F.col(vector).alias("vector"))
-        asked = rows.where((F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint") % 20 == 0) & (F.size("vector") > 0)).withColumnRenamed("id", "qid")
+        asked = rows.where(_asked() & (F.size("vector") > 0)).withColumnRenamed("id", "qid")
         found = topk(asked, rows, neighbours.K + 1).where("id <> qid")
         w = Window.partitionBy("qid").orderBy("rank")
         parts.append(found.select(F.lit(t).alias("table_name"), "qid", "id", F.round("score", 6).alias("cosine"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= neighbours.K))
@@ -193,7 +200,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading.grade(docs, model).select("doc_id", "level") if model else spark.createDataFrame([], "doc_id bigint, level int")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_entities, p2_found, p3_pieces, p3_found, p4_canonical, p4_found, p5_segments, p5_documents, p5_found, p6_found, p6_groups, p7_found, p7_neighbours, p7_search, p8_ids, p9_found, p9_leaks, p10_levels, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_entities, p2_found, p3_pieces, p3_found, p4_canonical, p4_found, p5_segments, p5_documents, p5_found, p6_found, p6_groups, p7_found, p7_neighbours, p7_nearest, p7_search, p8_ids, p9_found, p9_leaks, p10_levels, p10_found)}
 
 SQL: dict[str, str] = {
     "p3_found": " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS table_name, {key} AS item_key FROM {t} WHERE length({text}) > 3000" for t, key, text, _ in ITEMS),

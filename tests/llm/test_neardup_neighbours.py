@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quern.llm import buckets, neardup, neighbours
+from quern.llm import buckets, neardup, neighbours, probing
 
 
 def jaccard(a, b):
@@ -162,3 +162,34 @@ def test_crowded_tiles_rank_exactly(spark, monkeypatch):
     np.fill_diagonal(c, -1)
     want = {(i, j) for i in range(300) for j in np.argsort(-c[i])[:5].tolist() if c[i, j] >= 0.9}
     assert len(want) > 1000 and len(want & got) >= 0.99 * len(want)
+
+
+def test_step_sets_come_in_order_and_exclude_each_other():
+    sets = probing.step_sets(4, 40)
+    assert sets[0] == (0,) and len(set(sets)) == len(sets) and all(0 not in s or 7 not in s for s in sets)
+    x = np.random.default_rng(2).standard_normal((5, 8)).astype(np.float32)
+    i = probing.Index(8, 4, 2, 20)
+    keys = i.probes(x, 1)
+    assert (keys[:, 0] == i.keys(x, 1)).all() and all(len(set(k)) == len(k) for k in keys.tolist())
+
+
+def test_far_neighbours_of_a_query_set(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((1500, 32)).astype(np.float32)
+    v[700:720] = v[0]
+    rows = [(f"{i:04}", [float(x) for x in r], 1) for i, r in enumerate(v)] + [("zero", [0.0] * 32, 1), ("null", None, 1), ("0005", [9.0] * 32, 0), (None, [1.0] * 32, 1), ("dim", [1.0, 2.0], 1)]
+    df = spark.createDataFrame(rows, "id string, v array<float>, t int").withColumn("t", F.timestamp_seconds("t")).withColumn("key", F.lit("clash")).repartition(4)
+    asked = F.substring("id", 4, 1).isin("0", "5") & (F.length("id") == 4)
+    got = {}
+    for r in probing.search(df, "id", "v", asked, "t", cosine=0.5).collect():
+        got.setdefault(int(r.qid), {})[int(r.id)] = (r.cosine, r["rank"])
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -1)
+    asks = [i for i in range(1500) if i % 5 == 0]
+    want = {i: sorted(range(1500), key=lambda j: (-round(c[i, j], 9), j))[:5] for i in asks}
+    hit = sum(len(set(want[i]) & set(got[i])) for i in asks)
+    assert set(got) == set(asks) and hit >= 0.9 * 5 * len(asks)
+    assert all(len(x) == 5 and sorted(r for _, r in x.values()) == [1, 2, 3, 4, 5] and all(abs(c[i, j] - s) < 1e-6 for j, (s, _) in x.items()) for i, x in got.items())
+    assert sorted(got[0]) == [700, 701, 702, 703, 704]
+    assert probing.search(df.where("false"), "id", "v", asked, "t").count() == probing.search(df, "id", "v", F.lit(False), "t").count() == 0
