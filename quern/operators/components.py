@@ -15,7 +15,8 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     repeats and nulls are ignored). Rounds of the small-star and large-star
     operations shrink the graph to stars; each is written to the checkpoint
     folder. A node of high degree only ever is the target of partial minima, so
-    it isn't gathered in one task. Nodes without edges are their own component.
+    it isn't gathered in one task. Nodes without edges are their own component. The
+    rounds grow with the logarithm of the longest path; an error tells if they don't do.
     """
     e = materialise(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -32,4 +33,6 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"the components aren't complete after {most_rounds} rounds")
     return nodes.select("node").distinct().join(e.groupBy("a").agg(F.min("b").alias("m")), F.col("node") == F.col("a"), "left").select("node", F.coalesce("m", "node").alias("component"))

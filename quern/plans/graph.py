@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from quern.operators.ordered import last_seen
 from quern.sources import documents as S
 from quern.sources import ontology
 from quern.streaming import watch
-from quern.tables import latest, materialise, table
+from quern.tables import checkpoint_folder, latest, materialise, table
 
 #: Tables that hold what was derived from a document.
 CASCADE = ("document_elements", "structured_chunks", "text_chunks", "image_chunks", "extraction_requests", "extracted_entities", "extracted_relationships")
@@ -293,12 +294,13 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
-    """event_windows as a stream over the files of the table, run until all that is there is done."""
+    """event_windows as a stream over the files of the table, run until all that is there is done; each batch's state of the windows is written to the checkpoint folder."""
     schema = table(spark, d, "events").schema
     raw = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    query = watch.windowed_counts(raw).writeStream.outputMode("complete").format("memory").queryName("quern_event_windows").trigger(availableNow=True).start()
+    out = f"{checkpoint_folder(spark)}/event-windows-{uuid.uuid4().hex}"
+    query = watch.windowed_counts(raw).writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table("quern_event_windows").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
+    return spark.read.schema("window_start timestamp, event_type string, n bigint, total double").parquet(out).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
 QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, confidence_gate, resolved_edges, pipeline_metrics, graph_stats, graph_degree, entity_neighbours, entity_documents, document_units, cooccurrence_edges, khop_neighborhood, neighborhood_graph, mentions, mention_chunks, canonicalize, entity_descriptions, relationship_export, connected_components, communities, community_reports, local_search, global_search, drift_search, structural_nodes, structural_edges, relation_units, upsert_merge, purge_document, purge_cascade, chunk_patch, missing_stages, stale_elements, json_patch, latest_event, heading_carry, section_paths, ontology_layers, file_routes, name_search, parse_documents, event_windows, stream_event_windows)}

@@ -16,14 +16,18 @@ from quern.tables import latest, materialise, table
 DIM = 64
 
 
-def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """One row of each text chunk."""
-    own = ["id", "artifact_id", "document_id", "chunk_index", "chunk_text", "embedding", "modality", "page_number", "classification", "updated_at"]
-    return latest(table(spark, d, "text_chunks").select(*own), "id", "updated_at")
+TEXT = ("artifact_id", "document_id", "chunk_index", "chunk_text", "embedding", "modality", "page_number", "classification")
+#: The columns that links are made by.
+PLACE = ("artifact_id", "document_id", "chunk_index", "page_number")
 
 
-def _images(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "image_chunks"), "id", "created_at")
+def _texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """One row of each text chunk, of the given columns."""
+    return latest(table(spark, d, "text_chunks").select("id", "updated_at", *(columns or TEXT)), "id", "updated_at")
+
+
+def _images(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return latest(table(spark, d, "image_chunks").select("id", "created_at", *(columns or ("document_id", "chunk_index", "chunk_text", "modality", "page_number"))), "id", "created_at")
 
 
 def _is_query(column: str = "id"):  # noqa: ANN202
@@ -46,7 +50,7 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_normalize(spark: SparkSession, d: str) -> DataFrame:
-    v = _texts(spark, d).where("embedding IS NOT NULL").select("id", V.unit(F.col("embedding")).alias("u"))
+    v = _texts(spark, d, "embedding").where("embedding IS NOT NULL").select("id", V.unit(F.col("embedding")).alias("u"))
     return v.select("id", F.size("u").alias("dim"), F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"), F.round(F.element_at("u", 1), 6).alias("first"))
 
 
@@ -57,7 +61,7 @@ def hashed_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def next_chunk_links(spark: SparkSession, d: str) -> DataFrame:
-    return L.next_chunk(_texts(spark, d))
+    return L.next_chunk(_texts(spark, d, *PLACE))
 
 
 def section_links(spark: SparkSession, d: str) -> DataFrame:
@@ -65,11 +69,11 @@ def section_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def same_page_links(spark: SparkSession, d: str) -> DataFrame:
-    return L.same_page(_texts(spark, d), _images(spark, d))
+    return L.same_page(_texts(spark, d, *PLACE), _images(spark, d, "document_id", "page_number"))
 
 
 def chunk_links_all(spark: SparkSession, d: str) -> DataFrame:
-    return L.all_links(_texts(spark, d), _images(spark, d))
+    return L.all_links(_texts(spark, d, *PLACE), _images(spark, d, "document_id", "page_number"))
 
 
 def _seeds(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -87,16 +91,16 @@ def seed_search(spark: SparkSession, d: str) -> DataFrame:
 
 def link_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Structural links of every query chunk itself, scored by fusion."""
-    t = _texts(spark, d)
+    t = _texts(spark, d, *PLACE)
     seeds = t.where(_is_query()).select(F.col("id").alias("qid"), "id", F.lit(0.8).alias("score"))
-    rows = L.expand(seeds, L.all_links(t, _images(spark, d)))
+    rows = L.expand(seeds, L.all_links(t, _images(spark, d, "document_id", "page_number")))
     none = F.lit(None).cast("string")
     return rows.select("qid", "target_id", "link_type", "hop", R.fusion(F.col("score"), F.col("weight"), F.lit(None).cast("double"), none, F.col("hop"), F.lit(False)).alias("score"))
 
 
 def cross_modal(spark: SparkSession, d: str) -> DataFrame:
     """Texts of the document of query images that have no link, five each, by the chunk - document - chunk path."""
-    i, t = _texts(spark, d), _images(spark, d)
+    i, t = _texts(spark, d, *PLACE), _images(spark, d, "document_id", "page_number", "chunk_index")
     bare = t.where(_is_query()).join(L.all_links(i, t).select(F.col("source_id").alias("id")).distinct(), "id", "left_anti")
     rows = bare.select(F.col("id").alias("qid"), "document_id").join(i.select("document_id", F.col("id").alias("target_id"), F.col("chunk_index")), "document_id")
     ranked = R.cut(rows.withColumnsRenamed({"target_id": "id"}).withColumn("score", -F.col("chunk_index").cast("double")), 5)
@@ -128,7 +132,7 @@ def seed_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def dedupe_diversify(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of a document with equal texts on a page, the best by length kept, cut to twenty."""
-    t = _texts(spark, d).select(F.col("document_id").alias("qid"), "id", "document_id", "page_number", "modality", "chunk_text", F.lit("seed").alias("source"), (F.coalesce(F.length("chunk_text"), F.lit(0)) / 1000).alias("score"))
+    t = _texts(spark, d, "document_id", "page_number", "modality", "chunk_text").select(F.col("document_id").alias("qid"), "id", "document_id", "page_number", "modality", "chunk_text", F.lit("seed").alias("source"), (F.coalesce(F.length("chunk_text"), F.lit(0)) / 1000).alias("score"))
     return R.cut(R.diversify(R.dedupe(t)), 20).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -146,19 +150,19 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def modality_counts(spark: SparkSession, d: str) -> DataFrame:
-    t = _texts(spark, d)
+    t = _texts(spark, d, "modality")
     return t.agg(*(F.count_if(R.modality_filter(m)).alias(m) for m in ("all", "text", "image")))
 
 
 def source_filter(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the documents of given sources only, as a semi-join."""
     own = table(spark, d, "ingest_documents").where(F.col("source_name").isin("field-archive", "range-logs"))
-    return _texts(spark, d).join(own, "document_id", "left_semi").groupBy("modality").agg(F.count("*").alias("n"))
+    return _texts(spark, d, "document_id", "modality").join(own, "document_id", "left_semi").groupBy("modality").agg(F.count("*").alias("n"))
 
 
 def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Chunks by id, texts before images, without the text where context isn't wanted."""
-    t, i = _texts(spark, d), _images(spark, d)
+    t, i = _texts(spark, d, "document_id", "modality", "chunk_text"), _images(spark, d, "document_id", "modality", "chunk_text")
     both = t.select("id", "document_id", "modality", "chunk_text", F.lit(0).alias("place")).unionByName(i.select("id", "document_id", "modality", "chunk_text", F.lit(1).alias("place")))
     rows = keep_first(both, ["id"], ["place"])
     return rows.select("id", "modality", F.when(F.col("place") == 0, F.coalesce(F.length("chunk_text"), F.lit(0))).otherwise(-1).alias("n_chars"), R.image_url(F.col("modality"), F.col("document_id"), F.col("id")).alias("image_url"))

@@ -40,19 +40,22 @@ def latest(df: DataFrame, key: str | list[str], *newest: str) -> DataFrame:
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """`df` written once to the checkpoint folder and read back, its lineage cut.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`, which all executors share; only where that is unset and the master is local, as in tests, a temporary folder."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
 
-    The folder is the session's `spark.checkpoint.dir`, which all executors
-    share. Only where that is unset and the master is local, as in tests, is a
-    temporary folder used.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
-        sc.setCheckpointDir(folder)
+
+def materialise(df: DataFrame) -> DataFrame:
+    """`df` written once to the checkpoint folder and read back, its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
