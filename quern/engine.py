@@ -11,7 +11,7 @@ from quern.operators import graph as G
 from quern.operators.retrieval import QuerySpec
 from quern.operators.tables import purge
 from quern.sources import documents
-from quern.sources.store import TableStore
+from quern.sources.store import GraphTables, TableStore
 from quern.tables import materialise, table
 
 #: Older names of retrieval modes and what they stand for (strategy, modality).
@@ -66,6 +66,27 @@ class Engine:
 
         return G.neighbourhood(self.spark.createDataFrame([(n,) for n in names], "start string"), graph._plain_edges(self.spark, self.folder), hops)
 
+    def index_graph(self, folder: str) -> GraphTables:
+        """Export the graph's nodes, relations, text units, documents, communities and reports to a folder of tables."""
+        from quern.plans import graph
+
+        entities, relations = self.table("extracted_entities"), self.table("extracted_relationships")
+        members, edges = graph._communities(self.spark, self.folder)
+        members = materialise(members)
+        degree = G.degree(edges.select(F.col("a").alias("from_name"), F.col("b").alias("to_name")))
+        nodes = G.merge_nodes(entities).join(degree, "name", "left")
+        top = members.where("level = 0").select("node", "community", "size")
+        out = GraphTables(TableStore(self.spark, folder))
+        out.write({
+            "entities": nodes.select("name", "entity_type", G.describe(F.col("name"), F.col("entity_type"), F.from_json("properties", "map<string,string>")).alias("description"), F.coalesce("degree", F.lit(0)).alias("degree")),
+            "relationships": G.export_relationships(relations),
+            "text_units": self.table("structured_chunks").groupBy("document_id", F.col("chunk_key").alias("unit")).agg(F.max("text").alias("text")),
+            "documents": self.table("ingest_documents").groupBy("document_id").agg(F.max("filename").alias("title")),
+            "communities": members,
+            "community_reports": G.reports(top, edges),
+        })
+        return out
+
     def tables(self) -> list[str]:
         return ["documents", "document_elements", "structured_chunks", "text_chunks", "image_chunks", "extracted_entities", "extracted_relationships"]
 

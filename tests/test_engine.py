@@ -66,3 +66,44 @@ def test_patterns(spark):
     df = spark.createDataFrame([("a.pdf",), ("b.PDF",), ("c[1].txt",), (None,)], "n string")
     assert [r.m for r in df.select(store.matches_any(F.col("n"), ["*.pdf", "c?1?.*"]).alias("m")).collect()] == [True, False, True, False]
     assert not df.where(store.matches_any(F.col("n"), [])).count()
+
+
+def test_objects_are_kept_once(spark, tmp_path):
+    o = store.ObjectStore(spark, str(tmp_path))
+    key, n = o.put([b"ab", b"", b"c"])
+    assert (n, o.put([b"abc"])[0], o.get(key)) == (3, key, b"abc") and len(key) == 64
+    empty, n = o.put([])
+    assert n == 0 and o.get(empty) == b""
+    assert o.delete(key) and o.get(key) is None and not o.delete(key)
+
+
+def test_vector_table(spark, tmp_path):
+    t = store.VectorTable(store.TableStore(spark, str(tmp_path)), "v")
+    make = lambda *rows: spark.createDataFrame([(i, v, d, "text", c, {"a": "b"}) for i, v, d, c in rows], t.SCHEMA)
+    assert t.read().count() == 0
+    t.upsert(make(("1", [1.0, 0.0], "d", "CUI"), ("2", [0.0, 1.0], "e", None), (None, [0.0, 1.0], "e", None)))
+    t.upsert(make(("2", [1.0, 0.1], "e", "CUI"), ("3", None, "d", None)))
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "qid string, vector array<float>")
+    assert [r.id for r in t.search(q, 5).orderBy("rank").collect()] == ["1", "2"]
+    assert [r.id for r in t.search(q, 5, {"document_ids": ["e"], "classification": "CUI"}).collect()] == ["2"]
+    t.delete(F.col("document_id") == "d")
+    assert [r.id for r in t.read().collect()] == ["2"]
+
+
+def test_graph_index_round_trip(spark, data, tmp_path):
+    g = store.GraphTables(store.TableStore(spark, str(tmp_path / "none")))
+    assert not g.ready() and g.read("entities").count() == 0
+    made = Engine(spark, data).index_graph(str(tmp_path / "g"))
+    assert made.ready() and all(made.read(t).count() for t in store.GRAPH_TABLES)
+
+
+def test_periodic_jobs(spark, tmp_path):
+    from datetime import datetime
+
+    from quern.streaming.watch import Periodic
+
+    runs = []
+    p = Periodic(store.TableStore(spark, str(tmp_path)))
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    assert [p.run("index", 600, lambda: runs.append(1), at(m)) for m in (0, 5, 10, 12, 20)] == [True, False, True, False, True] and len(runs) == 3
+    assert not p.run("index", 0, lambda: p.run("index", 0, lambda: runs.append(2), at(50)), at(40)) or 2 not in runs
