@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.tables import materialise
+
 #: Queries sent to the workers at once: a block of 1,024-dimensional vectors is 32 MB.
 BLOCK = 4096
 
@@ -52,15 +54,15 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = N
     """(qid, id, score, rank): the k nearest by cosine of every query, exactly; ties by id.
 
     `queries` (qid, vector) is a stated set, taken in blocks against all of
-    `vectors` (id, vector). Each Arrow batch is one matrix product and keeps its
-    k best for each query, so little is shuffled. Null and zero vectors, and such
+    `vectors` (id, vector). Each Arrow batch is one matrix product, and a task
+    sends on its k best for each query, so little is shuffled. Null and zero vectors, and such
     of another length than the queries, are never found; queries of zero length
     find nothing. All queries must have one length.
     """
     kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["id"]
     schema = f"qid {kinds[0]}, id {kinds[1]}, score double"
     parts = []
-    for ids, q in _blocks(queries, block):
+    for ids, q in _blocks(materialise(queries.select("qid", "vector")), block):
         norm = np.linalg.norm(q, axis=1)
         keep = norm > 0
         sent = queries.sparkSession.sparkContext.broadcast(([i for i, g in zip(ids, keep) if g], q[keep] / norm[keep, None]))
@@ -68,6 +70,7 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = N
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, m = sent.value
             dim = m.shape[1] if len(names) else 0
+            best, held = np.full((len(names), k), -np.inf), []
             for batch in batches:
                 lengths = np.nan_to_num(batch.column(1).value_lengths().to_numpy(zero_copy_only=False), nan=-1)
                 rows = np.flatnonzero(lengths == dim)
@@ -80,12 +83,13 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = N
                     continue
                 s = m @ v.T
                 own = batch.column(0).take(pa.array(rows))
-                if s.shape[1] > k:  # everything that ties with the kth stays
-                    kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                    x, y = np.nonzero(s >= kth[:, None] - 1e-12)
-                else:
-                    x, y = np.nonzero(np.ones_like(s, dtype=bool))
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in x.tolist()]).cast(_arrow(kinds[0])), own.take(pa.array(y)), pa.array(s[x, y])], names=["qid", "id", "score"])
+                best = -np.partition(-np.concatenate([best, s], axis=1), k - 1, axis=1)[:, :k]
+                x, y = np.nonzero(s >= best.min(axis=1, keepdims=True) - 1e-12)  # everything that ties with the kth so far
+                held.append((x, s[x, y], own.take(pa.array(y))))
+            least = best.min(axis=1) - 1e-12
+            for x, score, own in held:
+                keep = score >= least[x]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in x[keep].tolist()]).cast(_arrow(kinds[0])), own.filter(pa.array(keep)), pa.array(score[keep])], names=["qid", "id", "score"])
 
         parts.append(vectors.select("id", "vector").mapInArrow(search, schema))
     if not parts:
