@@ -233,13 +233,15 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", level: str = "level") -> Model | None:
-    """A model from at most SAMPLE labelled texts; None without any.
+    """A model from SAMPLE labelled texts, give or take a few by hash, or from all if there are no more; None without any.
 
     A document with several different labels, or with a null one, gives no
     example; repeated labels count once.
     """
     one = labels.where(F.col(level).isNotNull()).groupBy(key).agg(F.min(level).alias("lo"), F.max(level).alias("hi")).where("lo = hi").select(F.col(key).alias("k"), F.col("lo").alias("level"))
-    some = one.orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
+    one = materialise(one)
+    n = one.count()
+    some = one.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < 1_000_000 * SAMPLE / n) if n > SAMPLE else one
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("body")).where("body <> ''").join(F.broadcast(some), "k").collect()  # at most SAMPLE labels
     rows = sorted({r.k: r for r in rows}.values(), key=lambda r: r.k)
     if not rows:
