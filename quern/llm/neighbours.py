@@ -48,6 +48,8 @@ CROWD = 4
 SKETCH = 192
 #: Standard deviations by which a sketch may overstate an angle (3.5: it loses one pair in 4,000), and the most a cosine of 8-bit vectors is off.
 SIGMAS, SLACK = 3.5, 0.03
+#: Cells of a bucket compared at once, so that they stay in the cache; the size of buckets that are compared many at once; the pairs of a bucket that are held as a list.
+CELLS, SMALL, DENSE = 65_536, 64, 1_000_000
 SEED = 7
 
 
@@ -157,14 +159,15 @@ def payload_of(unit: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Compare:
-    """Estimated cosines between payload rows, and the least estimate that a pair of a given cosine may have."""
+    """Which pairs of payload rows may have a given cosine, by their estimated one."""
 
     def __init__(self, bits: int, least: float):
         self.bits = bits
         if bits == 1:
             p = math.acos(max(-1.0, min(1.0, least))) / math.pi
-            self.least = math.cos(math.pi * min(1.0, p + SIGMAS * math.sqrt(p * (1 - p) / SKETCH)))
-            self.cosine = np.cos(np.pi * np.arange(SKETCH + 1) / SKETCH).astype(np.float32)
+            floor = math.cos(math.pi * min(1.0, p + SIGMAS * math.sqrt(p * (1 - p) / SKETCH)))
+            cosine = np.cos(np.pi * np.arange(SKETCH + 1) / SKETCH).astype(np.float32)
+            self.most = np.flatnonzero(cosine >= floor).max()  # bits that may differ
         else:
             self.least = least - SLACK
 
@@ -174,10 +177,59 @@ class Compare:
         v = rows.astype(np.float32)
         return v / np.linalg.norm(v, axis=1, keepdims=True)
 
-    def matrix(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def may(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in x and y of the pairs of a row of each that may be near."""
         if self.bits == 1:
-            return self.cosine[sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.uint8) for k in range(x.shape[1]))]
-        return x @ y.T
+            words = zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T))
+            near = sum(np.bitwise_count(p[:, None] ^ q) for p, q in words) <= self.most  # at most SKETCH, so bytes hold it
+        else:
+            near = x @ y.T >= self.least
+        return np.divmod(np.flatnonzero(near), len(y))
+
+    def may_each(self, v: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether rows x and y of v may be near, pair by pair."""
+        if self.bits == 1:
+            return sum(np.bitwise_count(v[x, k] ^ v[y, k]) for k in range(v.shape[1])) <= self.most
+        return np.einsum("ij,ij->i", v[x], v[y]) >= self.least
+
+
+def _small_partners(compare: Compare, starts: np.ndarray, sizes: np.ndarray, v: np.ndarray, role: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of the pairs that may be near, of many small buckets at once, each bucket in one piece."""
+    for m in np.unique(sizes[sizes > 1]):
+        i, j = np.triu_indices(int(m), 1)
+        own = starts[sizes == m]
+        step = max(1, 4 * CELLS // len(i))
+        for k in range(0, len(own), step):
+            x, y = (own[k : k + step, None] + i).ravel(), (own[k : k + step, None] + j).ravel()
+            pair = may_pair(role[x], role[y])
+            x, y = x[pair], y[pair]
+            near = compare.may_each(v, x, y)
+            yield x[near], y[near]
+
+
+def _large_partners(compare: Compare, v: np.ndarray, role: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """As before, of one bucket; None if there are more than `most`.
+
+    Rows are taken by role, and only roles that pair are compared: home rows with each other and with the probing ones,
+    the lower of two tiles with the higher.
+    """
+    places = {r: np.flatnonzero(role == r) for r in np.unique(role).tolist()}
+    xs, ys, size = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], 0
+    for r, own in places.items():
+        for o in [o for o in places if o >= r and may_pair(np.int64(r), np.int64(o))]:
+            mine, at, his = v[own], places[o], v[places[o]]
+            step = max(1, CELLS // len(at))
+            for lo in range(0, len(own), step):
+                first = lo if o == r else 0  # of one role only the pairs above the diagonal
+                x, y = compare.may(mine[lo : lo + step], his[first:])
+                if o == r:
+                    x, y = x[y > x], y[y > x]
+                size += len(x)
+                if size > most:
+                    return None
+                xs.append(own[lo + x])
+                ys.append(at[first + y])
+    return np.concatenate(xs), np.concatenate(ys)
 
 
 def _near(least: float, crowd: int, bits: int):
@@ -188,36 +240,67 @@ def _near(least: float, crowd: int, bits: int):
     several tables are one.
     """
     compare = Compare(bits, least)
-    least = compare.least
 
-    def pairing(starts: np.ndarray, ends: np.ndarray, member: np.ndarray, role: np.ndarray, payload: np.ndarray) -> Iterator[list[np.ndarray]]:
+    def listed(x: np.ndarray, y: np.ndarray, member: np.ndarray) -> list[np.ndarray]:
+        p, q = member[x], member[y]
+        return [np.minimum(p, q), np.maximum(p, q), np.full(len(x), -1, dtype=np.int32)]
+
+    def block(sent: np.ndarray, member: np.ndarray, role: np.ndarray) -> list[np.ndarray]:
+        p, q = member[sent], role[sent]
+        name = np.array([xxhash.xxh64_intdigest(p.tobytes() + q.tobytes())], dtype=np.uint64).view(np.int64)
+        return [np.full(len(p), name[0]), p, q]
+
+    def settled(x: np.ndarray, y: np.ndarray, starts: np.ndarray, member: np.ndarray, role: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """What to send on of whole buckets that have the pairs (x, y)."""
+        many = np.bincount(x, minlength=len(member)) + np.bincount(y, minlength=len(member)) > crowd
+        if many.any():
+            p, q = many[x], many[y]
+            sent = many.copy()
+            sent[y[p]], sent[x[q]] = True, True
+            at = np.flatnonzero(sent)
+            for one in np.split(at, np.flatnonzero(np.diff(np.searchsorted(starts, at, "right"))) + 1):
+                yield block(one, member, role)
+            x, y = x[~(p & q)], y[~(p & q)]
+        if len(x):
+            yield listed(x, y, member)
+
+    def dense(v: np.ndarray, member: np.ndarray, role: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """The same of one bucket of too many pairs to hold, row by row."""
+        n = len(v)
+        sent = np.zeros(n, dtype=bool)
+        for lo in range(0, n, 512):
+            hi = min(lo + 512, n)
+            may = np.zeros((hi - lo, n), dtype=bool)
+            may[compare.may(v[lo:hi], v)] = True
+            may &= may_pair(role[lo:hi, None], role[None, :])
+            may[np.arange(hi - lo), np.arange(lo, hi)] = False
+            crowded = may.sum(axis=1) > crowd
+            if crowded.any():
+                sent[lo:hi] |= crowded
+                sent |= may[crowded].any(axis=0)
+                may[crowded] = False
+            x, y = np.nonzero(may)
+            if len(x):
+                yield listed(lo + x, y, member)
+        if sent.any():
+            yield block(np.flatnonzero(sent), member, role)
+
+    def parts(starts: np.ndarray, ends: np.ndarray, member: np.ndarray, role: np.ndarray, payload: np.ndarray) -> Iterator[list[np.ndarray]]:
+        v, sizes = compare.ready(payload), ends - starts
+        small = sizes <= SMALL
+        for x, y in _small_partners(compare, starts[small], sizes[small], v, role):
+            yield from settled(x, y, starts, member, role)
+        for s, e in zip(starts[~small].tolist(), ends[~small].tolist()):
+            one = member[s:e], role[s:e]
+            found = _large_partners(compare, v[s:e], one[1], DENSE)
+            yield from dense(v[s:e], *one) if found is None else settled(*found, np.zeros(1, dtype=np.int64), *one)
+
+    def pairing(*bucket: np.ndarray) -> Iterator[list[np.ndarray]]:
         out: list[list[np.ndarray]] = []
         size = 0
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            if e - s < 2:
-                continue
-            v = compare.ready(payload[s:e])
-            own, ids = role[s:e], member[s:e]
-            sent = np.zeros(e - s, dtype=bool)
-            for lo in range(0, e - s, 512):
-                hi = min(lo + 512, e - s)
-                may = (compare.matrix(v[lo:hi], v) >= least) & may_pair(own[lo:hi, None], own[None, :])
-                may[np.arange(hi - lo), np.arange(lo, hi)] = False
-                crowded = may.sum(axis=1) > crowd
-                if crowded.any():
-                    sent[lo:hi] |= crowded
-                    sent |= may[crowded].any(axis=0)
-                    may[crowded] = False
-                x, y = np.nonzero(may)
-                if len(x):
-                    p, q = ids[lo + x], ids[y]
-                    out.append([np.minimum(p, q), np.maximum(p, q), np.full(len(x), -1, dtype=np.int32)])
-                    size += len(x)
-            if sent.any():
-                p, q = ids[sent], own[sent]
-                block = np.array([xxhash.xxh64_intdigest(p.tobytes() + q.tobytes())], dtype=np.uint64).view(np.int64)
-                out.append([np.full(len(p), block[0]), p, q])
-                size += len(p)
+        for columns in parts(*bucket):
+            out.append(columns)
+            size += len(columns[0])
             if size > 500_000:
                 yield [np.concatenate(z) for z in zip(*out)]
                 out, size = [], 0
@@ -256,8 +339,12 @@ def _block_nearest(k: int, least: float):
     return run
 
 
-def similar_classes(df: DataFrame, key: str, vector: str, dim: int, members: DataFrame, plan: Plan, k: int, least_cosine: float, bits: int) -> DataFrame:
-    """(a, b, cosine) of different marks, a < b: bucket candidates with their exact cosine, at least `least_cosine`."""
+def similar_classes(df: DataFrame, key: str, vector: str, dim: int, members: DataFrame, plan: Plan, k: int, least_cosine: float, bits: int, copied: bool = False) -> DataFrame:
+    """(a, b, cosine) of different marks, a < b: bucket candidates with their exact cosine, at least `least_cosine`.
+
+    Copies within a task are hashed once; if most vectors are copies (`copied`), one record of each class is.
+    """
+    first = members.groupBy("mark").agg(F.min("id").alias("id"))
     source = df.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v"))
 
     def hashed(hot: tuple[np.ndarray, np.ndarray] | None):
@@ -286,11 +373,11 @@ def similar_classes(df: DataFrame, key: str, vector: str, dim: int, members: Dat
         return run
 
     made = "key bigint, member bigint, role int, payload binary"
-    hot = hot_keys(sampled(source, "id").select("v").mapInArrow(hashed(None), made).select("key"), members.count())
-    rows = source.select("v").mapInArrow(hashed(hot), made)
+    each = materialise(source.join(first.select("id"), "id", "left_semi")) if copied else source
+    hot = hot_keys(sampled(each, "id").select("v").mapInArrow(hashed(None), made).select("key"), members.count())
+    rows = each.select("v").mapInArrow(hashed(hot), made)
     found = materialise(bucket_pairs(rows, _near(least_cosine, CROWD * k, bits), "a bigint, b bigint, role int", TILE).distinct())
     pairs, crowds = found.where("role < 0").select("a", "b"), found.where("role >= 0").select(F.col("a").alias("block"), F.col("b").alias("mark"), "role")
-    first = members.groupBy("mark").agg(F.min("id").alias("id"))
     wanted = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).union(crowds.select("mark")).distinct().join(first, "mark")
     vectors = source.join(wanted, "id").select("mark", "v").dropDuplicates(["mark"])
     if crowds.take(1):
@@ -322,8 +409,9 @@ def nearest(df: DataFrame, key: str, vector: str, *newest: str, k: int = K, leas
     parts = []
     for dim in sorted(dims):
         members = classes(df, key, vector, dim, newest)
-        plan = Plan(members.count(), dim, target_cosine if target_cosine is not None else max(least_cosine, 0.5), recall, probes, bucket, tables)
-        pairs = materialise(similar_classes(df, key, vector, dim, members, plan, k, least_cosine, bits))
+        n, different = members.agg(F.count("*"), F.count_distinct("mark")).first()
+        plan = Plan(different, dim, target_cosine if target_cosine is not None else max(least_cosine, 0.5), recall, probes, bucket, tables)
+        pairs = materialise(similar_classes(df, key, vector, dim, members, plan, k, least_cosine, bits, copied=2 * different <= n))
         # Most classes are single vectors without neighbours; only the others go on.
         copied = members.groupBy("mark").count().where("count > 1").select("mark")
         members = materialise(members.join(pairs.select(F.col("a").alias("mark")).unionAll(pairs.select("b")).unionAll(copied).distinct(), "mark", "left_semi"))

@@ -193,3 +193,46 @@ def test_far_neighbours_of_a_query_set(spark):
     assert all(len(x) == 5 and sorted(r for _, r in x.values()) == [1, 2, 3, 4, 5] and all(abs(c[i, j] - s) < 1e-6 for j, (s, _) in x.items()) for i, x in got.items())
     assert sorted(got[0]) == [700, 701, 702, 703, 704]
     assert probing.search(df.where("false"), "id", "v", asked, "t").count() == probing.search(df, "id", "v", F.lit(False), "t").count() == 0
+
+
+def test_only_rows_that_pair_are_compared(monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((800, 32)).astype(np.float32)
+    v[400:500] = v[:100] + 0.05 * rng.standard_normal((100, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    role = rng.choice([0, 1, 1, 1], 800).astype(np.int32)
+    starts, ends = np.array([0, 40, 60]), np.array([40, 60, 800])
+    cells, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: (cells.append(x.size), count(x))[1])
+    out = list(neighbours._near(0.9, 20, 1)(starts, ends, np.arange(800), role, neighbours.payload_of(v, 1)))
+    got = {(int(a), int(b)) for part in out for a, b in zip(part[0], part[1])}
+    bits = np.unpackbits(neighbours.payload_of(v, 1).view(np.uint8), axis=1).astype(int)
+    differ = (bits[:, None] != bits[None]).sum(2)
+    pair = buckets.may_pair(role[:, None], role[None]) & np.triu(np.ones((800, 800), dtype=bool), 1)
+    pair &= np.searchsorted(ends, np.arange(800), "right")[:, None] == np.searchsorted(ends, np.arange(800), "right")
+    may = np.cos(np.pi * differ / neighbours.SKETCH) >= np.cos(np.pi * 44 / neighbours.SKETCH) - 1e-6
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(pair & may)))) and len(got) > 15
+    assert sum(cells) <= 1.3 * (neighbours.SKETCH // 64) * pair.sum()
+
+
+def test_many_pairs_of_a_bucket_come_as_few_ones(monkeypatch):
+    v = (np.ones(16) + 0.2 * np.random.default_rng(3).standard_normal((300, 16))).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    role = np.random.default_rng(1).choice([0, 1, 2, 3, 4, 5], 300).astype(np.int32)
+    got = []
+    for most in (1_000_000, 50):
+        monkeypatch.setattr(neighbours, "DENSE", most)
+        out = neighbours._near(0.9, 20, 1)(np.array([0]), np.array([300]), np.arange(300), role, neighbours.payload_of(v, 1))
+        got.append({tuple(int(c) for c in r) for part in out for r in zip(*part)})
+    assert got[0] == got[1] and any(r[2] >= 0 for r in got[0])
+
+
+def test_tables_follow_the_different_vectors(spark, monkeypatch):
+    asked, plan = [], neighbours.Plan
+    monkeypatch.setattr(neighbours, "Plan", lambda n, *rest: (asked.append(n), plan(n, *rest))[1])
+    v = np.random.default_rng(2).standard_normal((20, 8))
+    v[10:] = v[:10] + 0.01
+    df = spark.createDataFrame([(f"{i:03}", [float(x) for x in v[i % 20]]) for i in range(100)], "id string, v array<float>").withColumn("t", F.timestamp_seconds(F.lit(1))).repartition(4)
+    got = {(int(r.id_a), int(r.id_b)) for r in neighbours.near_pairs(df, "id", "v", "t", k=9).collect()}
+    want = {(a, b) for b in range(100) for a in range(b) if a % 10 == b % 10}
+    assert asked == [20] and got == want
